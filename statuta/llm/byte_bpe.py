@@ -39,7 +39,7 @@ BLOCK_BYTES = 32_000_000
 #: A pre-token never reaches across the start of a run of white space, so these pieces are split one by one.
 PIECES = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: White space outside that class: such texts are split whole.
-ODD = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Separates words in a message; no UTF-8 text has this byte.
 BREAK = b"\xff"
 #: Entries of a block's cache of split pieces.

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from statuta.llm import byte_bpe, token_counts
+from statuta.llm import byte_bpe, token_counts, toxicity, wavelet
 from statuta.llm.common import table
 
 
+def op3_wavelet_tokens(spark, sf_dir):
+    return wavelet.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -14,6 +22,6 @@ def op9_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_token_counts, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_wavelet_tokens, op4_toxicity, op8_token_counts, op9_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -113,6 +113,9 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: White space, and all of ASCII but letters and digits.
+_MARKS = np.zeros(256, bool)
+_MARKS[[i for i in range(128) if not chr(i).isalnum()]] = True
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _TABLES: dict = {}
@@ -126,29 +129,30 @@ def _tables(fold: bool) -> tuple:
     return _TABLES[fold]
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, ends: np.ndarray, fold: bool, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of some texts, and how many words each text has.
 
     data: the UTF-8 bytes of the texts, joined with one space after each; ends: where each text ends (its
     space). fold: A-Z count as a-z. A word's hash is a polynomial in hashed bytes, then mixed; a long run
-    without a space is hashed whole.
+    without a space is hashed whole. marks: ASCII punctuation parts words too.
     """
     code, up, down = _tables(fold)
+    parts = _MARKS if marks else _SPACE
     out, starts_at = [], []
     at, n = 0, len(data)
     while at < n:
         to = min(n, at + _PIECE)
         if to < n:  # end a piece behind a space
-            gaps = np.flatnonzero(_SPACE[data[at:to]])
+            gaps = np.flatnonzero(parts[data[at:to]])
             if len(gaps):
                 to = at + int(gaps[-1]) + 1
             else:
-                more = np.flatnonzero(_SPACE[data[to:]])
+                more = np.flatnonzero(parts[data[to:]])
                 to = to + int(more[0]) + 1 if len(more) else n
         piece = data[at:to]
         if len(piece) > len(up):
             up, down = _powers(len(piece), _BASE), _powers(len(piece), pow(_BASE, -1, 2**64))
-        space = _SPACE[piece]
+        space = parts[piece]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
         begin, end = edge[::2], edge[1::2]
         total = np.zeros(len(piece) + 1, np.uint64)
