@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             keys = np.unique(of << BITS | at)
             cuts = np.searchsorted(keys >> BITS, np.arange(batch.num_rows + 1))
             at = (keys & (2**BITS - 1)).astype("<i4")
-            yield pa.record_batch({"_order": batch.column("_order"), "_label": batch.column("_label"), "at": pa.array([at[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+            yield pa.record_batch({"_order": batch.column("_order"), "_label": batch.column("_label"), "_all": pa.array([0] * batch.num_rows, pa.int32()), "at": pa.array([at[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
     def train(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_order", "ascending"), ("_label", "ascending")])
@@ -84,8 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             at, w = np.array([2**BITS]), np.array([np.log(share / (1 - share))])
         return pa.table({"at": at, "w": w})
 
-    found = rows.withColumn("_order", F.xxhash64(id_col)).select("_order", "_label", text_col).mapInArrow(features, "_order long, _label int, at binary")
-    weights = found.groupBy(F.lit(0)).applyInArrow(train, "at long, w double")  # TRAIN_ROWS bounds the group
+    found = rows.withColumn("_order", F.xxhash64(id_col)).select("_order", "_label", text_col).mapInArrow(features, "_order long, _label int, _all int, at binary")
+    weights = found.groupBy("_all").applyInArrow(train, "at long, w double")  # TRAIN_ROWS bounds the group
     kept = weights.orderBy((F.col("at") == 2**BITS).desc(), F.abs("w").desc(), "at").limit(WEIGHTS).collect()
     return np.array([r["at"] for r in kept], np.int64), np.array([r["w"] for r in kept])
 
