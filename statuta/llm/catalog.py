@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statuta.llm import byte_bpe, token_counts, toxicity, wavelet
+from statuta.llm import byte_bpe, quality, token_counts, toxicity, wavelet
 from statuta.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op9_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_wavelet_tokens, op4_toxicity, op8_token_counts, op9_byte_bpe)}
+def op10_quality_rules(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_wavelet_tokens, op4_toxicity, op8_token_counts, op9_byte_bpe, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
