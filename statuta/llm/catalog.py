@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from statuta.llm import byte_bpe, quality, token_counts, toxicity, wavelet
+from statuta.llm import byte_bpe, ngram_join, quality, token_counts, toxicity, wavelet
 from statuta.llm.common import table
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op3_wavelet_tokens(spark, sf_dir):
     return wavelet.round_trip(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,6 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_wavelet_tokens, op4_toxicity, op8_token_counts, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_wavelet_tokens, op4_toxicity, op8_token_counts, op9_byte_bpe, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
