@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statuta.llm import byte_bpe, ngram_join, quality, token_counts, toxicity, wavelet
+from statuta.llm import byte_bpe, ngram_join, quality, substring_dedup, token_counts, toxicity, wavelet
 from statuta.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,6 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_wavelet_tokens, op4_toxicity, op8_token_counts, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_wavelet_tokens, op4_toxicity, op5_substring_dedup, op8_token_counts, op9_byte_bpe, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
