@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statuta.llm import byte_bpe, ngram_join, quality, substring_dedup, token_counts, toxicity, wavelet
+from statuta.llm import byte_bpe, decontaminate, ngram_join, ppm, quality, substring_dedup, token_counts, toxicity, wavelet
 from statuta.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op5_substring_dedup(spark, sf_dir):
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_ppm_score(spark, sf_dir):
+    return ppm.language_score(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,6 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_wavelet_tokens, op4_toxicity, op5_substring_dedup, op8_token_counts, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_wavelet_tokens, op4_toxicity, op5_substring_dedup, op6_ppm_score, op7_decontaminate, op8_token_counts, op9_byte_bpe, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
