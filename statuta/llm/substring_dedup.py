@@ -62,6 +62,13 @@ def anchors(hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.
     return phrases[at], at
 
 
+def by_phrase(phrases: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct phrases and the places of each: a word said over and over is one phrase in many places."""
+    order = np.argsort(phrases, kind="stable")
+    known, first = np.unique(phrases[order], return_index=True)
+    return known, np.split(at[order].astype(np.int32), first[1:]) if len(known) else []
+
+
 def windows_around(words: np.ndarray, phrases: list[np.ndarray], seed: int, window: int) -> list[np.ndarray]:
     """For each document (its word hashes) the starts of the windows that hold one of its batch's phrases.
 
@@ -105,9 +112,10 @@ def removals(docs: DataFrame, window: int = 50, seed: int = SEED) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = _docs_words(text_bytes(batch))
-            found = [anchors(w, window, seed) for w in words]
-            lens = np.cumsum([0, *(len(at) for _, at in found)])
-            values = pa.StructArray.from_arrays([pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), pa.array(np.concatenate([at for _, at in found]).astype(np.int32))], ["h", "at"])
+            found = [by_phrase(*anchors(w, window, seed)) for w in words]
+            lens = np.cumsum([0, *(len(h) for h, _ in found)])
+            at = pa.array([x for _, at in found for x in at], pa.list_(pa.int32()))
+            values = pa.StructArray.from_arrays([pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), at], ["h", "at"])
             keys = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in words]
             yield pa.record_batch({"id": batch.column("id"), "tkey": batch.column("tkey"), "words": pa.array(keys, pa.binary()), "anchors": pa.ListArray.from_arrays(pa.array(lens, pa.int32()), values)}).filter(pa.array([len(w) >= window for w in words]))
 
@@ -117,17 +125,17 @@ def removals(docs: DataFrame, window: int = 50, seed: int = SEED) -> DataFrame:
             places = [np.array(p, np.int64) for p in batch.column("places").to_pylist()]
             for row, (w, starts) in enumerate(zip(words, windows_around(words, [p[p + seed <= len(w)] for w, p in zip(words, places, strict=True)], seed, window), strict=True)):
                 if len(starts):
-                    a, b = (rolling(w, window, base)[starts].view(np.int64) for base in _ROLL)
+                    a, b = (rolling(w, window, base)[starts] for base in _ROLL)
                     same = lambda c: pa.array([batch.column(c)[row].as_py()] * len(starts), batch.schema.field(c).type)  # noqa: E731, B023
-                    yield pa.record_batch({"id": same("id"), "tkey": same("tkey"), "start": pa.array(starts, pa.int32()), "a": pa.array(a), "b": pa.array(b)})
+                    yield pa.record_batch({"id": same("id"), "tkey": same("tkey"), "start": pa.array(starts, pa.int32()), "a": pa.array(a.view(np.int64)), "b": pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32))})
 
-    heads = written(docs.select("id", "tkey", "text").mapInArrow(sketch, f"id {kind}, tkey long, words binary, anchors array<struct<h:long,at:int>>"), "anchors")
+    heads = written(docs.select("id", "tkey", "text").mapInArrow(sketch, f"id {kind}, tkey long, words binary, anchors array<struct<h:long,at:array<int>>>"), "anchors")
     firsts = heads.groupBy("words").agg(F.min(F.struct("id", "tkey", "anchors")).alias("x"))
     copies = heads.join(firsts.select("words", F.col("x.id").alias("first")), "words").where("id > first").select("id", "tkey")
     marks = firsts.select("x.id", "x.tkey", F.explode("x.anchors").alias("y")).select("id", "tkey", F.col("y.h").alias("h"), F.col("y.at").alias("at"))
-    recurring = marks.groupBy("h").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("h")
-    places = marks.join(recurring, "h").groupBy("id", "tkey").agg(F.collect_list("at").alias("places"))  # as many as the text has
-    found = written(docs.join(places, ["id", "tkey"]).mapInArrow(locate, f"id {kind}, tkey long, start int, a long, b long"), "windows")
+    recurring = written(marks.groupBy("h").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("h"), "phrases")
+    places = marks.join(recurring, "h").groupBy("id", "tkey").agg(F.flatten(F.collect_list("at")).alias("places"))  # as many as the text has
+    found = written(docs.join(places, ["id", "tkey"]).mapInArrow(locate, f"id {kind}, tkey long, start int, a long, b int"), "windows")
     owners = found.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("a", "b", "first")
     gone = found.join(owners, ["a", "b"]).where("id > first").select("id", "tkey", F.col("start"))
     gone = gone.unionByName(copies.distinct().select("id", "tkey", F.lit(-1).alias("start")))
