@@ -1,4 +1,569 @@
-"""The registry of queries and their SQL."""
+"""The registry of queries: each takes (spark, folder of tables) and stands beside the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables stand in for the corpus: ``documents`` for documents, ``embeddings`` for chunk vectors (label as the
+kind of document, five chunks a parent where one is needed), ``events`` for the version log (user_id is the
+document), ``pages`` for raw HTML, ``orders`` and ``lineitem`` for dated laws, ``labels`` for an earlier snapshot.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from statuta import schema
+from statuta.functions import chunk as ch
+from statuta.functions import markup, vector
+from statuta.functions import text as tx
+from statuta.operators import ann, feeds, search, state
+from statuta.sources import listings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: The vector that queries search for is that of this row.
+ASKED = 0
+_Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
+_SCORE = f"round(list_cosine_similarity(e.embedding::DOUBLE[], {_Q}), 6)"
+
+
+def asked(spark, sf_dir) -> list[float]:
+    return search.vector_of(read(spark, sf_dir, "embeddings"), "vec_id", ASKED)
+
+
+@query("q01", "SELECT (SELECT count(DISTINCT source) FROM documents) AS n_sources, (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM embeddings) AS n_chunks")
+def corpus_counts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return feeds.corpus_counts(n_sources=docs.select("source").distinct(), n_documents=docs, n_chunks=read(spark, sf_dir, "embeddings"))
+
+
+@query("q02", "SELECT doc_id, source, lang, n_chars FROM documents WHERE doc_id = 7")
+def document_by_id(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("doc_id = 7").select("doc_id", "source", "lang", "n_chars")
+
+
+@query("q03", "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source = 'src3'")
+def optional_filters(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(search.all_of(lang="en", source="src3", n_chars=None)).select("doc_id", "lang", "source")
+
+
+@query("q04", "SELECT doc_id, lang, source FROM documents WHERE lang IN ('de', 'fr') AND source IN ('src1', 'src2', 'src5')")
+def list_filters(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(search.all_of(lang=["de", "fr"], source=["src1", "src2", "src5"])).select("doc_id", "lang", "source")
+
+
+@query("q05", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate <= TIMESTAMP '1996-04-30'")
+def date_range(spark, sf_dir):
+    kept = read(spark, sf_dir, "orders").where(search.between("o_orderdate", F.expr("timestamp_ntz'1996-03-01'"), F.expr("timestamp_ntz'1996-04-30'")))
+    return kept.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+@query("q06", r"SELECT doc_id, regexp_replace(substr(text, 1, 200), '(tion|heit)', '<mark>\1</mark>', 'gi') AS marked FROM documents WHERE text ILIKE '%thble%' OR text ILIKE '%heit%'")
+def any_keyword(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where(tx.contains_any(F.col("text"), ["thble", "heit"]))
+    return docs.select("doc_id", tx.highlight(F.substring("text", 1, 200), ["tion", "heit"]).alias("marked"))
+
+
+@query("q07", "SELECT doc_id FROM documents WHERE list_has_any(string_split(lower(text), ' '), ['the', 'der'])")
+def array_overlap(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(F.arrays_overlap(F.split(F.lower("text"), " "), F.array(F.lit("the"), F.lit("der")))).select("doc_id")
+
+
+@query("q08", "SELECT doc_id, sha256(text) AS content_hash, source || '/' || doc_id || '/' || sha256(text) || '.md' AS object_key FROM documents")
+def hashed_keys(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").withColumn("content_hash", tx.content_hash(F.col("text")))
+    return docs.select("doc_id", "content_hash", tx.object_key(F.col("source"), F.col("doc_id").cast("string"), F.col("content_hash"), "md").alias("object_key"))
+
+
+def corpus(spark, sf_dir) -> DataFrame:
+    """Chunks with their document and source."""
+    docs = read(spark, sf_dir, "documents").withColumn("snippet", tx.snippet(F.col("text"))).select("doc_id", "lang", "source", "snippet")
+    sources = docs.select(F.col("source").alias("name")).distinct()
+    chunks = read(spark, sf_dir, "embeddings")
+    return chunks.join(docs, chunks.vec_id == docs.doc_id).join(search.small(sources), F.col("source") == F.col("name")).drop("name", "vec_id")
+
+
+_CORPUS = "embeddings e JOIN documents d ON e.vec_id = d.doc_id JOIN (SELECT DISTINCT source AS name FROM documents) s ON d.source = s.name"
+
+
+@query("q09", f"SELECT doc_id, source, lang, e.label::BIGINT AS label, substr(text, 1, 300) AS snippet, {_SCORE} AS score FROM {_CORPUS} WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT 10 OFFSET 2")
+def semantic_search(spark, sf_dir):
+    """The flagship: filtered three-way join, score, page."""
+    hits = search.search(corpus(spark, sf_dir), asked(spark, sf_dir), "doc_id", search.all_of(lang="en"), limit=10, offset=2)
+    return hits.select("doc_id", "source", "lang", F.col("label").cast("long").alias("label"), "snippet", "score")
+
+
+@query("q10", f"SELECT vec_id, label::BIGINT AS label, {_SCORE} AS score FROM embeddings e WHERE label IN (1, 3, 5) AND {_SCORE} >= 0.1 ORDER BY score DESC, vec_id LIMIT 20")
+def threshold(spark, sf_dir):
+    hits = search.search(read(spark, sf_dir, "embeddings"), asked(spark, sf_dir), "vec_id", search.all_of(label=[1, 3, 5]), 0.1, 20)
+    return hits.select("vec_id", F.col("label").cast("long").alias("label"), "score")
+
+
+@query("q11", f"SELECT count(*) AS total_matching, count(*) FILTER (1 - {_SCORE} < 0.5) AS total_close FROM embeddings e WHERE label = 3")
+def page_totals(spark, sf_dir):
+    return search.totals(read(spark, sf_dir, "embeddings"), asked(spark, sf_dir), search.all_of(label=3))
+
+
+@query("q12", "SELECT event_id, doc_id, source, event_type, value FROM events JOIN documents ON user_id = doc_id")
+def versions_with_documents(spark, sf_dir):
+    events, docs = read(spark, sf_dir, "events"), read(spark, sf_dir, "documents")
+    return events.join(docs, events.user_id == docs.doc_id).select("event_id", "doc_id", "source", "event_type", "value")
+
+
+_CLASSIFIED = """
+SELECT d.doc_id, d.source, CASE WHEN p.doc_id IS NULL THEN 'new' WHEN p.content_hash = sha256(d.text) THEN 'unchanged' ELSE 'updated' END AS status
+FROM documents d LEFT JOIN (
+  SELECT l.doc_id, sha256(CASE WHEN quality = 1 THEN text ELSE text || '*' END) AS content_hash FROM labels l JOIN documents x ON l.doc_id = x.doc_id) p ON d.doc_id = p.doc_id"""
+
+
+def classified(spark, sf_dir) -> DataFrame:
+    """Documents against an earlier snapshot: the labelled ones, those of low quality with other text."""
+    docs = read(spark, sf_dir, "documents")
+    before = read(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", tx.content_hash(F.when(F.col("quality") == 1, F.col("text")).otherwise(F.concat("text", F.lit("*")))).alias("content_hash"))
+    return state.classify(docs.select("doc_id", "source", tx.content_hash(F.col("text")).alias("content_hash")), before, ["doc_id"])
+
+
+@query("q13", _CLASSIFIED)
+def change_detection(spark, sf_dir):
+    return classified(spark, sf_dir).select("doc_id", "source", "status")
+
+
+@query(
+    "q14",
+    """SELECT d.doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::BIGINT AS chunk_index, md5(unnest(string_split(text, chr(10)))) AS digest
+FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)
+UNION ALL SELECT d.doc_id, 0, md5(text) FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)""",
+)
+def replaced_children(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "line")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("line").alias("digest"))
+    changed = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    whole = docs.join(changed, "doc_id", "left_semi").select("doc_id", F.lit(0).cast("long").alias("chunk_index"), F.md5("text").alias("digest"))
+    return state.replace_children(lines, changed, "doc_id", whole)
+
+
+@query("q15", "SELECT DISTINCT source AS name FROM documents UNION SELECT DISTINCT event_type FROM events UNION SELECT 'src3'")
+def inserted_if_absent(spark, sf_dir):
+    there = read(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
+    new = read(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct().unionByName(spark.createDataFrame([("src3",)], "name string"))
+    return state.insert_absent(there, new, ["name"])
+
+
+@query(
+    "q16",
+    """SELECT d.doc_id, coalesce(CASE WHEN toxic = 1 THEN 'xx' END, lang) AS lang, coalesce(CASE WHEN quality = 0 THEN 'held' END, source) AS source
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def partial_update(spark, sf_dir):
+    patches = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "xx").alias("lang"), F.when(F.col("quality") == 0, "held").alias("source"))
+    return state.patch(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), patches, "doc_id", ["lang", "source"])
+
+
+@query(
+    "q17",
+    """SELECT event_id, user_id AS document_id, row_number() OVER w AS version_number, coalesce(lag(event_type) OVER w <> event_type, true) AS changed
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+)
+def version_numbers(spark, sf_dir):
+    log = read(spark, sf_dir, "events").withColumnRenamed("user_id", "document_id")
+    return state.number_versions(log, "document_id", ["ts", "event_id"], "event_type").select("event_id", "document_id", "version_number", "changed")
+
+
+@query(
+    "q18",
+    """SELECT 'documents' AS kind, doc_id AS id FROM documents WHERE source <> 'src3'
+UNION ALL SELECT 'chunks', vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3')
+UNION ALL SELECT 'versions', event_id FROM events WHERE user_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3')""",
+)
+def cascade(spark, sf_dir):
+    gone = spark.createDataFrame([("src3",)], "source string")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    chunks = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("doc_id"))
+    log = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("doc_id"))
+    left, chunks = state.survivors(gone, [(docs, "id", "source"), (chunks, "id", "doc_id")])
+    log = state.survivors(gone, [(docs, "id", "source"), (log, "id", "doc_id")])[1]
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id")
+    return named(left, "documents").unionByName(named(chunks, "chunks")).unionByName(named(log, "versions"))
+
+
+@query(
+    "q19",
+    f"""SELECT coalesce(source, 'TOTAL') AS source, count(*) AS discovered, count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'updated') AS n_updated,
+count(*) FILTER (status = 'unchanged') AS n_unchanged FROM ({_CLASSIFIED}) GROUP BY ROLLUP (source)""",
+)
+def crawl_run(spark, sf_dir):
+    return state.run_totals(classified(spark, sf_dir), "source").withColumn("source", F.coalesce("source", F.lit("TOTAL")))
+
+
+@query(
+    "q20",
+    """SELECT user_id AS document_id, event_id, event_type, value FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-15') WHERE n = 1""",
+)
+def version_in_force(spark, sf_dir):
+    log = read(spark, sf_dir, "events").withColumnRenamed("user_id", "document_id")
+    return state.in_force(log, "document_id", F.expr("timestamp_ntz'2024-01-15'"), "ts", ["ts", "event_id"]).select("document_id", "event_id", "event_type", "value")
+
+
+@query(
+    "q21",
+    """SELECT page_id, trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)) AS title,
+(SELECT string_agg(link, ' ' ORDER BY pos) FROM (SELECT link, min(pos) AS pos FROM (SELECT unnest(l) AS link, generate_subscripts(l, 1) AS pos FROM (SELECT regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l)) GROUP BY link)) AS links FROM pages""",
+)
+def titles_and_links(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return pages.select("page_id", markup.html_title(F.col("html")).alias("title"), F.array_join(markup.hrefs(F.col("html")), " ").alias("links"))
+
+
+@query("q22", "SELECT event_id, user_id AS document_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, source FROM events JOIN documents ON user_id = doc_id WHERE ts > TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 10")
+def change_feed(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    log = read(spark, sf_dir, "events").join(docs, F.col("user_id") == F.col("doc_id"))
+    feed = feeds.changes(log, F.expr("timestamp_ntz'2024-01-20'"), "ts", "event_id", 50, 10)
+    return feed.select("event_id", F.col("user_id").alias("document_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "source")
+
+
+@query(
+    "q23",
+    f"""SELECT vec_id, kind, score FROM (
+(SELECT vec_id, 'law' AS kind, {_SCORE} AS score FROM embeddings e WHERE label < 5 ORDER BY score DESC, vec_id LIMIT 10) UNION ALL
+(SELECT vec_id, 'case_law', {_SCORE} AS score FROM embeddings e WHERE label >= 5 ORDER BY score DESC, vec_id LIMIT 5)) ORDER BY score DESC, vec_id LIMIT 10""",
+)
+def federated(spark, sf_dir):
+    chunks = read(spark, sf_dir, "embeddings")
+    return search.federated(chunks.where("label < 5"), chunks.where("label >= 5"), asked(spark, sf_dir), "vec_id").select("vec_id", "kind", "score")
+
+
+@query(
+    "q24",
+    """SELECT parent, max(score) AS score FROM (
+SELECT vec_id // 5 AS parent, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 15)), 6) AS score, vec_id
+FROM embeddings WHERE vec_id // 5 <> 3 ORDER BY score DESC, vec_id LIMIT 20) GROUP BY parent ORDER BY score DESC, parent LIMIT 5""",
+)
+def related(spark, sf_dir):
+    chunks = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 5").alias("parent"), F.expr("vec_id % 5").alias("chunk_index"), "embedding")
+    return search.related(chunks, "parent", 3)
+
+
+_LAWS = """SELECT o_orderkey AS id, o_orderdate AS publication, (SELECT NULL) AS x, m.last_modified, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 365 DAY END AS valid_until
+FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_modified FROM lineitem GROUP BY l_orderkey) m ON o_orderkey = l_orderkey"""
+
+
+@query(
+    "q25",
+    f"""SELECT id, strftime(CASE WHEN publication >= TIMESTAMP '2001-06-01' THEN publication ELSE last_modified END, '%Y-%m-%d') AS change_day,
+CASE WHEN valid_until < TIMESTAMP '2001-09-01' THEN 'repealed' WHEN publication >= TIMESTAMP '2001-06-01' THEN 'new' ELSE 'modified' END AS change_type
+FROM ({_LAWS}) WHERE last_modified >= TIMESTAMP '2001-06-01' OR publication >= TIMESTAMP '2001-06-01' ORDER BY last_modified DESC NULLS FIRST, id LIMIT 100""",
+)
+def dated_feed(spark, sf_dir):
+    modified = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last_modified"))
+    orders = read(spark, sf_dir, "orders")
+    laws = orders.join(modified, orders.o_orderkey == modified.l_orderkey, "left").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("publication"), "last_modified", F.when(F.col("o_orderstatus") == "F", F.expr("o_orderdate + interval 365 days")).alias("valid_until")
+    )
+    feed = feeds.dated_changes(laws, F.expr("timestamp_ntz'2001-06-01'"), F.expr("timestamp_ntz'2001-09-01'"), "id", 100)
+    return feed.select("id", F.date_format("change_date", "yyyy-MM-dd").alias("change_day"), "change_type")
+
+
+_TOP = f"SELECT doc_id, source, lang, text, {_SCORE} AS score FROM {_CORPUS} WHERE {_SCORE} >= 0.05 ORDER BY score DESC, doc_id LIMIT 5"
+
+
+def top(spark, sf_dir) -> DataFrame:
+    docs, chunks = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
+    hits = search.search(chunks.withColumnRenamed("vec_id", "doc_id").join(docs.drop("n_chars"), "doc_id"), asked(spark, sf_dir), "doc_id", min_score=0.05, limit=5)
+    return feeds.ranked(hits, "doc_id")
+
+
+@query(
+    "q26",
+    f"""SELECT string_agg('[' || rank || '] ' || source || '-' || doc_id || chr(10) || CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || '... [gekürzt]' ELSE text END, chr(10) || chr(10) ORDER BY rank) AS context,
+count(*) AS n_sources FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_TOP}))""",
+)
+def context(spark, sf_dir):
+    return feeds.context_block(top(spark, sf_dir).withColumn("title", F.concat_ws("-", "source", F.col("doc_id").cast("string"))), "title", "text")
+
+
+@query(
+    "q27",
+    f"""SELECT rank, format('{{}}. **doc {{}}** ({{}})', rank, doc_id, upper(lang)) || chr(10) || '   Source: ' || source || chr(10) || '   Score: ' || format('{{:.3f}}', score) || chr(10) || '   Excerpt: ' || substr(text, 1, 300) AS line
+FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_TOP}))""",
+)
+def formatted(spark, sf_dir):
+    hits = top(spark, sf_dir).withColumn("title", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    return feeds.hit_lines(hits, "title", "lang", "source", "text")
+
+
+@query("q28")
+def approximate(spark, sf_dir):
+    """Inverted file: nearest cells only; compared with the exact page in the tests."""
+    chunks = read(spark, sf_dir, "embeddings")
+    centres = ann.fit(chunks, "vec_id", 16)
+    return ann.probe(ann.assign(chunks, centres), centres, asked(spark, sf_dir), "vec_id", 6).select("vec_id", "score")
+
+
+@query(
+    "q29",
+    """SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::BIGINT AS chunk_index, md5(substr(p, 1, 5000)) AS digest, ((length(p) + 3) // 4)::BIGINT AS tokens, count(*) OVER (PARTITION BY doc_id) AS n_chunks
+FROM (SELECT doc_id, generate_subscripts(l, 1) AS pos, regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g') AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(p) > 50""".replace("\\\\", "\\"),
+)
+def paragraph_chunks(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").withColumn("_p", ch.paragraphs(F.col("text"), sep="\n"))
+    rows = docs.select("doc_id", F.size("_p").cast("long").alias("n_chunks"), F.posexplode("_p").alias("chunk_index", "c"))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("c.content").alias("digest"), F.col("c.tokens").alias("tokens"), "n_chunks")
+
+
+@query(
+    "q30",
+    """SELECT doc_id, 'chars' AS kind, s::BIGINT AS start, md5(substr(text, s + 1, 500)) AS digest FROM (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS s FROM documents)
+WHERE regexp_full_match(substr(text, s + 1, 500), '(?s).*[^ \\t\\n\\r].*')
+UNION ALL SELECT doc_id, 'words', s::BIGINT, md5(array_to_string(w[s + 1 : s + 512], ' ')) FROM (
+SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 512 THEN [0] ELSE range(0, len(w) - 50, 462) END) AS s FROM (
+SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM documents))""".replace("\\\\", "\\"),
+)
+def windows(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    n = F.char_length("text")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(450))).otherwise(F.array().cast("array<int>"))
+    chars = docs.select("doc_id", "text", F.explode(starts).alias("s")).select("doc_id", F.lit("chars").alias("kind"), F.col("s").cast("long").alias("start"), F.col("text").substr(F.col("s") + 1, F.lit(500)).alias("c")).where(F.col("c").rlike(r"[^ \t\n\r]"))
+    words = docs.select("doc_id", F.explode(ch.word_windows(F.col("text"))).alias("w")).select("doc_id", F.lit("words").alias("kind"), F.col("w.start").cast("long").alias("start"), F.col("w.content").alias("c"))
+    return chars.unionByName(words).select("doc_id", "kind", "start", F.md5("c").alias("digest"))
+
+
+@query(
+    "q31",
+    """SELECT vec_id, len(embedding)::BIGINT AS dim, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm,
+round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first FROM embeddings WHERE len(embedding) = 64""",
+)
+def unit_vectors(spark, sf_dir):
+    chunks = read(spark, sf_dir, "embeddings").where(vector.fits(F.col("embedding"), 64))
+    n = vector.norm(F.col("embedding"))
+    return chunks.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(n, 6).alias("norm"), F.round(F.get("embedding", F.lit(0)).cast("double") / n, 6).alias("first"))
+
+
+@query("q32", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'model' END AS role, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
+def recent_turns(spark, sf_dir):
+    return feeds.last_turns(read(spark, sf_dir, "conversations"), "conv_id", "turn", 3).select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+@query(
+    "q33",
+    """SELECT c_custkey, substr(key_hash, 1, 8) AS prefix FROM (SELECT c_custkey, sha256(c_name) AS key_hash FROM customer) r WHERE EXISTS (
+SELECT 1 FROM customer k WHERE sha256(k.c_name) = r.key_hash AND k.c_acctbal > 0 AND (k.c_mktsegment <> 'BUILDING' OR k.c_nationkey > 12))""",
+)
+def authorised(spark, sf_dir):
+    """Accounts as keys: enabled with a positive balance; those of one segment expire by nation."""
+    people = read(spark, sf_dir, "customer").withColumn("key_hash", F.sha2("c_name", 256))
+    keys = people.select("key_hash", (F.col("c_acctbal") > 0).alias("enabled"), F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey")).alias("expires_at"))
+    return feeds.authorised(people, keys, F.lit(12)).select("c_custkey", tx.key_prefix(F.col("key_hash")).alias("prefix"))
+
+
+@query(
+    "q34",
+    """SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(count(*) FILTER (value > 20) / count(*), 6) AS error_rate FROM events GROUP BY event_type""",
+)
+def latency(spark, sf_dir):
+    return feeds.latencies(read(spark, sf_dir, "events"), "event_type", "value", F.col("value") > 20)
+
+
+_ROBOTS = "User-agent: slow\nDisallow: /secret\n\nUser-agent: *\nDisallow: /en/\nDisallow:\nDisallow: /fr/8 # old"
+
+
+@query("q35", "SELECT page_id, url FROM pages WHERE NOT (regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) LIKE '/en/%' OR regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) LIKE '/fr/8%')")
+def robots(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    rules = listings.disallowed(pages.select("host").distinct().withColumn("robots", F.lit(_ROBOTS)))
+    return listings.allowed(pages, rules).select("page_id", "url")
+
+
+@query(
+    "q36",
+    """SELECT strftime(d.day, '%Y-%m-%d') AS day, count(e.event_id) AS items FROM (SELECT unnest(generate_series(DATE '2024-01-26', DATE '2024-02-01', INTERVAL 1 DAY)) AS day) d
+LEFT JOIN events e ON e.ts::DATE = d.day::DATE AND e.event_type LIKE 'p%' GROUP BY d.day""",
+)
+def last_days(spark, sf_dir):
+    items = read(spark, sf_dir, "events").where(F.col("event_type").startswith("p")).select(F.col("ts").cast("date").alias("day"), "event_id")
+    days = listings.gazette_days(spark, "2024-02-01")
+    return days.join(items, "day", "left").groupBy("day").agg(F.count("event_id").alias("items")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "items")
+
+
+@query("q37", "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w > 3 AS rejected FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 36000 SECOND PRECEDING AND CURRENT ROW)")
+def request_rate(spark, sf_dir):
+    return feeds.rate_limited(read(spark, sf_dir, "events"), "user_id", "ts", 36_000, 3).select("event_id", "recent", "rejected")
+
+
+@query(
+    "q38",
+    """SELECT page_id, CASE WHEN starts_with(h, '<?xml') OR starts_with(h, '<gesetz') THEN 'xml' WHEN starts_with(h, '%PDF') THEN 'pdf' ELSE 'html' END AS format FROM (
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<?xml version="1.0"?>' || html WHEN page_id % 3 = 1 THEN '%PDF-1.7' ELSE html END AS h FROM pages)""",
+)
+def formats(spark, sf_dir):
+    head = F.expr("CASE WHEN page_id % 3 = 0 THEN '<?xml version=\"1.0\"?>' || html WHEN page_id % 3 = 1 THEN '%PDF-1.7' ELSE html END")
+    return read(spark, sf_dir, "pages").select("page_id", tx.sniff(head).alias("format"))
+
+
+@query("q39", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages")
+def article(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", markup.article_text(F.col("html")).alias("text"))
+
+
+@query("q39_markdown")
+def page_markdown(spark, sf_dir):
+    """Parsed pages as Markdown and as clean text, with a status for each row."""
+    pages = read(spark, sf_dir, "pages").select("page_id", markup.html_markdown("html").alias("m"), markup.html_text("html").alias("t"))
+    return pages.select("page_id", F.col("m.text").alias("markdown"), F.col("t.text").alias("text"), F.coalesce("m.error", "t.error").alias("error"))
+
+
+@query(
+    "q40",
+    r"""SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1) AS segment,
+'portal_' || replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1), '.', '_') AS id FROM pages""",
+)
+def addresses(spark, sf_dir):
+    url = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", tx.origin(url).alias("origin"), tx.last_segment(url).alias("segment"), tx.url_id(url, "portal_").alias("id"))
+
+
+_CELEX = "concat('3', 2000 + p_size, CASE p_brand[-1:] WHEN '1' THEN 'R' WHEN '2' THEN 'L' WHEN '3' THEN 'D' ELSE 'X' END, lpad(p_partkey::VARCHAR, 4, '0'))"
+
+
+@query(
+    "q41",
+    f"""SELECT p_partkey, {_CELEX} AS celex, CASE substr({_CELEX}, 6, 1) WHEN 'R' THEN 'regulation' WHEN 'L' THEN 'directive' WHEN 'D' THEN 'decision' ELSE 'unknown' END AS kind,
+regexp_extract(p_name || ' (' || p_type || ')', '\\(([A-Za-zÄÖÜäöüß0-9]+)\\)', 1) AS abbreviation FROM part""".replace("\\\\", "\\"),
+)
+def celex(spark, sf_dir):
+    letter = F.expr("CASE right(p_brand, 1) WHEN '1' THEN 'R' WHEN '2' THEN 'L' WHEN '3' THEN 'D' ELSE 'X' END")
+    number = F.concat(F.lit("3"), (2000 + F.col("p_size")).cast("string"), letter, F.lpad(F.col("p_partkey").cast("string"), 4, "0"))
+    parts = read(spark, sf_dir, "part").withColumn("celex", number)
+    return parts.select("p_partkey", "celex", tx.celex_kind(F.col("celex")).alias("kind"), tx.abbreviation(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("abbreviation"))
+
+
+_DIRTY = "concat('MÃ¼nchen – „Stra', 'ÃŸe', chr(160), '  ', source, '   ', chr(10), chr(10), ' ', chr(10), chr(10), text, '  ', chr(10))"
+
+
+def _sql_normal(x: str) -> str:
+    for a, b in tx.MOJIBAKE:
+        x = f"replace({x}, '{a}', '{b}')"
+    x = f"translate({x}, '–—„', '--\"')"
+    x = rf"regexp_replace({x}, ' +', ' ', 'g')"
+    x = rf"regexp_replace({x}, '\n[ \t\n\r\f\v]*\n[ \t\n\r\f\v]*\n+', chr(10) || chr(10), 'g')"
+    x = rf"regexp_replace({x}, '[ \t\r\f\v]+(\n)', '\1', 'g')"
+    return rf"regexp_replace({x}, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')"
+
+
+@query("q42", f"SELECT doc_id, md5({_sql_normal(_DIRTY)}) AS digest FROM documents")
+def normaliser(spark, sf_dir):
+    dirty = F.concat(F.lit("MÃ¼nchen – „StraÃŸe\xa0  "), "source", F.lit("   \n\n \n\n"), "text", F.lit("  \n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(tx.normalise(dirty)).alias("digest"))
+
+
+_CITED = "CASE lang WHEN 'de' THEN 'Nach Art. 5b und § 12a Abs. 3 gilt: ' WHEN 'en' THEN 'see abs. 4, artikel. 9 ' ELSE '' END || text"
+
+
+@query("q43", f"SELECT doc_id, coalesce(nullif(regexp_extract(t, '(?i)§\\s*\\d+[a-z]?(?:\\s+Abs\\.\\s*\\d+)?', 0), ''), nullif(regexp_extract(t, '(?i)Art(?:ikel)?\\.\\s*\\d+[a-z]?', 0), ''), nullif(regexp_extract(t, '(?i)Abs(?:atz)?\\.\\s*\\d+', 0), '')) AS reference FROM (SELECT doc_id, {_CITED} AS t FROM documents)")
+def references(spark, sf_dir):
+    cited = F.concat(F.expr("CASE lang WHEN 'de' THEN 'Nach Art. 5b und § 12a Abs. 3 gilt: ' WHEN 'en' THEN 'see abs. 4, artikel. 9 ' ELSE '' END"), "text")
+    return read(spark, sf_dir, "documents").select("doc_id", tx.section_reference(cited).alias("reference"))
+
+
+def _sql_trigrams(x: str) -> str:
+    return f"(SELECT list_distinct(list(substr(t, i, 3))) FROM (SELECT t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT '  ' || lower({x}) || ' ' AS t)))"
+
+
+@query(
+    "q44",
+    f"""SELECT p_partkey, p_name, likeness FROM (SELECT p_partkey, p_name, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS likeness
+FROM (SELECT p_partkey, p_name, {_sql_trigrams("p_name")} AS a, {_sql_trigrams("'blue anvils'")} AS b FROM part)) WHERE likeness >= 0.3""",
+)
+def fuzzy_titles(spark, sf_dir):
+    return feeds.similar_titles(read(spark, sf_dir, "part"), "p_name", "blue anvils").select("p_partkey", "p_name", "likeness")
+
+
+_ACT = "'Vorspruch ' || source || chr(10) || ' § 1 ' || substr(text, 1, 40) || chr(10) || '§ 2a ' || substr(text, 41, 60) || chr(10) || '(3) ' || lang"
+
+
+@query(
+    "q45",
+    f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::BIGINT AS section_index, p AS section FROM (
+SELECT doc_id, generate_subscripts(l, 1) AS pos, regexp_replace(unnest(l), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') AS p FROM (
+SELECT doc_id, string_split(regexp_replace(t, '(\\n\\s*§\\s*\\d+[a-z]?\\s+)', chr(1) || '\\1', 'g'), chr(1))[2:] AS l FROM (SELECT doc_id, {_ACT} AS t FROM documents))) WHERE p <> ''""",
+)
+def sections(spark, sf_dir):
+    act = F.concat(F.lit("Vorspruch "), "source", F.lit("\n § 1 "), F.substring("text", 1, 40), F.lit("\n§ 2a "), F.substring("text", 41, 60), F.lit("\n(3) "), "lang")
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(ch.sections(act)).alias("section_index", "section"))
+    return rows.withColumn("section_index", F.col("section_index").cast("long"))
+
+
+def _stream(spark, sf_dir, name: str) -> DataFrame:
+    """A table as a stream; the path option takes a folder, the glob picks the table."""
+    return spark.readStream.schema(read(spark, sf_dir, name).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}*")
+
+
+def _drained(spark, stream: DataFrame, name: str) -> DataFrame:
+    """All that an append-mode stream emits until its input is used up, written to the shared folder."""
+    from statuta.streaming.store import drain
+
+    return drain(spark, stream, name)
+
+
+@query(
+    "q46",
+    """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
+GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
+def tumbling(spark, sf_dir):
+    """A stream run to its end. Windows that the watermark has not passed stay open and are not emitted."""
+    from statuta.streaming import flows
+
+    events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _drained(spark, flows.tumbling(events, "ts", "1 hour", "10 minutes", "event_type"), "tumbling")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    "q47",
+    """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (
+SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
+def sessions(spark, sf_dir):
+    from statuta.streaming import flows
+
+    events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _drained(spark, flows.sessions(events, "ts", "6 hours", "10 minutes", "user_id"), "sessions")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("q48")
+def resource_tables(spark, sf_dir):
+    """The domains of the corpus, a constant table."""
+    return schema.resources(spark)
+
+
+@query("q49", "SELECT p_partkey, CASE WHEN NOT starts_with(p_type, 'ECONOMY') THEN 'unsupported' WHEN p_size = 1 THEN 'empty' WHEN octet_length((repeat('x', p_size))::BLOB) > 30 THEN 'too large' ELSE 'accepted' END AS status FROM part")
+def uploads(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("mime_type"), F.when(F.col("p_size") > 1, F.expr("repeat('x', p_size)")).cast("binary").alias("content"))
+    return state.accepted(parts, "ECONOMY", 30).select("p_partkey", "status")
+
+
+@query("q50", "SELECT conv_id, max(turn) + 1 AS next_version, count(*) AS n_versions FROM conversations GROUP BY conv_id")
+def next_versions(spark, sf_dir):
+    talks = read(spark, sf_dir, "conversations")
+    return talks.groupBy("conv_id").agg((F.coalesce(F.max("turn"), F.lit(0)) + 1).alias("next_version"), F.count("*").alias("n_versions"))
