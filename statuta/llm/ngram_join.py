@@ -9,9 +9,10 @@ left cannot bring it to the bound any more.
 
 Sets that are equal become one row before anything is joined. A bucket of rows that agree in a block is not
 expanded into pairs: each member is tried with one centre, linked members form components, and only buckets that
-still hold several components go on, with other centres. When a round links nothing new, the pairs across
-components that no round has tried are tried. So every component is exact, and a group of thousands of near
-copies costs a few candidates for each member and block.
+still hold several components go on, with another centre. What is left then, rows in buckets of several
+components, is multiplied in blocks of rows, those outside the largest component of their cluster with all. So
+every component is exact; near copies cost a few candidates for each member, and no pair of rows is ever shuffled
+beyond those with a centre.
 
 Defined results: null and empty texts have an empty set, 0 n-grams, and link with nothing; a text of fewer than n
 words is one n-gram; repeated rows each give a row; rows that share an id count as linked; a row without an id is
@@ -20,10 +21,12 @@ a component of its own, without a number; other columns are ignored; an empty ta
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,28 +36,23 @@ from statuta.llm.components import components
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _SIDE = np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL = np.uint64(0x165667B19E3779F9)
-#: Rounds of one centre a bucket before pairs are tried one by one.
-ROUNDS = 6
+#: Rounds of one centre a bucket; then rows of a block, and columns of one step, of the blocked matrix product.
+ROUNDS, BLOCK, COLUMNS = 2, 256, 8192
 
 
 class Levels:
     """Size bands: a set and any that may link with it are in the same band or in neighbouring ones."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.lows = num, den, [1]
+        self.lows = [1]
+        while self.lows[-1] < 2**40:
+            self.lows.append(self.lows[-1] * den // num + 1)
+        self.tops = [x - 1 for x in self.lows[1:]]
+        #: Column blocks for pairs whose smaller set is in a band: the most n-grams they can differ in, and two.
+        self.blocks = [(x + x * den // num) * (den - num) // (den + num) + 2 for x in self.tops]
 
     def band(self, size: int) -> int:
-        while self.lows[-1] <= size:
-            self.lows.append(self.lows[-1] * self.den // self.num + 1)
-        return int(np.searchsorted(self.lows, size, side="right")) - 1
-
-    def blocks(self, band: int) -> int:
-        """Column blocks for pairs whose smaller set is in the band: the most n-grams they can differ in, and two."""
-        self.band(self.lows[-1])
-        while len(self.lows) < band + 2:
-            self.band(self.lows[-1])
-        x = self.lows[band + 1] - 1
-        return (x + x * self.den // self.num) * (self.den - self.num) // (self.den + self.num) + 2
+        return bisect_right(self.lows, size) - 1
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -87,7 +85,7 @@ def signatures(grams: np.ndarray, levels: Levels) -> np.ndarray:
     for band in (own, own - 1):
         if band < 0:
             continue
-        k = levels.blocks(band)
+        k = levels.blocks[band]
         block = ((grams >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         edges = np.searchsorted(block, np.arange(k + 1, dtype=np.uint64))
         values = sums[edges[1:]] - sums[edges[:-1]]
@@ -179,16 +177,56 @@ def links(docs: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind:
             order = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
             centres = labelled.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("c"))
             pairs = labelled.join(centres, "sig").where((F.col("component") != F.col("c.component")) & fits("n", "c.n"))
-            pairs = pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+            new = written(verified(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()), "links")
         else:
-            other = labelled.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-            pairs = labelled.join(other, "sig").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("d")) & fits("n", "m")).select(F.col("node").alias("a"), "b")
-        new = written(verified(pairs.distinct()), "links")
+            new = written(products(labelled, grams, num, den, kind), "links")
         edges = new if edges is None else edges.unionByName(new)
         if new.take(1):
             state = components(edges)
-        elif turn == ROUNDS:
-            break
     if state is None:
         return buckets.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
     return state
+
+
+def products(labelled: DataFrame, grams: DataFrame, num: int, den: int, kind: str) -> DataFrame:
+    """Links (a, b) across components of buckets that hold several, by blocks of the sparse matrix product.
+
+    Buckets that share nodes form clusters. In a cluster the rows outside its largest component are multiplied with
+    all rows, BLOCK by BLOCK of them at a time: what is shuffled grows with the blocks, not with the pairs."""
+    nodes = written(labelled.select("node", "component").distinct(), "rows")
+    centres = labelled.groupBy("sig").agg(F.min("node").alias("b"))
+    clusters = components(labelled.join(centres, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    rows = nodes.join(clusters.withColumnRenamed("component", "cluster"), "node")
+    parts = rows.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    sums = parts.groupBy("cluster").agg(F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("top"))
+    sized = written(rows.join(sums, "cluster").select("node", "cluster", "component", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("across"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("down")), "clusters")
+    block = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = sized.where("component <> main").select("node", "cluster", "component", block("down").alias("i"), every("across").alias("j"), F.lit(True).alias("left"))
+    right = sized.select("node", "cluster", "component", every("down").alias("i"), block("across").alias("j"), F.lit(False).alias("left"))
+
+    def product(both: pa.Table) -> pa.Table:
+        a, b = both.filter(both["left"]), both.filter(pc.invert(both["left"]))
+        x, y = ([np.frombuffer(g.as_buffer(), np.uint64) for chunk in t["grams"].chunks for g in chunk] for t in (a, b))
+        if not x or not y:
+            return pa.table({"a": a["node"][:0], "b": b["node"][:0]})
+        nx, ny = np.array(list(map(len, x))), np.array(list(map(len, y)))
+        shared = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+        counts = np.zeros((len(x), len(y)), np.float32)
+        for at in range(0, len(shared), COLUMNS):
+            own = shared[at : at + COLUMNS]
+            dense = []
+            for sets in (x, y):
+                m = np.zeros((len(sets), len(own)), np.float32)
+                for r, s in enumerate(sets):
+                    s = s[np.searchsorted(s, own[0]) : np.searchsorted(s, own[-1], side="right")]
+                    k = np.searchsorted(own, s)
+                    m[r, k[own[np.minimum(k, len(own) - 1)] == s]] = 1
+                dense.append(m)
+            counts += dense[0] @ dense[1].T
+        cx, cy = (np.unique(np.concatenate((a["component"].to_numpy(), b["component"].to_numpy())), return_inverse=True)[1][part] for part in (slice(0, len(x)), slice(len(x), None)))
+        hit = (den * counts >= num * (nx[:, None] + ny[None, :] - counts)) & (cx[:, None] != cy[None, :])
+        p, q = np.nonzero(hit)
+        return pa.table({"a": a["node"].take(pa.array(p)), "b": b["node"].take(pa.array(q))})
+
+    return left.unionByName(right).join(grams, "node").groupBy("cluster", "i", "j").applyInArrow(product, f"a {kind}, b {kind}")
