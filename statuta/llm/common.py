@@ -54,6 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like this one that is not among some columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -130,7 +138,12 @@ def _tables(fold: bool) -> tuple:
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray, fold: bool, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some texts, and how many words each text has.
+    """64-bit hashes of all words of some texts, and how many words each text has."""
+    return word_spans(data, ends, fold, marks)[:2]
+
+
+def word_spans(data: np.ndarray, ends: np.ndarray, fold: bool, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, words of each text, and where each word begins and ends.
 
     data: the UTF-8 bytes of the texts, joined with one space after each; ends: where each text ends (its
     space). fold: A-Z count as a-z. A word's hash is a polynomial in hashed bytes, then mixed; a long run
@@ -138,7 +151,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, fold: bool, marks: bool = Fa
     """
     code, up, down = _tables(fold)
     parts = _MARKS if marks else _SPACE
-    out, starts_at = [], []
+    out, starts_at, stops_at = [], [], []
     at, n = 0, len(data)
     while at < n:
         to = min(n, at + _PIECE)
@@ -159,10 +172,11 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, fold: bool, marks: bool = Fa
         np.cumsum(code[piece] * up[: len(piece)], out=total[1:])
         out.append(mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))
         starts_at.append(begin + at)
+        stops_at.append(end + at)
         at = to
     hashes = np.concatenate(out) if out else np.empty(0, np.uint64)
-    begins = np.concatenate(starts_at) if starts_at else np.empty(0, np.int64)
-    return hashes, np.diff(np.searchsorted(begins, np.asarray(ends)), prepend=0)
+    begins, stops = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts_at, stops_at))
+    return hashes, np.diff(np.searchsorted(begins, np.asarray(ends)), prepend=0), begins, stops
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

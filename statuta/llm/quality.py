@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import GAP_RE, WORD_RE, written
+from statuta.llm.common import GAP_RE, WORD_RE, fresh, written
 
 ROUNDS = 30
 #: Pseudo-counts, as shares of all documents, that hold each rule to what its votes mean; share of good at first.
@@ -147,6 +147,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, with all their columns."""
-    measured = written(docs.withColumn("_quality", measures(F.col(text_col))), "quality")
-    m = F.col("_quality")
-    return measured.where(~base_failed(m) & (judged(measured, m) >= 0.5)).drop("_quality")
+    name = fresh(docs.columns, "_quality")
+    measured = written(docs.withColumn(name, measures(F.col(text_col))), "quality")
+    m = F.col(name)
+    return measured.where(~base_failed(m) & (judged(measured, m) >= 0.5)).drop(name)

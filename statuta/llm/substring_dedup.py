@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import _powers, joined, mix, prepare, slices, text_bytes, word_hashes, written
+from statuta.llm.common import _powers, fresh, joined, mix, prepare, slices, text_bytes, word_hashes, written
 
 #: Words of a phrase that anchors windows.
 SEED = 8
@@ -156,21 +156,23 @@ def _strip(text: bytes, starts: list[int] | None, window: int) -> tuple[list[byt
     return words, [w for w, gone in zip(words, (np.cumsum(step[:-1]) > 0).tolist(), strict=True) if not gone]
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Docs with the column _starts: where windows to remove start, null for none."""
+def marked(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, str]:
+    """Docs with one more column, and its name: where windows to remove start, null for none."""
+    own, key, starts = (fresh(docs.columns, x) for x in ("_id", "_tkey", "_starts"))
     gone = removals(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window)
-    gone = gone.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("starts").alias("_starts"))
-    return docs.join(gone, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_tkey")), "left").drop("_id", "_tkey")
+    gone = gone.select(F.col("id").alias(own), F.col("tkey").alias(key), F.col("starts").alias(starts))
+    return docs.join(gone, (F.col(id_col) == F.col(own)) & (F.xxhash64(text_col) == F.col(key)), "left").drop(own, key), starts
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """One row per document: its id, n_words, n_removed and kept_sha256 (of the words that stay, joined by one space)."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    found, starts = marked(docs.select(id_col, text_col), id_col, text_col, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column=text_col):
-            rows = [_strip(t, s, window) for t, s in zip(text_bytes(batch, text_col), batch.column("_starts").to_pylist(), strict=True)]
+            rows = [_strip(t, s, window) for t, s in zip(text_bytes(batch, text_col), batch.column(starts).to_pylist(), strict=True)]
             yield pa.record_batch(
                 {
                     id_col: batch.column(id_col),
@@ -180,21 +182,21 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                 }
             )
 
-    return marked(docs.select(id_col, text_col), id_col, text_col, window).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
+    return found.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """Documents without the words that go. Untouched texts stay as they are, others are their words joined by one
     space; a document that loses its last word goes."""
     prepare(docs.sparkSession)
-    found = marked(docs, id_col, text_col, window)
+    found, starts = marked(docs, id_col, text_col, window)
     names = found.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
         for batch in slices(batches, column=text_col):
-            texts = [t if not s else b" ".join(_strip(t.encode(), s, window)[1]).decode() for t, s in zip(batch.column(text_col).to_pylist(), batch.column("_starts").to_pylist(), strict=True)]
+            texts = [t if not s else b" ".join(_strip(t.encode(), s, window)[1]).decode() for t, s in zip(batch.column(text_col).to_pylist(), batch.column(starts).to_pylist(), strict=True)]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.filter(pa.array([not (s and not t) for t, s in zip(texts, batch.column("_starts").to_pylist(), strict=True)])).drop_columns(["_starts"])
+            yield batch.filter(pa.array([not (s and not t) for t, s in zip(texts, batch.column(starts).to_pylist(), strict=True)])).drop_columns([starts])
 
     return found.mapInArrow(run, docs.schema)
