@@ -18,8 +18,8 @@ import json
 import os
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statuta.llm.common import prepare, scratch, slices, text_bytes, width, written
+from statuta.llm.common import joined, prepare, scratch, slices, text_bytes, width, word_spans, written
 
 MAGIC = b"WVMX0001"
-#: Tokens after which a shard is closed, bytes of a plane for each sampled count, words that a worker caches.
-SHARD_TOKENS, SAMPLE, CACHE = 4_000_000, 64, 400_000
+#: Tokens after which a shard is closed, bytes of a plane for each sampled count, words that a worker keeps.
+SHARD_TOKENS, SAMPLE, CACHE = 4_000_000, 64, 4_000_000
+#: Tokens of a piece: its planes are built in the processor's cache.
+PIECE_TOKENS = 1 << 19
 
 
 class WaveletMatrix:
@@ -50,9 +52,9 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             ones = (now & now.dtype.type(1 << k)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
-            left = now[~ones]
+            left = np.compress(~ones, now)
             zeros.append(len(left))
-            now = np.concatenate((left, now[ones]))
+            now = np.concatenate((left, np.compress(ones, now)))
         return cls(len(ids), zeros, planes)
 
     def _bit(self, k: int, i: int) -> int:
@@ -122,67 +124,166 @@ class WaveletMatrix:
         now = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
-            z, back = self.zeros[k], np.empty_like(now)
-            back[~ones] = now[:z]
-            back[ones] = now[z:] | now.dtype.type(1 << (len(self.planes) - 1 - k))
+            now[self.zeros[k] :] |= now.dtype.type(1 << (len(self.planes) - 1 - k))
+            back = np.empty_like(now)
+            back[np.concatenate((np.flatnonzero(~ones), np.flatnonzero(ones)))] = now
             now = back
         return now
 
 
-def dump(matrix: WaveletMatrix, header: dict) -> bytes:
-    """A file: magic, length of the header, header (JSON), then each plane, all parts compressed."""
-    parts = [zstandard.compress(p.tobytes(), 1) for p in matrix.planes]
-    head = zstandard.compress(json.dumps(header | {"n": matrix.n, "zeros": matrix.zeros, "sizes": [len(p) for p in parts]}).encode(), 3)
-    return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *parts])
+class Shard:
+    """Wavelet matrices of successive pieces of one sequence, with the same questions."""
 
+    def __init__(self, pieces: list[WaveletMatrix]):
+        self.pieces = pieces
+        self.starts = np.cumsum([0, *(p.n for p in pieces)]).tolist()
+        self.n = self.starts[-1]
 
-def load(data: bytes) -> tuple[WaveletMatrix, dict]:
+    @classmethod
+    def build(cls, ids: np.ndarray) -> Shard:
+        return cls([WaveletMatrix.build(ids[i : i + PIECE_TOKENS]) for i in range(0, len(ids), PIECE_TOKENS)])
+
+    def access(self, i: int) -> int:
+        k = bisect_right(self.starts, i) - 1
+        return self.pieces[k].access(i - self.starts[k])
+
+    def rank(self, value: int, i: int) -> int:
+        return sum(p.rank(value, min(i - s, p.n)) for p, s in zip(self.pieces, self.starts, strict=False) if i > s)
+
+    def count(self, value: int) -> int:
+        return sum(p.count(value) for p in self.pieces)
+
+    def select(self, value: int, nth: int) -> int:
+        for p, s in zip(self.pieces, self.starts, strict=False):
+            n = p.count(value)
+            if 0 <= nth < n:
+                return s + p.select(value, nth)
+            nth -= n
+        return -1
+
+    def occurrences(self, value: int) -> Iterator[int]:
+        return (s + i for p, s in zip(self.pieces, self.starts, strict=False) for i in p.occurrences(value))
+
+    def tokens(self) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint32), *(p.tokens() for p in self.pieces)])
+
+
+def dump(shard: Shard, header: dict) -> bytes:
+    """A file: magic, length of the header, header (JSON), then each plane of each piece, all parts compressed."""
+    parts = [[zstandard.compress(x.tobytes(), 1) for x in p.planes] for p in shard.pieces]
+    pieces = [{"n": p.n, "zeros": p.zeros, "sizes": list(map(len, own))} for p, own in zip(shard.pieces, parts, strict=True)]
+    head = zstandard.compress(json.dumps(header | {"pieces": pieces}).encode(), 3)
+    return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *(x for own in parts for x in own)])
+
+
+def load(data: bytes) -> tuple[Shard, dict]:
     if data[:8] != MAGIC:
         raise ValueError("not a shard")
     at = 16 + int.from_bytes(data[8:16], "little")
     head = json.loads(zstandard.decompress(data[16:at]))
-    planes = []
-    for n in head["sizes"]:
-        planes.append(np.frombuffer(zstandard.decompress(data[at : at + n]), np.uint8))
-        at += n
-    return WaveletMatrix(head["n"], head["zeros"], planes), head
+    pieces = []
+    for piece in head["pieces"]:
+        planes = []
+        for n in piece["sizes"]:
+            planes.append(np.frombuffer(zstandard.decompress(data[at : at + n]), np.uint8))
+            at += n
+        pieces.append(WaveletMatrix(piece["n"], piece["zeros"], planes))
+    return Shard(pieces), head
+
+
+def spread(flat: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences numbered ``at``, one after the other, of sequences that lie one after the other; their lengths."""
+    starts, own = np.cumsum(lens) - lens, lens[at]
+    ends = np.cumsum(own)
+    return flat[np.repeat(starts[at] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)], own
 
 
-class WordEncoder(dict):
-    """Words (bytes) to ids, each word encoded once while it is cached. Only for tokenizers that never reach
-    across white space. The key None stands for the end of a document."""
+class WordIds:
+    """Ids of words, each encoded once while a worker keeps it; sorted arrays by the word's hash, no objects.
+
+    Only for tokenizers that part letters from the marks behind them, keep no case and never reach across white
+    space. At CACHE words it starts anew."""
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.border = special[-1] if special else None
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self[None], self.new, self.lens, self.flat = 0, [], np.array([1]), np.array([self.end], np.uint32)
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
-    def encode(self, words: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and how many each word has."""
-        if len(self) > CACHE:
+        self.keys, self.starts, self.lens = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.flat = np.array([self.end], np.uint32)
+
+    def lookup(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of some words; many in one call, parted by a special token, which ends any word."""
+        many = [i for i, w in enumerate(words) if self.border and "<|" not in w and self.border[1] not in w]
+        lone = sorted(set(range(len(words))).difference(many)) if len(many) < len(words) else []
+        got: list = [None] * len(words)
+        if many:
+            border, mark = self.border
+            packs = [mark.join([words[i] for i in many[k : k + 500]]) for k in range(0, len(many), 500)]
+            flat: list[int] = []
+            for x in self.tokenizer.encode_batch_fast(packs, add_special_tokens=False):
+                flat += x.ids
+                flat.append(border)
+            ids = np.array(flat, np.uint32)
+            cuts = np.flatnonzero(ids == border).tolist()
+            for i, a, b in zip(many, [-1, *cuts], cuts, strict=False):
+                got[i] = ids[a + 1 : b]
+        for i, x in zip(lone, self.tokenizer.encode_batch([words[i] for i in lone], add_special_tokens=False), strict=True):
+            got[i] = np.array(x.ids, np.uint32)
+        return got
+
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Encode new words; keys are their hashes, ascending. Letters and the marks behind them are encoded apart,
+        so that of a word before a full stop and before a comma only one is."""
+        stems: dict[str, int] = {}
+        pairs = []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            stem = text.rstrip(".,")
+            if stem is not text and not stem.isalpha():
+                stem = text
+            if stem.isascii() and stem.isalpha():
+                pairs += (stems.setdefault(stem.lower(), len(stems)), stems.setdefault(text[len(stem) :], len(stems)))
+            else:
+                pairs += (stems.setdefault(stem, len(stems)), stems.setdefault(text[len(stem) :], len(stems)))
+        got = self.lookup(list(stems))
+        flat, lens = spread(np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)), np.array(pairs))
+        lens = lens.reshape(-1, 2).sum(axis=1)
+        at = np.searchsorted(self.keys, keys)
+        self.starts = np.insert(self.starts, at, len(self.flat) + np.cumsum(lens) - lens)
+        self.lens = np.insert(self.lens, at, lens.astype(np.int32))
+        self.keys, self.flat = np.insert(self.keys, at, keys), np.concatenate((self.flat, flat))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each ended, and how many each text has."""
+        data, ends = joined(texts)
+        hashes, counts, begins, stops = word_spans(data, ends, fold=False)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        fresh = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, bool)
+        keys, first = ranked[fresh], order[fresh]
+        group = np.empty(len(hashes), np.int64)
+        group[order] = np.cumsum(fresh) - 1
+        if len(self.keys) + len(keys) > CACHE:
             self.reset()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            got = [x.ids for x in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in self.new], add_special_tokens=False)]
-            self.lens = np.concatenate((self.lens, np.fromiter(map(len, got), np.int64, len(got))))
-            self.flat = np.concatenate((self.flat, np.fromiter((i for x in got for i in x), np.uint32)))
-            self.new = []
-        starts = np.cumsum(self.lens) - self.lens
-        lens = self.lens[at]
-        ends = np.cumsum(lens)
-        return self.flat[np.repeat(starts[at] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)], lens
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            raw = data.tobytes()
+            self.learn(keys[new], [raw[a:b] for a, b in zip(begins[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        last = np.cumsum(counts)
+        starts, lens = np.insert(self.starts[at].take(group), last, 0), np.insert(self.lens[at].astype(np.int64).take(group), last, 1)
+        cuts = np.cumsum(lens)
+        ids = self.flat.take(np.repeat(starts - cuts + lens, lens) + np.arange(cuts[-1]))
+        return ids, np.diff(cuts[np.cumsum(counts + 1) - 1], prepend=0)
 
 
 def _put(path: str, data: bytes) -> None:
@@ -196,10 +297,17 @@ def _put(path: str, data: bytes) -> None:
     store.move(aside, at)
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
+_WORDS: dict[tuple, WordIds] = {}
+
+
+def kept(path: str, end: int) -> WordIds:
+    """The worker's own, also for later tasks. (What a nested function refers to by name is copied for each task.)"""
+    if (path, end) not in _WORDS:
+        _WORDS[path, end] = WordIds(path, end)
+    return _WORDS[path, end]
 
 
-def write_shards(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = 1) -> DataFrame:
+def write_shards(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = 1, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the shards of all documents in ascending order of id. Returns the manifest: part, shard, n_docs, n_tokens."""
     spark = docs.sparkSession
     prepare(spark)
@@ -209,30 +317,21 @@ def write_shards(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if (path, end) not in _ENCODERS:
-            _ENCODERS[path, end] = WordEncoder(path, end)
-        encoder, part = _ENCODERS[path, end], TaskContext.get().partitionId()
+        encoder, part = kept(path, end), TaskContext.get().partitionId()
         shard, ids, counts, tokens, total = 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            matrix = WaveletMatrix.build(np.concatenate(tokens))
+            matrix = Shard.build(np.concatenate(tokens))
             _put(f"{to}/{part:06d}-{shard:06d}.wvm", dump(matrix, {"part": part, "shard": shard, "ids": ids, "counts": counts}))
             return pa.record_batch([pa.array([x], pa.int64()) for x in (part, shard, len(ids), matrix.n)], ["part", "shard", "n_docs", "n_tokens"])
 
-        for batch in slices(batches, column=text_col):
-            words, sizes = [], []
-            for text in text_bytes(batch, text_col):
-                own = text.split()
-                sizes.append(len(own) + 1)
-                words += own
-                words.append(None)
-            got, lens = encoder.encode(words)
-            ends = np.cumsum(lens)[np.cumsum(sizes) - 1]
+        for batch in slices(batches, 4_000_000, text_col):
+            got, lens = encoder.encode(text_bytes(batch, text_col))
             ids += batch.column(id_col).to_pylist()
-            counts += np.diff(ends, prepend=0).tolist()
-            tokens.append(got.astype(np.uint32))
+            counts += lens.tolist()
+            tokens.append(got)
             total += len(got)
-            if total > SHARD_TOKENS:
+            if total > shard_tokens:
                 yield close()
                 shard, ids, counts, tokens, total = shard + 1, [], [], [], 0
         if ids:
@@ -262,11 +361,11 @@ def read_shards(spark: SparkSession, at: str, manifest: DataFrame, id_col: str =
     return rows.join(bases, ["part", "shard"]).select(F.col("id").alias(id_col), (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write all documents as shards in the shared folder and read every file back."""
     spark = docs.sparkSession
     to = scratch(spark, "shards")
-    manifest = write_shards(docs, to, id_col, text_col)
+    manifest = write_shards(docs, to, id_col, text_col, shard_tokens=shard_tokens)
     kind = docs.schema[id_col].dataType.simpleString()
     if not manifest.take(1):
         return spark.createDataFrame([], f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long")
