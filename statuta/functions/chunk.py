@@ -17,15 +17,17 @@ ARTICLES = ("Artikel", "Article", "Art.")
 MARK = "\x01"
 
 
-def paragraphs(text: Column, sep: str = "\n\n", longer_than: int = 50, cut: int | None = 5000) -> Column:
+def paragraphs(text: Column, sep: str = "\n\n", longer_than: int = 50, cut: int | None = 5000, whole_line: bool = False) -> Column:
     """Array of content, reference and tokens of the paragraphs longer than a bound, in order.
 
-    The reference is what stands before the first hyphen of the first line of a paragraph that opens an article."""
+    The reference is what stands before the first hyphen of the first line of a paragraph that opens an article;
+    with ``whole_line`` all of that line."""
     parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), sep), strip), lambda p: F.char_length(p) > longer_than)
 
     def one(p: Column) -> Column:
         opens = p.startswith(ARTICLES[0]) | p.startswith(ARTICLES[1]) | p.startswith(ARTICLES[2])
-        line = F.substring_index(F.substring_index(p, "\n", 1), "-", 1)
+        line = F.substring_index(p, "\n", 1)
+        line = line if whole_line else F.substring_index(line, "-", 1)
         return F.struct((F.substring(p, 1, cut) if cut else p).alias("content"), F.when(opens, strip(line)).alias("reference"), token_estimate(p).alias("tokens"))
 
     return F.transform(parts, one)
@@ -107,6 +109,18 @@ def quarter(text: str) -> int:
     return -(-len(text) // 4)
 
 
+def bpe_sizer(path: str, pattern: str) -> Callable[[str], int]:
+    """Counts tokens by a rank file (base64 token and rank a line), where one is there; ``quarter`` needs none."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("sizer", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: len(encoding.encode_ordinary(text))
+
+
 def semantic(most: int = 512, overlap: int = 0, sizer: Callable[[str], int] = quarter):
     """A function column -> array of content and tokens, cut by ``bounded`` in Arrow batches."""
 

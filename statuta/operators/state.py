@@ -80,6 +80,31 @@ def run_totals(classified: DataFrame, source: str) -> DataFrame:
     return classified.rollup(source).agg(*(c.alias(k) for k, c in count.items()))
 
 
+def inserted(table: DataFrame, **values) -> tuple[DataFrame, DataFrame]:
+    """The table with one row more, and that row; columns not given are null."""
+    row = table.sparkSession.range(1).select(*(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in table.schema))
+    return table.unionByName(row), row
+
+
+def started(runs: DataFrame, run: str, source: str, now: Column) -> DataFrame:
+    """The run log with a run that began."""
+    row = runs.sparkSession.range(1).select(
+        *({"id": F.lit(run), "source_id": F.lit(source), "started_at": now, "status": F.lit("running")}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in runs.schema)
+    )
+    return runs.unionByName(row)
+
+
+def finished(runs: DataFrame, run: str, totals: DataFrame, now: Column, error: str | None = None) -> DataFrame:
+    """The run log with a run's end: completed with the counters of ``totals`` (one row), or failed."""
+    pairs = {"docs_discovered": "discovered", "docs_new": "n_new", "docs_updated": "n_updated", "docs_unchanged": "n_unchanged"}
+    one = totals.select(F.lit(run).alias("_run"), *(F.col(b).alias(f"_{a}") for a, b in pairs.items()))
+    mine = F.col("id") == run
+    out = {a: F.when(mine, F.col(f"_{a}").cast("int")).otherwise(F.col(a)) for a in pairs}
+    out |= {"completed_at": F.when(mine, now).otherwise(F.col("completed_at")), "status": F.when(mine, F.lit("failed" if error else "completed")).otherwise(F.col("status"))}
+    out |= {"error_message": F.when(mine, F.lit(error)).otherwise(F.col("error_message"))}
+    return runs.join(one, runs["id"] == one["_run"], "left").withColumns(out).select(*runs.columns)
+
+
 def accepted(uploads: DataFrame, mime: str = "application/pdf", most: int = 50 * 1024 * 1024) -> DataFrame:
     """Uploads (mime_type, content) with a status: accepted, unsupported, empty or too large."""
     size = F.coalesce(F.octet_length("content"), F.lit(0))

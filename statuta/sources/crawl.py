@@ -54,6 +54,24 @@ class TokenBucket:
         self.left -= 1
 
 
+class CircuitBreaker:
+    """After more than ``most`` failures in a row calls are refused until ``rest`` seconds have passed."""
+
+    def __init__(self, most: int = 5, rest: float = 60, clock=time.monotonic):
+        self.most, self.rest, self.clock, self.failed, self.since = most, rest, clock, 0, 0.0
+
+    def call(self, f: Callable, *args):
+        if self.failed > self.most and self.clock() - self.since < self.rest:
+            raise ConnectionError("too many failures; resting")
+        try:
+            out = f(*args)
+        except OSError:
+            self.failed, self.since = self.failed + 1, self.clock()
+            raise
+        self.failed = 0
+        return out
+
+
 def sniff(head: bytes) -> str:
     if head.startswith((b"<?xml", b"<gesetz")):
         return "xml"
@@ -79,11 +97,11 @@ class PortalReader(DataSourceReader):
         return [Page(host, urls[i : i + self.size]) for host, urls in hosts.items() for i in range(0, len(urls), self.size)]
 
     def read(self, page: Page) -> Iterator[tuple]:
-        bucket = TokenBucket(self.rate)
+        bucket, breaker = TokenBucket(self.rate), CircuitBreaker()
         for url in page.urls:
             bucket.take()
             try:
-                content = retried(FETCHERS[self.fetcher], url)
+                content = breaker.call(retried, FETCHERS[self.fetcher], url)
                 yield url, page.host, sniff(content[:64]), content, None
             except OSError as e:
                 yield url, page.host, None, None, f"{type(e).__name__}: {e}"

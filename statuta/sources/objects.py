@@ -29,6 +29,21 @@ def joined_pages(pages: DataFrame, document: str, page: str, text: str) -> DataF
     return out.withColumn("error", F.when(F.col("text") == "", "no text"))
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write one blob, in place of one that is there."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def get(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     """Delete a blob; a missing one is no error."""
     jvm = spark._jvm
