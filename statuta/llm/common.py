@@ -43,13 +43,37 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/statuta-{name}-{uuid.uuid4().hex}"
 
 
+#: Scratch tables of this application that have not been deleted.
+_SCRATCH: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     path = scratch(df.sparkSession, name)
+    _SCRATCH.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_tables() -> list[str]:
+    return list(_SCRATCH)
+
+
+def sweep(spark: SparkSession, paths: list[str], *keep: DataFrame) -> list[str]:
+    """Delete scratch tables, but those that some DataFrames read; returns what is left of them.
+
+    Only for callers who know that what was built on the others has been written."""
+    used, left = [f for df in keep for f in df.inputFiles()], []
+    for path in paths:
+        if any(path.rpartition("/")[2] in f for f in used):
+            left.append(path)
+        else:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _SCRATCH.remove(path)
+    return left
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
