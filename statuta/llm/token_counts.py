@@ -15,6 +15,7 @@ choice of frequent pre-tokens only change speed; other columns are ignored; an e
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -64,7 +65,15 @@ class Lengths(dict):
         return sum(map(self.__getitem__, pre_tokens(text)))
 
 
-_KEPT: dict[tuple, Lengths] = {}
+_KEPT: dict[str, Lengths] = {}
+
+
+def kept(mark: str, path: str, table) -> Lengths:
+    """The worker's own lengths for a broadcast table, also for later tasks; those of another table go."""
+    if mark not in _KEPT:
+        _KEPT.clear()
+        _KEPT[mark] = Lengths(path, dict(zip(*table.value, strict=True)))
+    return _KEPT[mark]
 
 
 def frequent_lengths(docs: DataFrame, text_col: str, path: str) -> tuple[list[bytes], list[int]]:
@@ -92,14 +101,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prepare(spark)
     path = tokenizer or public_tokenizers.path("piece_bpe_32k.model")
     docs = docs.select(id_col, text_col)
-    table = spark.sparkContext.broadcast(frequent_lengths(docs, text_col, path))
+    table, mark = spark.sparkContext.broadcast(frequent_lengths(docs, text_col, path)), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, id(table))
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = Lengths(path, dict(zip(*table.value, strict=True)))
-        lengths = _KEPT[key]
+        lengths = kept(mark, path, table)
         for batch in slices(batches, column=text_col):
             texts = text_bytes(batch, text_col)
             tokens = [lengths.count(t) for t in texts]
