@@ -6,6 +6,8 @@ exactly those bytes, so Python code splits encoded text, never ``str``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,16 +18,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to Python: 512 rows of the longest texts seen stay below 64 MB.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch that goes to Python; the first bound that is met ends it.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 #: Java regular expression of a separator run, and the class of characters of a word.
 GAP_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows; the byte bound of the session, if any, stays."""
+    """Bound the Arrow batches that go to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,6 +93,12 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give a worker's freed memory back to the system at the end of a task; idle workers stay for the next one."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
