@@ -4,11 +4,12 @@
    sends each distinct pre-token, once, to the bucket of its hash: packed, one message per block and bucket.
 2. A bucket encodes each distinct pre-token once, whatever number of blocks sent it, and answers every block
    with the ids in the order of its message.
-3. Answers and position lists meet by block; documents are put together by position. Decoding looks ids up in
+3. Answers and position lists, which took the same way, meet by block; documents are put together by position. Decoding looks ids up in
    the token-byte table, whose size the vocabulary fixes.
 
 A frequent word takes one entry per block, so no key is hot. Blocks carry a fingerprint of their words: should a
-recomputed block list them otherwise, the job fails instead of mixing up ids.
+recomputed block list them otherwise, the job fails instead of mixing up ids; documents read from files, or from a
+written table, are listed alike each time.
 
 Defined results: null text is empty; empty text has no ids; repeated rows each give a row; other columns are
 ignored; an empty table gives no rows.
@@ -25,12 +26,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from statuta.llm.common import prepare, width
 
@@ -114,8 +115,9 @@ def unplanes(body: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u4").ravel()
 
 
-MESSAGE = "block long, mark binary, bucket int, body binary"
-PAYLOAD = "block long, mark binary, ids array<{kind}>, lens binary, buckets binary, body binary"
+#: What travels: messages to buckets and their answers (bucket from 0), and the position lists of blocks, which
+#: pass the buckets' tasks unchanged on their way (bucket below 0), so that each text is split only once.
+ROW = "block long, mark binary, bucket int, body binary, ids array<{kind}>, lens binary, buckets binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, pattern: str) -> Iterator[tuple[int, Block]]:
@@ -161,31 +163,27 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id_type = pa.list_(docs.limit(0).toArrow().schema.field(id_col).type)
     buckets = max(64, width(spark))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(block: int, mark: bytes, bucket: list[int], body: list[bytes], ids=None, lens=None, bucket_of=None) -> pa.RecordBatch:
+        n = len(bucket)
+        same = lambda x, t: pa.array([x] * n, t)
+        return pa.record_batch(
+            [same(block, pa.int64()), same(mark, pa.binary()), pa.array(bucket, pa.int32()), pa.array(body, pa.binary()), same(ids, id_type), same(lens, pa.binary()), same(bucket_of, pa.binary())],
+            ["block", "mark", "bucket", "body", "ids", "lens", "buckets"],
+        )
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches, id_col, text_col, pattern):
-            mark, bucket, words, _ = block.close(buckets)
+            mark, bucket, words, positions = block.close(buckets)
             groups: dict[int, list[bytes]] = {}
             for b, w in zip(bucket.tolist(), words, strict=True):
                 groups.setdefault(b, []).append(w)
-            yield pa.record_batch(
-                {"block": pa.array([number] * len(groups), pa.int64()), "mark": pa.array([mark] * len(groups), pa.binary()), "bucket": pa.array(groups, pa.int32()), "body": pa.array([pack(g) for g in groups.values()], pa.binary())}
-            )
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches, id_col, text_col, pattern):
-            mark, bucket, _, positions = block.close(buckets)
-            yield pa.record_batch(
-                {
-                    "block": pa.array([number], pa.int64()),
-                    "mark": pa.array([mark], pa.binary()),
-                    "ids": pa.array([block.ids], id_type),
-                    "lens": pa.array([np.fromiter(map(len, block.parts), "<i8").tobytes()], pa.binary()),
-                    "buckets": pa.array([planes(bucket)], pa.binary()),
-                    "body": pa.array([planes(positions)], pa.binary()),
-                }
-            )
+            yield rows(number, mark, list(groups), [pack(g) for g in groups.values()])
+            lens = np.fromiter(map(len, block.parts), "<i8").tobytes()
+            yield rows(number, mark, [-1 - zlib.crc32(number.to_bytes(8, "little")) % buckets], [planes(positions)], block.ids, lens, planes(bucket))
 
     def answer(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            return table
         enc = encoder(path, pattern)
         known: dict[bytes, np.ndarray] = {}
         out = []
@@ -197,9 +195,11 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             got = [known[w] for w in words]
             lens = np.fromiter(map(len, got), "<u4", len(got))
             out.append(len(got).to_bytes(8, "little") + zstandard.compress(lens.tobytes() + np.concatenate(got).tobytes(), 3))
-        return pa.table({"block": table["block"], "mark": table["mark"], "bucket": table["bucket"], "body": pa.array(out, pa.binary())})
+        return table.set_column(3, "body", pa.array(out, pa.binary()))
 
-    def rebuild(left: pa.Table, right: pa.Table) -> pa.Table:
+    def rebuild(table: pa.Table) -> pa.Table:
+        lists = pc.less(table["bucket"], 0)
+        left, right = table.filter(lists), table.filter(pc.invert(lists))
         decode = encoder(path, pattern).decode_single_token_bytes
         bytes_of: dict[int, bytes] = {}
         answers = {b: (m, x) for b, m, x in zip(right["bucket"].to_pylist(), right["mark"].to_pylist(), right["body"].to_pylist(), strict=True)}
@@ -242,6 +242,6 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("token_ids", "decoded"))]
     shape = f"`{id_col}` {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>, decoded binary")
-    replies = docs.mapInArrow(send, MESSAGE).groupBy("bucket").applyInArrow(answer, MESSAGE)
-    payload = docs.mapInArrow(keep, PAYLOAD.format(kind=kind))
-    return payload.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(rebuild, shape)
+    row = ROW.format(kind=kind)
+    answered = docs.mapInArrow(split, row).groupBy("bucket").applyInArrow(answer, row)
+    return answered.groupBy("block").applyInArrow(rebuild, shape)
