@@ -105,14 +105,30 @@ class Block:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Small integers as three byte planes, compressed."""
-    raw = x.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return zstandard.compress(np.ascontiguousarray(raw.T).tobytes(), 3)
+    """Small integers, compressed: under 240 a byte each; under 2**20 that byte says the high bits and two planes
+    have the rest; larger ones take four byte planes."""
+    if len(x) and int(x.max()) >= 1 << 20:
+        raw = x.astype("<u4").view(np.uint8).reshape(-1, 4)
+        parts = [b"", b"", np.ascontiguousarray(raw.T).tobytes()]
+    else:
+        rest = x[x >= 240]
+        head = np.where(x < 240, x, 240 + (x >> 16)).astype(np.uint8)
+        parts = [head.tobytes(), (rest & 255).astype(np.uint8).tobytes() + (rest >> 8 & 255).astype(np.uint8).tobytes(), b""]
+    packed = [zstandard.compress(p, 3) for p in parts]
+    return b"".join([*(len(p).to_bytes(8, "little") for p in packed), *packed])
 
 
 def unplanes(body: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(body), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view("<u4").ravel()
+    sizes, at, parts = [int.from_bytes(body[k : k + 8], "little") for k in (0, 8, 16)], 24, []
+    for n in sizes:
+        parts.append(np.frombuffer(zstandard.decompress(body[at : at + n]), np.uint8))
+        at += n
+    if len(parts[2]):
+        return np.ascontiguousarray(parts[2].reshape(4, -1).T).view("<u4").ravel()
+    out, (low, high) = parts[0].astype(np.uint32), parts[1].reshape(2, -1).astype(np.uint32)
+    wide = np.flatnonzero(out >= 240)
+    out[wide] = (out[wide] - 240 << 16) + (high << 8) + low
+    return out
 
 
 #: What travels: messages to buckets and their answers (bucket from 0), and the position lists of blocks, which

@@ -97,6 +97,12 @@ def test_pieces_split_like_the_whole(encoding, text):
     assert [words[i] for i in at] == splitter.find(text)
 
 
+@pytest.mark.parametrize("values", [[], [0], [239, 240, 65535, 65536, 2**20 - 1, 3], [2**20, 5, 2**31]])
+def test_packed_integers_come_back(values):
+    x = np.array(values, np.int64)
+    assert byte_bpe.unplanes(byte_bpe.planes(x)).tolist() == values
+
+
 def test_a_block_that_changed_is_noticed():
     a, b = byte_bpe.Block(P.PATTERN), byte_bpe.Block(P.PATTERN)
     a.add(1, "one two")
