@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import _powers, fresh, joined, mix, prepare, slices, text_bytes, word_hashes, written
+from statuta.llm.common import _powers, fresh, joined, mix, prepare, slices, text_bytes, trim, word_hashes, written
 
 #: Words of a phrase that anchors windows.
 SEED = 8
@@ -118,6 +118,7 @@ def removals(docs: DataFrame, window: int = 50, seed: int = SEED) -> DataFrame:
             values = pa.StructArray.from_arrays([pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), at], ["h", "at"])
             keys = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in words]
             yield pa.record_batch({"id": batch.column("id"), "tkey": batch.column("tkey"), "words": pa.array(keys, pa.binary()), "anchors": pa.ListArray.from_arrays(pa.array(lens, pa.int32()), values)}).filter(pa.array([len(w) >= window for w in words]))
+        trim()
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -128,6 +129,7 @@ def removals(docs: DataFrame, window: int = 50, seed: int = SEED) -> DataFrame:
                     a, b = (rolling(w, window, base)[starts] for base in _ROLL)
                     same = lambda c: pa.array([batch.column(c)[row].as_py()] * len(starts), batch.schema.field(c).type)  # noqa: E731, B023
                     yield pa.record_batch({"id": same("id"), "tkey": same("tkey"), "start": pa.array(starts, pa.int32()), "a": pa.array(a.view(np.int64)), "b": pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32))})
+        trim()
 
     heads = written(docs.select("id", "tkey", "text").mapInArrow(sketch, f"id {kind}, tkey long, words binary, anchors array<struct<h:long,at:array<int>>>"), "anchors")
     firsts = heads.groupBy("words").agg(F.min(F.struct("id", "tkey", "anchors")).alias("x"))
@@ -181,6 +183,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                     "kept_sha256": pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for _, k in rows]),
                 }
             )
+        trim()
 
     return found.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
 
@@ -198,5 +201,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             texts = [t if not s else b" ".join(_strip(t.encode(), s, window)[1]).decode() for t, s in zip(batch.column(text_col).to_pylist(), batch.column(starts).to_pylist(), strict=True)]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.filter(pa.array([not (s and not t) for t, s in zip(texts, batch.column(starts).to_pylist(), strict=True)])).drop_columns([starts])
+        trim()
 
     return found.mapInArrow(run, docs.schema)
