@@ -161,6 +161,34 @@ def test_benchmark_items_are_found_also_when_changed(frame, leaks):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want} and clean.columns == frame(rows).columns
 
 
+def test_every_item_with_the_subsequence_is_found(frame, spark):
+    rng = random.Random(12)
+    words = [f"v{int(400 * rng.random() ** 2)}" for _ in range(3000)]
+    prose = lambda n: rng.choices(words, k=n)
+    items = [prose(n) for n in (1, 2, 3, 5, 8, 12, 20, 35, 50, 80)]
+    items[:3] = [["solo"], ["two", "parts"], ["of", "three", "words"]]
+    docs = [prose(rng.choice((10, 90, 400))) for _ in range(120)]
+    for i, doc in enumerate(docs[:100]):
+        item = items[i % 10]
+        gone = set(rng.sample(range(len(item)), int(0.38 * len(item)) if len(item) > 3 else 0))
+        at = rng.randrange(len(doc))
+        doc[at:at] = [f"n{i}x{k}" if k in gone else w for k, w in enumerate(item)]
+    docs += [["two", "and", "parts"], ["solo"]]
+    want = set()
+    for d, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            n = len(item)
+            around = [doc[max(0, s - n) : s + 40 + n] for s in range(0, len(doc), 20)]
+            if n < 4:
+                hit = any(item == doc[s : s + n] for s in range(len(doc)))
+            else:
+                hit = any(decontaminate.subsequence(item, x) >= math.ceil(0.6 * n) for x in around)
+            want |= {(d, k)} if hit else set()
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame([(d, " ".join(x)) for d, x in enumerate(docs)]), bench).collect()}
+    assert got == want and len(want) >= 100
+
+
 def test_benchmark_edges(spark, frame, edges):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(frame(edges), empty).count() == 0
