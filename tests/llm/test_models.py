@@ -161,6 +161,15 @@ def test_benchmark_items_are_found_also_when_changed(frame, leaks):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want} and clean.columns == frame(rows).columns
 
 
+def test_last_sentence_is_no_answer_unless_one_is_given(spark, frame):
+    words = [f"q{i}" for i in range(38)]
+    rows = [(i, " ".join(f"z{i}x{k}" for k in range(60))) for i in range(20)] + [(100, " ".join(words[:-1] + ["other"]))]
+    item = " ".join(words[:-1]) + ". " + words[-1]
+    bench = spark.createDataFrame([(1, item, words[-1])], "item_id long, text string, answer string")
+    assert [(r.doc_id, r.lcs) for r in decontaminate.leaks(frame(rows), bench).collect()] == [(100, 37)]
+    assert decontaminate.leaks(frame(rows), bench, answer_col="answer").count() == 0
+
+
 def test_every_item_with_the_subsequence_is_found(frame, spark):
     rng = random.Random(12)
     words = [f"v{int(400 * rng.random() ** 2)}" for _ in range(3000)]
