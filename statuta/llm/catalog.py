@@ -14,7 +14,7 @@ def op1_chat_trees(spark, sf_dir):
 
 
 def op2_ngram_join(spark, sf_dir):
-    return ngram_join.similar(table(spark, sf_dir, "documents"))
+    return ngram_join.similar(table(spark, sf_dir, "documents"), n=3, num=90)
 
 
 def op3_wavelet_tokens(spark, sf_dir):
