@@ -1,15 +1,17 @@
 """Prediction by partial matching over bytes, with a unigram word score beside it.
 
-The model is a trie of byte contexts up to ORDER long. One pass over all training texts counts byte (ORDER+1)-grams;
-counts of shorter ones are their marginals. Of each length the most frequent n-grams are kept, at most GRAMS, and of
-those only what extends kept ones, so the broadcast model is bounded while everything is counted. In a context,
-escape has the weight of the number of different symbols kept (method C) and of all occurrences of symbols that were
-not; after an escape the kept symbols are excluded and the rest of the shorter context's distribution is scaled up.
+The model is a trie of byte contexts up to ORDER long, with all n-grams of all training texts: it grows with the corpus,
+and no worker holds it whole. Blocks of documents send their distinct (ORDER+1)-grams with the counts in training texts to
+buckets, which are by the last DEALT bytes of the context and so hold all n-grams longer than that; those up to DEALT
+long (at most SYMBOLS**DEALT, whatever the corpus) are counted beforehand and broadcast, all of them. A bucket
+answers each n-gram with its logarithm, and blocks score their documents. In a context, escape has the weight of the
+number of different symbols (method C); after an escape these are excluded and the rest of the shorter
+context's distribution is scaled up.
 Every text has a positive probability; it ends with a symbol of its own, so texts of all lengths share one
 distribution. ``adaptive`` gives the code length that a model pays which learns from the text itself alone.
 
 Word counts are exact over all training texts: blocks of documents send each distinct word's hash (64 bits) and
-count to the word's bucket, buckets add up and answer, and blocks score their documents by position lists.
+count to the word's bucket, buckets add up and answer, and blocks score their documents.
 
 Defined results: null text is empty: one token, the end; repeated rows are counted and scored each; without
 training texts N and V are 0 and the model is uniform; other columns are ignored; an empty table gives no rows.
@@ -18,9 +20,7 @@ training texts N and V are 0 and the model is uniform; other columns are ignored
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import crc_mod, joined, prepare, slices, text_bytes, trim, width, word_hashes, written
+from statuta.llm.common import crc_mod, joined, mix, prepare, slices, text_bytes, trim, width, word_hashes, written
 
-ORDER, GRAMS = 5, 100_000
+ORDER, DEALT = 5, 3
 #: Symbols: the bytes, and the end of a text, which also stands before its first byte.
 END, SYMBOLS = 256, 257
-#: Text bytes of a block; distinct n-grams that a task holds before it sends them.
-BLOCK_BYTES, HELD = 6_000_000, 800_000
+#: Text bytes of a block, and of the part of one that is scored at a time; n-grams that a block holds before it adds them up.
+BLOCK_BYTES, PART, HELD = 8_000_000, 500_000, 800_000
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +47,8 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the (ORDER+1)-grams that end in each byte or end of the texts, and how often they occur."""
+def codes(texts: list[bytes]) -> np.ndarray:
+    """Codes of the (ORDER+1)-grams that end in each byte and end of the texts, in their order."""
     s, first = symbols(texts)
     code = s[ORDER:].copy()
     for k in range(1, ORDER + 1):
@@ -56,7 +56,12 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     own = np.ones(len(s), bool)
     for k in range(1, ORDER + 1):
         own[first - k] = False  # the ends before a text are not predicted
-    return np.unique(code[own[ORDER:]], return_counts=True)
+    return code[own[ORDER:]]
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of some texts, and how often they occur."""
+    return np.unique(codes(texts), return_counts=True)
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +69,51 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return codes, np.bincount(where, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
+def dealt(code: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of (ORDER+1)-grams: by the last DEALT symbols of the context."""
+    return (mix((code // SYMBOLS % SYMBOLS**DEALT).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def shorter(code: np.ndarray, n: np.ndarray, lengths: Iterator[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted n-grams with their counts, and their ends of some lengths, the longest first."""
+    out = [(code, n)]
+    for k in lengths:
+        out.append(added([(out[-1][0] % SYMBOLS**k, out[-1][1])]))
+    return out
+
+
+def find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted codes, and whether they are there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
+def logs(asked: np.ndarray, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 probabilities of the last symbols of (ORDER+1)-grams after the others; counted: n-grams of 1, 2, ... symbols."""
+    p, below = np.full(len(asked), 1 / SYMBOLS), None
+    for k, (code, n) in enumerate(counted, 1):
+        if not len(code):
+            break
+        contexts, where, kinds = np.unique(code // SYMBOLS, return_inverse=True, return_counts=True)
+        free = np.where(kinds == SYMBOLS, 0, kinds)
+        total = np.bincount(where, n) + free
+        mass = np.bincount(where, np.full(len(code), 1 / SYMBOLS) if below is None else below[1][np.searchsorted(below[0], code % SYMBOLS ** (k - 1))])
+        escape = free / total / np.maximum(1 - mass, 1e-12)
+        own = n / total[where]
+        at, known = find(contexts, asked % SYMBOLS**k // SYMBOLS)
+        p = np.where(known, p * escape[at], p)
+        at, known = find(code, asked % SYMBOLS**k)
+        p = np.where(known, own[at] if len(own) else p, p)
+        below = code, own
+    return np.log10(np.maximum(p, 1e-37)).astype(np.float32)
+
+
 class Model:
-    """Tables to score with: the longest known context before each symbol, and log10 probabilities in it."""
+    """The same model on one machine, for small tables; it may also have only some n-grams.
+
+    Tables to score with: the longest known context before each symbol, and log10 probabilities in it."""
 
     def __init__(self, order: np.ndarray, code: np.ndarray, n: np.ndarray):
         shape = SYMBOLS
@@ -161,8 +209,8 @@ def adaptive(text: bytes, order: int = ORDER) -> float:
     return total
 
 
-SENT = "kind int, block long, bucket int, body binary, extra binary, ids array<{id}>, keys array<long>"
-WORDS, DOCS, BYTES = 0, 1, 2
+SENT = "kind int, block long, bucket int, body binary, extra binary, ids array<{id}>"
+WORDS, DOCS, BYTES, SHORT = 0, 1, 2, 3
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -175,8 +223,15 @@ def expand(body: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(body), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+def parted(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket, and each bucket with where it begins and ends in it."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.searchsorted(keys[order], np.arange(buckets + 1)).tolist()
+    return order, [(b, x, y) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+
+
 def gather(docs: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """One pass over docs (id, key, text, train): words and n-grams for the buckets, position lists of the blocks."""
+    """One pass over docs (id, text, train): words and n-grams for the buckets, texts of the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -185,12 +240,13 @@ def gather(docs: DataFrame, kind: str, buckets: int) -> DataFrame:
         id_type = None
         block: dict = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        short: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def rows(kind, block, bucket, body, extra, ids=None, keys=None):
+        def rows(kind, block, bucket, body, extra, ids=None):
             n = len(body)
             return pa.record_batch(
-                [pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(bucket, pa.int32()), pa.array(body, pa.binary()), pa.array(extra, pa.binary()), pa.array([ids] * n, pa.list_(id_type)), pa.array([keys] * n, pa.list_(pa.int64()))],
-                ["kind", "block", "bucket", "body", "extra", "ids", "keys"],
+                [pa.array([kind] * n, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(bucket, pa.int32()), pa.array(body, pa.binary()), pa.array(extra, pa.binary()), pa.array([ids] * n, pa.list_(id_type))],
+                ["kind", "block", "bucket", "body", "extra", "ids"],
             )
 
         def close():
@@ -198,52 +254,45 @@ def gather(docs: DataFrame, kind: str, buckets: int) -> DataFrame:
             train = np.repeat(np.concatenate(block["train"]), lens)
             known, where = np.unique(hashes, return_inverse=True)
             counts = np.bincount(where[train], minlength=len(known))
-            order = np.argsort(-np.bincount(where, minlength=len(known)), kind="stable")
-            rank = np.empty(len(known), np.int64)
-            rank[order] = np.arange(len(known))
-            bucket = ((known >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            some = [(b, x, y) for b, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if y > x]
+            bucket = (((known >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+            _, some = parted(bucket, buckets)
             yield rows(WORDS, number, [b for b, _, _ in some], [known[x:y].tobytes() for _, x, y in some], [squeeze(counts[x:y]) for _, x, y in some])
-            lists = squeeze(rank[where])
-            yield rows(DOCS, number, [-1], [len(lists).to_bytes(8, "little") + lists + squeeze(order)], [squeeze(lens)], block["ids"], block["keys"])
-
-        def send():
-            codes, n = added(held)
-            bucket = codes % SYMBOLS**2 % buckets
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = [(b, order[x:y]) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
-            yield rows(BYTES, -1, [b for b, _ in some], [squeeze(codes[at]) for _, at in some], [squeeze(n[at]) for _, at in some])
-
-        for batch in slices(batches, 500_000):
+            code, n = added(held)
+            held.clear()
+            order, some = parted(dealt(code, buckets), buckets)
+            yield rows(BYTES, number, [b for b, _, _ in some], [squeeze(np.diff(code[order[x:y]], prepend=0)) for _, x, y in some], [squeeze(n[order[x:y]]) for _, x, y in some])
+            short[:] = [added([*short, (code[n > 0] % SYMBOLS**DEALT, n[n > 0])])]
+            texts = block["texts"]
+            yield rows(DOCS, number, [-1], [zstandard.compress(b"".join(texts), 3)], [squeeze(np.fromiter(map(len, texts), np.int64, len(texts)))], block["ids"])
+
+        for batch in slices(batches, PART):
             id_type = batch.schema.field("id").type
             texts, train = text_bytes(batch), batch.column("train").to_numpy(zero_copy_only=False)
             hashes, lens = word_hashes(*joined(texts), fold=True)
             if not block:
-                block |= {"hashes": [], "lens": [], "train": [], "ids": [], "keys": [], "bytes": 0}
+                block |= {"hashes": [], "lens": [], "train": [], "ids": [], "texts": [], "bytes": 0}
             for name, x in (("hashes", hashes), ("lens", lens), ("train", train)):
                 block[name].append(x)
             block["ids"] += batch.column("id").to_pylist()
-            block["keys"] += batch.column("key").to_pylist()
+            block["texts"] += texts
             block["bytes"] += sum(map(len, texts))
-            learn = [t for t, yes in zip(texts, train.tolist(), strict=True) if yes]
-            if learn:
-                held.append(grams(learn))
-                if len(held) > 1 and sum(len(c) for c, _ in held) > HELD:
-                    held[:] = [added(held)]
-                    if len(held[0][0]) > HELD // 2:
-                        yield from send()
-                        held.clear()
+            for learn in (True, False):
+                some = [t for t, yes in zip(texts, train.tolist(), strict=True) if yes == learn]
+                if some:
+                    code, n = grams(some)
+                    held.append((code, n * learn))
+            if len(held) > 1 and sum(len(c) for c, _ in held) > HELD:
+                held[:] = [added(held)]
             if block["bytes"] > BLOCK_BYTES:
                 yield from close()
                 block.clear()
                 number += 1
         if block:
             yield from close()
-        if held:
-            yield from send()
-        held.clear()
+            block.clear()
+        if short:
+            yield rows(SHORT, -1, [-1], [squeeze(short[0][0])], [squeeze(short[0][1])])
+        short.clear()
         trim()
 
     return written(docs.mapInArrow(run, SENT.format(id=kind)), "gathered")
@@ -261,65 +310,53 @@ def count_words(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([*table["block"].to_pylist(), -1], pa.int64()), "bucket": pa.array([bucket] * (len(answers) + 1), pa.int32()), "body": pa.array([*answers, None], pa.binary()), "tokens": pa.array(sums[0], pa.int64()), "kinds": pa.array(sums[1], pa.int64())})
 
 
-def count_grams(table: pa.Table) -> pa.Table:
-    """A bucket's n-grams of all lengths from 2, added up. The bucket holds all n-grams that end in the same two symbols."""
-    now = added([(expand(b), expand(e)) for b, e in zip(table["body"].to_pylist(), table["extra"].to_pylist(), strict=True)])
-    out = [(ORDER + 1, *now)]
-    for k in range(ORDER, 1, -1):
-        now = added([(now[0] % SYMBOLS**k, now[1])])
-        out.append((k, *now))
-    found = pa.table({"k": pa.array(np.concatenate([np.full(len(c), k, np.int32) for k, c, _ in out])), "code": pa.array(np.concatenate([c for _, c, _ in out])), "n": pa.array(np.concatenate([n for _, _, n in out]).astype(np.int64))})
-    trim()
-    return found
-
-
-def fit(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order, code and count of the n-grams kept: of each length those that occur often enough, at most GRAMS."""
-    sums = written(gathered.where(F.col("kind") == BYTES).select("bucket", "body", "extra").groupBy("bucket").applyInArrow(count_grams, "k int, code long, n long"), "grams")
-    # by size, an eighth of a doubling each: all n-grams of a size are kept, or none
-    sizes = sums.groupBy("k", F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("kinds"), F.min("n").alias("least")).orderBy("k", F.desc("size")).collect()
-    least, totals = {}, {}
-    for r in sizes:
-        totals[r["k"]] = totals.get(r["k"], 0) + r["kinds"]
-        if totals[r["k"]] <= GRAMS:
-            least[r["k"]] = r["least"]
-    kept = sums.where(reduce(lambda a, b: a | b, ((F.col("k") == k) & (F.col("n") >= x) for k, x in least.items()), F.lit(False)))
-    for k in set(totals) - set(least):  # all n-grams of a length are of one size
-        kept = kept.unionByName(sums.where(F.col("k") == k).orderBy(F.desc("n"), "code").limit(GRAMS))
-    found = kept.toArrow()
-    k, code, n = (found[c].to_numpy() for c in ("k", "code", "n"))
-    singles = added([(code[k == 2] % SYMBOLS, n[k == 2])]) if len(code) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    parts = [(singles[0], singles[1])]
-    for length in range(2, ORDER + 2):  # only what goes on from n-grams that are kept, at either end
-        c, m = code[k == length], n[k == length]
-        good = np.isin(c % SYMBOLS ** (length - 1), parts[-1][0]) & np.isin(c // SYMBOLS, parts[-1][0])
-        parts.append((c[good], m[good]))
-    return np.concatenate([np.full(len(c), i + 1, np.int32) for i, (c, _) in enumerate(parts)]), np.concatenate([c for c, _ in parts]), np.concatenate([m for _, m in parts])
-
-
-_MODELS: dict[str, Model] = {}
-
-
-def kept(mark: str, sent) -> Model:
-    """The worker's own tables of a broadcast model, also for later tasks; those of another model go."""
-    if mark not in _MODELS:
-        _MODELS.clear()
-        _MODELS[mark] = Model(*sent.value)
-    return _MODELS[mark]
-
-
-def scored(docs: DataFrame, counts: tuple[np.ndarray, ...], kind: str) -> DataFrame:
-    """docs (id, key, text) to id, key and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
-    mark = uuid.uuid4().hex
+def short_grams(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of DEALT symbols in the training texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = kept(mark, sent)
-        for batch in slices(batches, 500_000):
-            yield pa.record_batch({"id": batch.column("id"), "key": batch.column("key"), "score": model.score(text_bytes(batch))})
+    def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, extra in zip(batch.column("body").to_pylist(), batch.column("extra").to_pylist(), strict=True):
+                yield pa.record_batch({"code": expand(body), "n": expand(extra)})
+
+    sums = gathered.where(F.col("kind") == SHORT).select("body", "extra").mapInArrow(expanded, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = sums["code"].to_numpy(), sums["n"].to_numpy()
+    order = np.argsort(code)
+    return code[order].astype(np.int64), n[order].astype(np.int64)
+
+
+def answer_grams(gathered: DataFrame) -> DataFrame:
+    """Each bucket's answer to every block (block, bucket, body): the logarithms of its n-grams, in the order sent."""
+    sent = gathered.sparkSession.sparkContext.broadcast(short_grams(gathered))
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked = [np.cumsum(expand(b)) for b in table["body"].to_pylist()]
+        known, where = np.unique(np.concatenate(asked), return_inverse=True)
+        n = np.bincount(where, np.concatenate([expand(e) for e in table["extra"].to_pylist()]), len(known)).astype(np.int64)
+        longer = shorter(known[n > 0], n[n > 0], range(ORDER, DEALT, -1))
+        found = logs(known, [*shorter(*sent.value, range(DEALT - 1, 0, -1))[::-1], *longer[::-1]])[where]
+        ends = np.cumsum([len(x) for x in asked])
+        answers = [squeeze(x.view("<i4")) for x in np.split(found, ends[:-1])]
         trim()
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "body": pa.array(answers, pa.binary())})
+
+    asked = gathered.where(F.col("kind") == BYTES).select("block", "bucket", "body", "extra")
+    return asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, body binary")
+
 
-    return docs.select("id", "key", "text").mapInArrow(run, f"id {kind}, key long, score double")
+def scores(texts: list[bytes], answers: np.ndarray, buckets: int) -> np.ndarray:
+    """The score of each text of a block, from the buckets' answers to its n-grams."""
+    parts, some, size = [], [], 0
+    for i, text in enumerate(texts):
+        some.append(text)
+        size += len(text)
+        if size > PART or i == len(texts) - 1:
+            own, where = np.unique(codes(some), return_inverse=True)
+            parts.append((own, where.astype(np.int32), np.cumsum([0, *(len(x) + 1 for x in some[:-1])])))
+            some, size = [], 0
+    known = np.unique(np.concatenate([own for own, _, _ in parts]))
+    log = np.empty(len(known))
+    log[parted(dealt(known, buckets), buckets)[0]] = answers
+    return np.concatenate([np.add.reduceat(log[np.searchsorted(known, own)][where], first) for own, where, first in parts])
 
 
 def language_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
@@ -329,37 +366,38 @@ def language_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = spark.range(0).select(F.col("id").cast(kind)).toArrow().schema.field("id").type
     train = crc_mod(F.col(id_col), folds) != fold
-    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"), train.alias("train"))
-    gathered = gather(docs, kind, max(64, width(spark)))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
+    buckets = max(64, width(spark))
+    gathered = gather(docs, kind, buckets)
     words = gathered.where(F.col("kind") == WORDS).select("block", "bucket", "body", "extra")
     answers = written(words.groupBy("bucket").applyInArrow(count_words, "block long, bucket int, body binary, tokens long, kinds long"), "counts")
-    ends = docs.agg(F.count_if("train")).first()[0]
+    n_train = docs.agg(F.count_if("train")).first()[0]
     tokens, kinds = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    tokens, kinds = tokens + ends, kinds + (ends > 0)
+    tokens, kinds = tokens + n_train, kinds + (n_train > 0)
 
-    def base(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("id", "key", "n_tokens", "n_known", "base_score")}
-        back = sorted(zip(right["bucket"].to_pylist(), right["body"].to_pylist(), strict=True))
-        counts = np.concatenate([np.empty(0, np.int64), *(expand(b) for _, b in back)])
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("id", "n_tokens", "n_known", "base_score", "score")}
+        back = sorted(zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["body"].to_pylist(), strict=True))
+        counts = np.concatenate([np.empty(0, np.int64), *(expand(b) for k, _, b in back if k == WORDS)])
+        answers = np.concatenate([np.empty(0, np.float32), *(expand(b).astype("<i4").view("<f4") for k, _, b in back if k == BYTES)])
         for row in left.to_pylist():
-            size = int.from_bytes(row["body"][:8], "little")
-            at, order, lens = expand(row["body"][8 : 8 + size]), expand(row["body"][8 + size :]), expand(row["extra"])
-            c = counts[order][at]
+            data, ends = zstandard.decompress(row["body"]), np.cumsum(expand(row["extra"])).tolist()
+            texts = [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+            hashes, lens = word_hashes(*joined(texts), fold=True)
+            c = counts[np.unique(hashes, return_inverse=True)[1]]
             cuts = np.concatenate(([0], np.cumsum(lens)))
-            logs, known = (np.concatenate(([0], np.cumsum(x))) for x in (np.log10(c + 1.0), (c > 0).astype(np.int64)))
+            sums, known = (np.concatenate(([0], np.cumsum(x))) for x in (np.log10(c + 1.0), (c > 0).astype(np.int64)))
             n = lens + 1
             out["id"] += row["ids"]
-            out["key"] += row["keys"]
             out["n_tokens"].append(n)
-            out["n_known"].append(known[cuts[1:]] - known[cuts[:-1]] + (ends > 0))
-            out["base_score"].append(logs[cuts[1:]] - logs[cuts[:-1]] + math.log10(ends + 1.0) - n * math.log10(tokens + kinds + 1.0))
+            out["n_known"].append(known[cuts[1:]] - known[cuts[:-1]] + (n_train > 0))
+            out["base_score"].append(sums[cuts[1:]] - sums[cuts[:-1]] + math.log10(n_train + 1.0) - n * math.log10(tokens + kinds + 1.0))
+            out["score"].append(scores(texts, answers, buckets))
         join = lambda c, t: np.concatenate([np.empty(0, t), *out[c]]).astype(t)
-        return pa.table({"id": pa.array(out["id"], id_type), "key": pa.array(out["key"], pa.int64()), "n_tokens": join("n_tokens", np.int64), "n_known": join("n_known", np.int64), "base_score": join("base_score", np.float64)})
-
-    lists = gathered.where(F.col("kind") == DOCS).select("block", "body", "extra", "ids", "keys")
-    replies = answers.where("block >= 0").select("block", "bucket", "body")
-    bases = lists.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(base, f"id {kind}, key long, n_tokens long, n_known long, base_score double")
-    bases = bases.dropDuplicates(["id", "key"]).select(F.col("id").alias("_id"), F.col("key").alias("_key"), "n_tokens", "n_known", "base_score")
-    rows = scored(docs, fit(gathered), kind)
-    both = rows.join(bases, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
-    return both.select(F.col("id").alias(id_col), (crc_mod(F.col("id"), folds) == fold).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        trim()
+        return pa.table({"id": pa.array(out["id"], id_type), "n_tokens": join("n_tokens", np.int64), "n_known": join("n_known", np.int64), "base_score": join("base_score", np.float64), "score": join("score", np.float64)})
+
+    blocks = gathered.where(F.col("kind") == DOCS).select("block", "body", "extra", "ids")
+    replies = answers.where("block >= 0").select(F.lit(WORDS).alias("kind"), "block", "bucket", "body").unionByName(answer_grams(gathered).withColumn("kind", F.lit(BYTES)))
+    rows = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return rows.select(F.col("id").alias(id_col), (crc_mod(F.col("id"), folds) == fold).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -70,6 +70,21 @@ def test_language_score(frame, edges, corpus):
     assert ppm.language_score(frame([])).count() == 0
 
 
+def test_scores_are_those_of_a_model_with_all_ngrams(frame, edges, corpus, monkeypatch):
+    """More distinct n-grams of a length than 100 000, in several blocks."""
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 100_000)
+    rng = random.Random(11)
+    rows = [(i + 5000, x) for i, x in edges] + corpus + [(9000 + i, "".join(rng.choices("abcdefghijklmnop ", k=900))) for i in range(200)]
+    train = [(t or "").encode() for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    codes, n = ppm.grams(train)
+    assert len(codes) > 120_000
+    parts = [ppm.added([(codes % ppm.SYMBOLS**order, n)]) for order in range(1, ppm.ORDER + 2)]
+    model = ppm.Model(np.concatenate([np.full(len(c), k + 1) for k, (c, _) in enumerate(parts)]), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+    want = dict(zip((d for d, _ in rows), model.score([(t or "").encode() for _, t in rows]).tolist(), strict=True))
+    for r in ppm.language_score(frame(rows)).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-4), r.doc_id
+
+
 def test_model_probabilities_sum_to_one_and_follow_the_texts():
     texts = [b"abracadabra", b"abba", b""]
     codes, n = ppm.grams(texts)
