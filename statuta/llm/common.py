@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -88,6 +89,21 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+#: Keys that hold a larger share of all rows than one in this many are joined by broadcast; there are fewer of them than this.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows joined with totals (a row a key, n: how many rows have the key) without a task that gets a hot key's rows.
+
+    Keys with over one in HOT of all rows are HOT at most, whatever the data: they are broadcast. The others shuffle.
+    Both tables are read twice, so they should be written ones."""
+    bound = totals.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(totals.where(F.col("n") * HOT > bound))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(totals.where(F.col("n") * HOT <= bound), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -127,28 +143,20 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 4_000_000, column: str
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15
+#: Starts of two independent hashes, bytes of a word that are hashed in columns, bytes of a piece.
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_COLUMNS = 64
 _PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), elementwise."""
     x = x ^ (x >> np.uint64(30))
-    x = x * _M1
-    x = x ^ (x >> np.uint64(27))
-    x = x * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(n, np.uint64)
-    k, factor = 1, base % 2**64
-    while k < n:
-        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(factor)
-        factor = factor * factor % 2**64
-        k *= 2
-    return out
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _SPACE = np.zeros(256, bool)
@@ -156,17 +164,31 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: White space, and all of ASCII but letters and digits.
 _MARKS = np.zeros(256, bool)
 _MARKS[[i for i in range(128) if not chr(i).isalnum()]] = True
-_FOLD = np.arange(256)
+_FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_TABLES: dict = {}
-
-
-def _tables(fold: bool) -> tuple:
-    if fold not in _TABLES:
-        code = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-        inverse = pow(_BASE, -1, 2**64)
-        _TABLES[fold] = code[_FOLD] if fold else code, _powers(2 * _PIECE, _BASE), _powers(2 * _PIECE, inverse)
-    return _TABLES[fold]
+#: What is left of eight bytes of which the first k count, k from 0 to 8.
+_FIRST = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, begins: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes at a time are mixed into the state, which starts with the length, so
+    no sum or product of the spans' parts is kept that equal parts elsewhere could cancel. Long spans take BLAKE2."""
+    lens = stops - begins
+    state = mix(lens.astype(np.uint64) + np.uint64(SEEDS[seed]))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    long = np.flatnonzero(lens > _COLUMNS)
+    some, k = np.arange(len(lens)) if not len(long) else np.flatnonzero(lens <= _COLUMNS), 0
+    while len(some):
+        left = np.minimum(lens[some] - k, 8)
+        if k:
+            some, left = some[left > 0], left[left > 0]
+        state[some] = mix(state[some] ^ (eight[begins[some] + k] & _FIRST[left]))
+        k += 8
+        some = some[left == 8]
+    for i in long.tolist():
+        state[i] = int.from_bytes(hashlib.blake2b(data[begins[i] : stops[i]].tobytes(), digest_size=8, key=SEEDS[seed].to_bytes(8, "little")).digest(), "little")
+    return state
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray, fold: bool, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -178,10 +200,7 @@ def word_spans(data: np.ndarray, ends: np.ndarray, fold: bool, marks: bool = Fal
     """Hashes of all words, words of each text, and where each word begins and ends.
 
     data: the UTF-8 bytes of the texts, joined with one space after each; ends: where each text ends (its
-    space). fold: A-Z count as a-z. A word's hash is a polynomial in hashed bytes, then mixed; a long run
-    without a space is hashed whole. marks: ASCII punctuation parts words too.
-    """
-    code, up, down = _tables(fold)
+    space). fold: A-Z count as a-z. marks: ASCII punctuation parts words too."""
     parts = _MARKS if marks else _SPACE
     out, starts_at, stops_at = [], [], []
     at, n = 0, len(data)
@@ -192,17 +211,16 @@ def word_spans(data: np.ndarray, ends: np.ndarray, fold: bool, marks: bool = Fal
             if len(gaps):
                 to = at + int(gaps[-1]) + 1
             else:
-                more = np.flatnonzero(parts[data[to:]])
-                to = to + int(more[0]) + 1 if len(more) else n
+                step = to
+                while to < n and not parts[data[to]]:  # a long run without a space, looked through piece by piece
+                    step = min(n, to + _PIECE)
+                    more = np.flatnonzero(parts[data[to:step]])
+                    to = to + int(more[0]) if len(more) else step
+                to = min(n, to + 1)
         piece = data[at:to]
-        if len(piece) > len(up):
-            up, down = _powers(len(piece), _BASE), _powers(len(piece), pow(_BASE, -1, 2**64))
-        space = parts[piece]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], parts[piece], [True])).view(np.int8)))
         begin, end = edge[::2], edge[1::2]
-        total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(code[piece] * up[: len(piece)], out=total[1:])
-        out.append(mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))
+        out.append(span_hashes(_FOLD[piece] if fold else piece, begin, end))
         starts_at.append(begin + at)
         stops_at.append(end + at)
         at = to
@@ -211,6 +229,18 @@ def word_spans(data: np.ndarray, ends: np.ndarray, fold: bool, marks: bool = Fal
     return hashes, np.diff(np.searchsorted(begins, np.asarray(ends)), prepend=0), begins, stops
 
 
+def run_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """A hash of each run of n words (of their hashes): runs of 2, 4, 8, ... words are mixed from halves, and n from two that overlap."""
+    if len(hashes) < n:
+        return np.empty(0, np.uint64)
+    own, k, salt = mix(hashes + np.uint64(SEEDS[seed])), 1, np.uint64(SEEDS[1 - seed] | 1)
+    while k < n:
+        step = min(k, n - k)
+        own = mix(own[:-step] * salt + own[step:])
+        k += step
+    return own
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Texts with one space after each, and where each ends."""
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import joined, mix, prepare, slices, text_bytes, word_hashes, written
+from statuta.llm.common import joined, mix, prepare, run_hashes, slices, text_bytes, word_hashes, written
 from statuta.llm.components import components
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -58,20 +58,12 @@ class Levels:
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     hashes, counts = word_hashes(*joined(texts), fold=True)
-    total = np.full(max(len(hashes) - n + 1, 0), n, np.uint64)
-    for k in range(n):
-        total = (total + hashes[k : k + len(total)]) * _STEP
-    grams, out, at = mix(total), [], 0
+    grams, out, at = run_hashes(hashes, n), [], 0
     for c in counts.tolist():
         if c >= n:
             out.append(np.unique(grams[at : at + c - n + 1]))
-        elif c:
-            short = np.full(1, c, np.uint64)
-            for k in range(at, at + c):
-                short = (short + hashes[k : k + 1]) * _STEP
-            out.append(mix(short))
-        else:
-            out.append(np.empty(0, np.uint64))
+        else:  # the whole sequence, told apart from longer runs by its length
+            out.append(mix(run_hashes(hashes[at : at + c], c) + np.full(1, c, np.uint64)) if c else np.empty(0, np.uint64))
         at += c
     return out
 

@@ -1,18 +1,20 @@
 """Removal of word windows that already stand in a document with a smaller id, by repeated-phrase automata.
 
-1. Confirm recurring phrases. Every document is cut into words; of the short phrases (SEED words) in each window
-   the one with the smallest hash is an anchor, so equal windows have equal anchors (winnowing). An anchor in two
-   different texts is a recurring phrase. Texts with equal words count as one here.
-2. Automata. Each task compiles the recurring phrases of its own documents into an Aho-Corasick automaton over
-   word numbers and streams these documents through it. Automata are sharded with the documents, so each is as
-   small as the batch it serves, and no phrase goes to a document that cannot have it. Every hit gives the
-   windows around it, as 128-bit hashes of their words.
+1. Confirm recurring phrases. Every document is cut into words, each a symbol (16 bits of its hash); of the phrases of
+   SEED symbols in each window the one with the smallest hash is an anchor, so equal windows have equal anchors
+   (winnowing). An anchor in two different texts is a recurring phrase. Texts with equal words count as one here.
+2. Automata. Documents are dealt into blocks of about BLOCK_WORDS words; a block is sent the recurring phrases that it
+   holds, without their places, so phrases are sharded by block and none goes where it cannot be. The block compiles them
+   into an Aho-Corasick automaton, streams all its documents through it and so locates every occurrence. Every hit gives
+   the windows around it, as 96 bits of hashes of their words (64 and 32, of two independent hashes of the words).
 3. A window whose smallest document is not this one covers words that go. Documents with a copy of all their
-   words in a smaller id go wholly, from 50 words up.
+   words in a smaller id go wholly, from one window up.
 
 Defined results: null and empty texts have no words and keep the empty text; a document under one window is kept
-whole; repeated rows (one id, one text) do not remove each other, since neither id is smaller; a row without an id
-neither removes nor loses words; windows are judged on the input; other columns pass through ``dedup``.
+whole; very long texts are judged whole, and may make a block larger; repeated rows (one id, one text) do not remove each
+other, since neither id is smaller; of texts under one id neither removes words of the other; a row without an id
+neither removes nor loses words; windows are judged on the input; other columns, whatever their names, pass through
+``dedup``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,20 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import _powers, fresh, joined, mix, prepare, slices, text_bytes, trim, word_hashes, written
+from statuta.llm.common import fresh, join_hot, joined, mix, prepare, run_hashes, slices, span_hashes, text_bytes, trim, width, word_spans, written
 
-#: Words of a phrase that anchors windows.
-SEED = 8
-_ROLL = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+#: Words of a phrase that anchors windows: two integers of four symbols each.
+SEED, HALF = 8, 4
+#: Words of a block, about; the least symbol as a character, so that none is a surrogate.
+BLOCK_WORDS, FIRST = 1_000_000, 0x10000
 
 
-def rolling(hashes: np.ndarray, n: int, base: int) -> np.ndarray:
-    """A hash of each run of n words."""
-    if len(hashes) < n:
-        return np.empty(0, np.uint64)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * _powers(len(hashes), base), out=total[1:])
-    return mix((total[n:] - total[:-n]) * _powers(len(hashes) - n + 1, pow(base, -1, 2**64)))
+def phrases(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the phrase that starts at each symbol."""
+    n = max(len(symbols) - SEED + 1, 0)
+    wide = symbols.astype(np.uint64)
+    half = np.zeros(n + HALF if n else 0, np.uint64)
+    for k in range(HALF):
+        half |= wide[k : k + len(half)] << np.uint64(16 * k)
+    return half[:n], half[HALF:]
 
 
 def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -51,97 +55,107 @@ def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
 
 
-def anchors(hashes: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the phrases that are smallest in some window; all places of a tie."""
-    if len(hashes) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    phrases, n = rolling(hashes, seed, _ROLL[0]), window - seed + 1
-    least = _slide(phrases, n, np.minimum)
+def anchors(symbols: np.ndarray, window: int) -> np.ndarray:
+    """The distinct phrases (rows of two halves) that are smallest in some window."""
+    if len(symbols) < window:
+        return np.empty((0, 2), np.uint64)
+    p, q = phrases(symbols)
+    rank, n = mix(p ^ mix(q)), window - SEED + 1
+    least = _slide(rank, n, np.minimum)
     pad = np.zeros(n - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.concatenate((pad, least, pad)), n, np.maximum) == phrases)
-    return phrases[at], at
+    at = np.flatnonzero(_slide(np.concatenate((pad, least, pad)), n, np.maximum) == rank)
+    return np.unique(np.stack((p[at], q[at]), axis=1), axis=0)
 
 
-def by_phrase(phrases: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct phrases and the places of each: a word said over and over is one phrase in many places."""
-    order = np.argsort(phrases, kind="stable")
-    known, first = np.unique(phrases[order], return_index=True)
-    return known, np.split(at[order].astype(np.int32), first[1:]) if len(known) else []
+def letters(symbols: np.ndarray) -> str:
+    """One character for each symbol."""
+    return (symbols.astype("<u4") + FIRST).tobytes().decode("utf-32-le")
 
 
-def windows_around(words: np.ndarray, phrases: list[np.ndarray], seed: int, window: int) -> list[np.ndarray]:
-    """For each document (its word hashes) the starts of the windows that hold one of its batch's phrases.
-
-    phrases: the places of recurring phrases in each document. One automaton of all of them is compiled and every
-    document is streamed through it."""
-    keys = np.concatenate([np.lib.stride_tricks.sliding_window_view(w, seed)[p] for w, p in zip(words, phrases, strict=True) if len(p)])
-    known = np.unique(keys)
-    numbered = np.unique(np.searchsorted(known, keys), axis=0) + 1
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for key in map(tuple, numbered.tolist()):
-        automaton.add_word(key, 1)
+def compiled(keys: np.ndarray) -> ahocorasick.Automaton:
+    """An automaton of phrases (rows of two halves)."""
+    shifts = np.arange(0, 64, 16, dtype=np.uint64)
+    rows = ((keys[:, :, None] >> shifts) & np.uint64(0xFFFF)).reshape(len(keys), SEED)
+    every = letters(rows.ravel())
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i in range(0, len(every), SEED):
+        automaton.add_word(every[i : i + SEED], 1)
     automaton.make_automaton()
-    out = []
-    for w in words:
-        at = np.searchsorted(known, w)
-        at[at == len(known)] = 0
-        hits = np.array([end for end, _ in automaton.iter(tuple(np.where(known[at] == w, at + 1, 0).tolist()))], np.int64) - (seed - 1)
-        last = len(w) - window
-        if last < 0 or not len(hits):
-            out.append(np.empty(0, np.int64))
-            continue
-        low, high = np.clip(hits - (window - seed), 0, None), np.minimum(hits, last)
-        step = np.zeros(last + 2, np.int64)
-        ok = low <= high
-        np.add.at(step, low[ok], 1)
-        np.add.at(step, high[ok] + 1, -1)
-        out.append(np.flatnonzero(np.cumsum(step[:-1]) > 0))
-    return out
-
-
-def _docs_words(texts: list[bytes]) -> list[np.ndarray]:
-    hashes, counts = word_hashes(*joined(texts), fold=False)
-    return np.split(hashes, np.cumsum(counts)[:-1]) if len(texts) else []
-
-
-def removals(docs: DataFrame, window: int = 50, seed: int = SEED) -> DataFrame:
-    """Of docs (id, text) those with removals: id, tkey (hash of the text), whole (a copy), starts of windows to go."""
-    kind = docs.schema["id"].dataType.simpleString()
-    docs = docs.where("id is not null").withColumn("tkey", F.xxhash64("text"))
+    return automaton
+
+
+def windows_around(automaton: ahocorasick.Automaton, symbols: np.ndarray, window: int) -> np.ndarray:
+    """The starts of the windows of a document that hold one of the phrases."""
+    last = len(symbols) - window
+    hits = np.fromiter((end for end, _ in automaton.iter(letters(symbols))), np.int64) - (SEED - 1) if last >= 0 else np.empty(0, np.int64)
+    low, high = np.clip(hits - (window - SEED), 0, None), np.minimum(hits, last)
+    step = np.bincount(low, minlength=max(last, 0) + 2) - np.bincount(high + 1, minlength=max(last, 0) + 2)
+    return np.flatnonzero(np.cumsum(step[:-1]) > 0)
+
+
+def _docs_words(texts: list[bytes], seeds: int = 1) -> list[tuple[np.ndarray, ...]]:
+    """Hashes of the words of each text, by one or two independent hashes."""
+    data, ends = joined(texts)
+    hashes, counts, begins, stops = word_spans(data, ends, fold=False)
+    every = [hashes, *(span_hashes(data, begins, stops, k) for k in range(1, seeds))]
+    return list(zip(*(np.split(h, np.cumsum(counts)[:-1]) for h in every), strict=True)) if texts else []
+
+
+def symbols_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.uint16)
+
+
+def removals(docs: DataFrame, window: int = 50) -> DataFrame:
+    """Of docs (id, text) those with removals: id, tkey (hash of the text), starts of windows to go, -1 for the whole text."""
+    if window < SEED:
+        raise ValueError(f"a window has {SEED} words at least")
+    spark, kind = docs.sparkSession, docs.schema["id"].dataType.simpleString()
+    docs = docs.where("id is not null").withColumn("tkey", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words = _docs_words(text_bytes(batch))
-            found = [by_phrase(*anchors(w, window, seed)) for w in words]
-            lens = np.cumsum([0, *(len(h) for h, _ in found)])
-            at = pa.array([x for _, at in found for x in at], pa.list_(pa.int32()))
-            values = pa.StructArray.from_arrays([pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), at], ["h", "at"])
+            words = [w for (w,) in _docs_words(text_bytes(batch))]
+            found = [anchors(symbols_of(w), window) for w in words]
+            lens = np.cumsum([0, *map(len, found)])
+            halves = np.concatenate(found).view(np.int64)
+            values = pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["p", "q"])
             keys = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in words]
-            yield pa.record_batch({"id": batch.column("id"), "tkey": batch.column("tkey"), "words": pa.array(keys, pa.binary()), "anchors": pa.ListArray.from_arrays(pa.array(lens, pa.int32()), values)}).filter(pa.array([len(w) >= window for w in words]))
-        trim()
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = _docs_words(text_bytes(batch))
-            places = [np.array(p, np.int64) for p in batch.column("places").to_pylist()]
-            for row, (w, starts) in enumerate(zip(words, windows_around(words, [p[p + seed <= len(w)] for w, p in zip(words, places, strict=True)], seed, window), strict=True)):
-                if len(starts):
-                    a, b = (rolling(w, window, base)[starts] for base in _ROLL)
-                    same = lambda c: pa.array([batch.column(c)[row].as_py()] * len(starts), batch.schema.field(c).type)  # noqa: E731, B023
-                    yield pa.record_batch({"id": same("id"), "tkey": same("tkey"), "start": pa.array(starts, pa.int32()), "a": pa.array(a.view(np.int64)), "b": pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32))})
+            yield pa.record_batch({"id": batch.column("id"), "tkey": batch.column("tkey"), "n": pa.array(map(len, words), pa.int64()), "words": pa.array(keys, pa.binary()), "anchors": pa.ListArray.from_arrays(pa.array(lens, pa.int32()), values)}).filter(pa.array([len(w) >= window for w in words]))
         trim()
 
-    heads = written(docs.select("id", "tkey", "text").mapInArrow(sketch, f"id {kind}, tkey long, words binary, anchors array<struct<h:long,at:array<int>>>"), "anchors")
-    firsts = heads.groupBy("words").agg(F.min(F.struct("id", "tkey", "anchors")).alias("x"))
-    copies = heads.join(firsts.select("words", F.col("x.id").alias("first")), "words").where("id > first").select("id", "tkey")
-    marks = firsts.select("x.id", "x.tkey", F.explode("x.anchors").alias("y")).select("id", "tkey", F.col("y.h").alias("h"), F.col("y.at").alias("at"))
-    recurring = written(marks.groupBy("h").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("h"), "phrases")
-    places = marks.join(recurring, "h").groupBy("id", "tkey").agg(F.flatten(F.collect_list("at")).alias("places"))  # as many as the text has
-    found = written(docs.join(places, ["id", "tkey"]).mapInArrow(locate, f"id {kind}, tkey long, start int, a long, b int"), "windows")
-    owners = found.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("a", "b", "first")
-    gone = found.join(owners, ["a", "b"]).where("id > first").select("id", "tkey", F.col("start"))
-    gone = gone.unionByName(copies.distinct().select("id", "tkey", F.lit(-1).alias("start")))
-    return gone.groupBy("id", "tkey").agg(F.collect_set("start").alias("starts"))
+    heads = written(docs.select("id", "tkey", "text").mapInArrow(sketch, f"id {kind}, tkey long, n long, words binary, anchors array<struct<p:long,q:long>>"), "anchors")
+    total = heads.agg(F.sum("n")).first()[0] or 0
+    block = F.pmod(F.xxhash64("id", "tkey"), F.lit(-(-total // BLOCK_WORDS) or 1)).cast("int").alias("block")
+    firsts = heads.groupBy("words").agg(F.min(F.struct("id", "tkey", "anchors")).alias("x"), F.count("*").alias("n"))
+    firsts = written(firsts.select("words", "n", "x.*").withColumn("block", block), "firsts")
+    copies = join_hot(heads.select("words", "id", "tkey"), firsts.where("n > 1").select("words", "n", F.col("id").alias("first")), ["words"]).where("id > first")
+    marks = firsts.select("id", "block", F.explode("anchors").alias("y")).select("id", "block", "y.p", "y.q")
+    recurring = marks.groupBy("p", "q").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last")
+    sent = join_hot(marks.select("block", "p", "q"), written(recurring.select("p", "q", "n"), "phrases"), ["p", "q"]).select("block", "p", "q")
+
+    def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            automaton = compiled(np.unique(np.stack([right[c].to_numpy().view(np.uint64) for c in ("p", "q")], axis=1), axis=0))
+            for batch in slices(left.to_batches()):
+                for row, (a, b) in enumerate(_docs_words(text_bytes(batch), 2)):
+                    starts = windows_around(automaton, symbols_of(a), window)
+                    if len(starts):
+                        x, y = run_hashes(a, window)[starts], run_hashes(b, window, 1)[starts]
+                        spot = (starts.astype(np.uint64) << np.uint64(32)) | (y >> np.uint64(32))
+                        same = lambda c: batch.column(c).take(pa.array(np.full(len(starts), row)))  # noqa: E731, B023
+                        out.append(pa.record_batch([same("id"), same("tkey"), pa.array(x.view(np.int64)), pa.array(spot.view(np.int64))], names=["id", "tkey", "a", "spot"]))
+            trim()
+        return pa.Table.from_batches(out) if out else pa.table({"id": left["id"][:0], "tkey": left["tkey"][:0], "a": pa.array([], pa.int64()), "spot": pa.array([], pa.int64())})
+
+    n = width(spark)
+    texts = docs.select(block, "id", "tkey", "text").where(F.octet_length("text") >= 2 * window - 1).repartition(n, "block")
+    texts = texts.join(firsts.select("block", "id", "tkey").repartition(n, "block"), ["block", "id", "tkey"], "left_semi").dropDuplicates(["block", "id", "tkey"])
+    found = texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(locate, f"id {kind}, tkey long, a long, spot long")
+    found = written(found.withColumn("b", F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))), "windows")
+    owners = written(found.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").select("a", "b", "first", "n"), "owners")
+    gone = join_hot(found, owners, ["a", "b"]).where("id > first").select("id", "tkey", F.shiftrightunsigned("spot", 32).cast("int").alias("start"))
+    return gone.unionByName(copies.select("id", "tkey", F.lit(-1).alias("start"))).groupBy("id", "tkey").agg(F.collect_set("start").alias("starts"))
 
 
 def _strip(text: bytes, starts: list[int] | None, window: int) -> tuple[list[bytes], list[bytes]]:
@@ -163,7 +177,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[Da
     own, key, starts = (fresh(docs.columns, x) for x in ("_id", "_tkey", "_starts"))
     gone = removals(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window)
     gone = gone.select(F.col("id").alias(own), F.col("tkey").alias(key), F.col("starts").alias(starts))
-    return docs.join(gone, (F.col(id_col) == F.col(own)) & (F.xxhash64(text_col) == F.col(key)), "left").drop(own, key), starts
+    return docs.join(gone, (F.col(id_col) == F.col(own)) & (F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF)) == F.col(key)), "left").drop(own, key), starts
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:

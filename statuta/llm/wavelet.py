@@ -8,8 +8,9 @@ reader can look up single tokens, count an id or find its occurrences without th
 The file is written under a name of its own and then renamed, so a task that runs twice leaves one whole file.
 Files whose task did not end up in the manifest are ignored.
 
-Defined results: null text is empty and has the end id alone; repeated rows follow each other, ordered by id,
-then text; a null id sorts first; other columns are ignored; an empty table writes no shard.
+Defined results: null text is empty and has the end id alone; a very long text is one document of a shard that may be
+longer for it; repeated rows follow each other, ordered by id, then text (ties are equal rows); a null id sorts first;
+other columns, whatever their names, are ignored; an empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statuta.llm.common import joined, prepare, scratch, slices, text_bytes, width, word_spans, written
+from statuta.llm.common import joined, prepare, scratch, slices, span_hashes, text_bytes, width, word_spans, written
 
 MAGIC = b"WVMX0001"
 #: Tokens after which a shard is closed, bytes of a plane for each sampled count, words that a worker keeps.
 SHARD_TOKENS, SAMPLE, CACHE = 4_000_000, 64, 4_000_000
 #: Tokens of a piece: its planes are built in the processor's cache.
 PIECE_TOKENS = 1 << 19
+#: Texts that show whether a tokenizer works word by word.
+PROBES = ["a b", "Some words, and some more. And  MORE\n\twords.", " led by space ", "Straße, naïve café; it's 3.14 (or so)", "x.,.,", "A a A.a", "the theory of the, other. other,others", "e\u0301 \u00e9"]
 
 
 class WaveletMatrix:
@@ -199,10 +202,11 @@ def spread(flat: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
 
 
 class WordIds:
-    """Ids of words, each encoded once while a worker keeps it; sorted arrays by the word's hash, no objects.
+    """Ids of words, each encoded once while a worker keeps it; sorted arrays by the word's hash, no objects. A second,
+    independent hash stands beside each; a word that agrees in the first alone is encoded on its own.
 
-    Only for tokenizers that part letters from the marks behind them, keep no case and never reach across white
-    space. At CACHE words it starts anew."""
+    That is only for tokenizers that part letters from the marks behind them, keep no case and never reach across white
+    space, which is tried on PROBES; any other one encodes whole texts. At CACHE words it starts anew."""
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
@@ -212,9 +216,13 @@ class WordIds:
         special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.border = special[-1] if special else None
         self.reset()
+        whole = [x.ids for x in self.tokenizer.encode_batch(PROBES, add_special_tokens=False)]
+        self.by_word = True
+        self.by_word = [self.encode([x.encode()])[0][:-1].tolist() for x in PROBES] == whole
+        self.reset()
 
     def reset(self) -> None:
-        self.keys, self.starts, self.lens = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.keys, self.checks, self.starts, self.lens = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
         self.flat = np.array([self.end], np.uint32)
 
     def lookup(self, words: list[str]) -> list[np.ndarray]:
@@ -237,9 +245,9 @@ class WordIds:
             got[i] = np.array(x.ids, np.uint32)
         return got
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Encode new words; keys are their hashes, ascending. Letters and the marks behind them are encoded apart,
-        so that of a word before a full stop and before a comma only one is."""
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words, one after the other, and how many each has. Letters and the marks behind them are encoded
+        apart, so that of a word before a full stop and before a comma only one is."""
         stems: dict[str, int] = {}
         pairs = []
         for word in words:
@@ -253,16 +261,24 @@ class WordIds:
                 pairs += (stems.setdefault(stem, len(stems)), stems.setdefault(text[len(stem) :], len(stems)))
         got = self.lookup(list(stems))
         flat, lens = spread(np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got)), np.array(pairs))
-        lens = lens.reshape(-1, 2).sum(axis=1)
+        return flat, lens.reshape(-1, 2).sum(axis=1)
+
+    def learn(self, keys: np.ndarray, checks: np.ndarray, words: list[bytes]) -> None:
+        """Keep new words; keys are their hashes, ascending."""
+        flat, lens = self.encoded(words)
         at = np.searchsorted(self.keys, keys)
         self.starts = np.insert(self.starts, at, len(self.flat) + np.cumsum(lens) - lens)
         self.lens = np.insert(self.lens, at, lens.astype(np.int32))
-        self.keys, self.flat = np.insert(self.keys, at, keys), np.concatenate((self.flat, flat))
+        self.keys, self.checks, self.flat = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks), np.concatenate((self.flat, flat))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each ended, and how many each text has."""
+        if not self.by_word:
+            got = [[*x.ids, self.end] for x in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            return np.array([i for x in got for i in x], np.uint32), np.array(list(map(len, got)), np.int64)
         data, ends = joined(texts)
         hashes, counts, begins, stops = word_spans(data, ends, fold=False)
+        checks = span_hashes(data, begins, stops, 1)
         order = np.argsort(hashes)
         ranked = hashes[order]
         fresh = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, bool)
@@ -275,14 +291,21 @@ class WordIds:
         new = np.ones(len(keys), bool)
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != keys[inside]
+        raw = data.tobytes()
+        words = lambda some: [raw[a:b] for a, b in zip(begins[some].tolist(), stops[some].tolist(), strict=True)]
         if new.any():
-            raw = data.tobytes()
-            self.learn(keys[new], [raw[a:b] for a, b in zip(begins[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
+            self.learn(keys[new], checks[first[new]], words(first[new]))
             at = np.searchsorted(self.keys, keys)
+        starts, lens, flat = self.starts[at].take(group), self.lens[at].astype(np.int64).take(group), self.flat
+        other = np.flatnonzero(self.checks[at].take(group) != checks)
+        if len(other):
+            own, lens[other] = self.encoded(words(other))
+            starts[other] = len(flat) + np.cumsum(lens[other]) - lens[other]
+            flat = np.concatenate((flat, own))
         last = np.cumsum(counts)
-        starts, lens = np.insert(self.starts[at].take(group), last, 0), np.insert(self.lens[at].astype(np.int64).take(group), last, 1)
+        starts, lens = np.insert(starts, last, 0), np.insert(lens, last, 1)
         cuts = np.cumsum(lens)
-        ids = self.flat.take(np.repeat(starts - cuts + lens, lens) + np.arange(cuts[-1]))
+        ids = flat.take(np.repeat(starts - cuts + lens, lens) + np.arange(cuts[-1]))
         return ids, np.diff(cuts[np.cumsum(counts + 1) - 1], prepend=0)
 
 
@@ -290,7 +313,7 @@ def _put(path: str, data: bytes) -> None:
     """Write a file whole: under another name first, then renamed."""
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+    store, at = fs.FileSystem.from_uri(f"file://{path[5:]}" if path.startswith("file:/") and path[5:7] != "//" else path)
     store.create_dir(at.rpartition("/")[0], recursive=True)
     with store.open_output_stream(aside := f"{at.rpartition('/')[0]}/.{uuid.uuid4().hex}") as out:
         out.write(data)
@@ -312,6 +335,8 @@ def write_shards(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     prepare(spark)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(to)  # a path without a scheme is in Spark's own file system, on executors too
+    to = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
     ranged = docs.select(id_col, text_col).repartitionByRange(width(spark), id_col).sortWithinPartitions(id_col, text_col)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

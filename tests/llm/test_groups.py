@@ -127,7 +127,46 @@ def test_dedup_repeated_rows_and_rows_without_id(frame):
 @pytest.mark.parametrize("n", [49, 50, 51, 120])
 def test_equal_windows_have_equal_anchors(n):
     rng = np.random.default_rng(n)
-    shared = rng.integers(0, 2**63, 50).astype(np.uint64)
+    draw = lambda k: rng.integers(0, 2**16, k).astype(np.uint16)
+    shared = draw(50)
     for _ in range(20):
-        a, b = (np.concatenate([rng.integers(0, 2**63, rng.integers(0, n)).astype(np.uint64), shared, rng.integers(0, 2**63, rng.integers(0, n)).astype(np.uint64)]) for _ in range(2))
-        assert set(substring_dedup.anchors(a, 50, 8)[0]) & set(substring_dedup.anchors(b, 50, 8)[0])
+        a, b = (np.concatenate([draw(rng.integers(0, n)), shared, draw(rng.integers(0, n))]) for _ in range(2))
+        assert {tuple(x) for x in substring_dedup.anchors(a, 50)} & {tuple(x) for x in substring_dedup.anchors(b, 50)}
+
+
+def test_automata_locate_what_goes(frame, corpus, monkeypatch):
+    """Without what the automata find nothing but whole copies goes."""
+    rows = dict(corpus)
+    some = {d for d, (n, gone, _) in removed(corpus).items() if 0 < gone < n}
+    assert len(some) > 5
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 500)  # several blocks
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.report(frame(corpus)).collect()}
+    assert got == removed(corpus)
+    monkeypatch.setattr(substring_dedup, "windows_around", lambda *_: np.empty(0, np.int64))
+    assert not {r.doc_id for r in substring_dedup.report(frame(corpus)).collect() if r.n_removed} & some and rows
+
+
+def thue_morse(a, b, n=1024):
+    """Words that polynomial hashes modulo a power of two take for one."""
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_different_words_are_different(frame):
+    for x, y in (thue_morse("a", "b"), thue_morse("q", "z", 4096)):
+        assert joined(frame([(1, x), (2, y)])) == {1: (1, 1), 2: (1, 2)}
+        tail = [f"w{i}" for i in range(59)]
+        rows = [(1, " ".join([x, *tail])), (2, " ".join([y, *tail]))]
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.report(frame(rows)).collect()}
+        assert got == removed(rows) and got[2][1] == 59
+
+
+def test_very_long_texts(frame):
+    """A million words, and one word of 20 MB, beside a copy with another beginning."""
+    rng = random.Random(1)
+    words = [f"{rng.randrange(10**6)}" for _ in range(1_000_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["other", *words[1:]])), (3, "x" * 20_000_000), (4, "x" * 20_000_000)]
+    assert joined(frame(rows)) == {1: (999_998, 1), 2: (999_998, 1), 3: (1, 3), 4: (1, 3)}
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.report(frame(rows)).collect()}
+    assert got == {1: (1_000_000, 0), 2: (1_000_000, 999_999), 3: (1, 0), 4: (1, 0)}

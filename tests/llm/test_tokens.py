@@ -42,6 +42,27 @@ def test_wavelet_shards_are_split_and_joined(frame):
     assert sorted(r.start for r in got) == [4 * i for i in range(40)]
 
 
+def test_words_whose_hashes_agree_are_told_apart(corpus, edges, monkeypatch):
+    t, spans = Tokenizer.from_file(P.path("word_bpe_49k.json")), wavelet.word_spans
+    monkeypatch.setattr(wavelet, "word_spans", lambda *a, **k: (lambda h, *rest: (h & np.uint64(15), *rest))(*spans(*a, **k)))
+    words = wavelet.WordIds(P.path("word_bpe_49k.json"), 1)
+    texts = [(x or "").encode() for _, x in [*corpus, *edges]]
+    for some in (texts[:50], texts[50:], texts[:20]):
+        ids, lens = words.encode(some)
+        want = [[*t.encode(x.decode(), add_special_tokens=False).ids, 1] for x in some]
+        assert lens.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_a_tokenizer_that_keeps_no_word_borders_encodes_whole_texts(tmp_path):
+    from tokenizers import models, normalizers
+
+    t = Tokenizer(models.BPE({"a": 0, " ": 1, "b": 2, "a b": 3, "a ": 4}, [("a", " "), ("a ", "b")]))
+    t.normalizer = normalizers.NFC()
+    t.save(str(tmp_path / "t.json"))
+    ids, lens = wavelet.WordIds(str(tmp_path / "t.json"), 9).encode([b"a b", b"", b"b a b"])
+    assert ids.tolist() == [3, 9, 9, 2, 1, 3, 9] and lens.tolist() == [2, 1, 4]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 70_000), max_size=300))
 def test_wavelet_matrix_answers_like_a_list(values):
