@@ -34,6 +34,8 @@ from statuta.llm.common import fresh, join_hot, joined, mix, prepare, run_hashes
 SEED, HALF = 8, 4
 #: Words of a block, about; the least symbol as a character, so that none is a surrogate.
 BLOCK_WORDS, FIRST = 1_000_000, 0x10000
+#: Bits that tell apart the texts of one id.
+TKEY = 0x7FFFFFFF
 
 
 def phrases(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +112,7 @@ def removals(docs: DataFrame, window: int = 50) -> DataFrame:
     if window < SEED:
         raise ValueError(f"a window has {SEED} words at least")
     spark, kind = docs.sparkSession, docs.schema["id"].dataType.simpleString()
-    docs = docs.where("id is not null").withColumn("tkey", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
+    docs = docs.where("id is not null").withColumn("tkey", F.xxhash64("text").bitwiseAND(F.lit(TKEY)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -129,9 +131,9 @@ def removals(docs: DataFrame, window: int = 50) -> DataFrame:
     firsts = heads.groupBy("words").agg(F.min(F.struct("id", "tkey", "anchors")).alias("x"), F.count("*").alias("n"))
     firsts = written(firsts.select("words", "n", "x.*").withColumn("block", block), "firsts")
     copies = join_hot(heads.select("words", "id", "tkey"), firsts.where("n > 1").select("words", "n", F.col("id").alias("first")), ["words"]).where("id > first")
-    marks = firsts.select("id", "block", F.explode("anchors").alias("y")).select("id", "block", "y.p", "y.q")
-    recurring = marks.groupBy("p", "q").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last")
-    sent = join_hot(marks.select("block", "p", "q"), written(recurring.select("p", "q", "n"), "phrases"), ["p", "q"]).select("block", "p", "q")
+    marks = firsts.select("block", F.explode("anchors").alias("y")).select("block", "y.p", "y.q")
+    recurring = marks.groupBy("p", "q").agg(F.count("*").alias("n")).where("n > 1")  # a text has each of its anchors once
+    sent = join_hot(marks, written(recurring, "phrases"), ["p", "q"]).select("block", "p", "q")
 
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -142,19 +144,20 @@ def removals(docs: DataFrame, window: int = 50) -> DataFrame:
                     starts = windows_around(automaton, symbols_of(a), window)
                     if len(starts):
                         x, y = run_hashes(a, window)[starts], run_hashes(b, window, 1)[starts]
-                        spot = (starts.astype(np.uint64) << np.uint64(32)) | (y >> np.uint64(32))
-                        same = lambda c: batch.column(c).take(pa.array(np.full(len(starts), row)))  # noqa: E731, B023
-                        out.append(pa.record_batch([same("id"), same("tkey"), pa.array(x.view(np.int64)), pa.array(spot.view(np.int64))], names=["id", "tkey", "a", "spot"]))
+                        spot = (batch.column("tkey")[row].as_py() << 32) + starts  # both in one number
+                        ids = batch.column("id").take(pa.array(np.full(len(starts), row)))
+                        out.append(pa.record_batch([ids, pa.array(spot), pa.array(x.view(np.int64)), pa.array((y >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["id", "spot", "a", "b"]))
             trim()
-        return pa.Table.from_batches(out) if out else pa.table({"id": left["id"][:0], "tkey": left["tkey"][:0], "a": pa.array([], pa.int64()), "spot": pa.array([], pa.int64())})
+        return pa.Table.from_batches(out) if out else pa.table({"id": left["id"][:0], "spot": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int32())})
 
     n = width(spark)
     texts = docs.select(block, "id", "tkey", "text").where(F.octet_length("text") >= 2 * window - 1).repartition(n, "block")
     texts = texts.join(firsts.select("block", "id", "tkey").repartition(n, "block"), ["block", "id", "tkey"], "left_semi").dropDuplicates(["block", "id", "tkey"])
-    found = texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(locate, f"id {kind}, tkey long, a long, spot long")
-    found = written(found.withColumn("b", F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF))), "windows")
-    owners = written(found.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").select("a", "b", "first", "n"), "owners")
-    gone = join_hot(found, owners, ["a", "b"]).where("id > first").select("id", "tkey", F.shiftrightunsigned("spot", 32).cast("int").alias("start"))
+    found = texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(locate, f"id {kind}, spot long, a long, b int")
+    found = written(found, "windows")
+    owners = written(found.groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "owners")
+    gone = join_hot(found, owners, ["a", "b"]).where("id > first")
+    gone = gone.select("id", F.shiftright("spot", 32).alias("tkey"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"))
     return gone.unionByName(copies.select("id", "tkey", F.lit(-1).alias("start"))).groupBy("id", "tkey").agg(F.collect_set("start").alias("starts"))
 
 
@@ -177,7 +180,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[Da
     own, key, starts = (fresh(docs.columns, x) for x in ("_id", "_tkey", "_starts"))
     gone = removals(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window)
     gone = gone.select(F.col("id").alias(own), F.col("tkey").alias(key), F.col("starts").alias(starts))
-    return docs.join(gone, (F.col(id_col) == F.col(own)) & (F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFFFFFF)) == F.col(key)), "left").drop(own, key), starts
+    return docs.join(gone, (F.col(id_col) == F.col(own)) & (F.xxhash64(text_col).bitwiseAND(F.lit(TKEY)) == F.col(key)), "left").drop(own, key), starts
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
