@@ -1,20 +1,24 @@
 """Prediction by partial matching over bytes, with a unigram word score beside it.
 
-The model is a trie of byte contexts up to ORDER long, with all n-grams of all training texts: it grows with the corpus,
-and no worker holds it whole. Blocks of documents send their distinct (ORDER+1)-grams with the counts in training texts to
-buckets, which are by the last DEALT bytes of the context and so hold all n-grams longer than that; those up to DEALT
-long (at most SYMBOLS**DEALT, whatever the corpus) are counted beforehand and broadcast, all of them. A bucket
-answers each n-gram with its logarithm, and blocks score their documents. In a context, escape has the weight of the
-number of different symbols (method C); after an escape these are excluded and the rest of the shorter
-context's distribution is scaled up.
+The model is a trie of byte contexts up to ORDER long, read from the last byte backwards, with all n-grams of all training
+texts: it grows with the corpus, and no worker holds it whole. A node with its symbol is one number, whose digits are
+the path, so sorted numbers are the trie in depth-first order. The subtrees below depth DEALT are dealt into buckets by the
+hash of their root; what is above (at most SYMBOLS**(DEALT+1) numbers, whatever the corpus) is counted beforehand and
+broadcast. In a context, escape has the weight of the number of different symbols (method C); after an escape these are
+excluded and the rest of the shorter context's distribution is scaled up.
+
+1. Blocks of documents list their distinct n-grams and words with the counts in training texts, packed by bucket.
+2. Each bucket adds up what blocks sent, message by message, and computes the logarithms of its n-grams. It holds its
+   own subtrees only, and one subtree has at most SYMBOLS**(ORDER-DEALT+1) numbers.
+3. Each bucket answers the blocks, message by message, and blocks score their documents.
+
+How many buckets there are follows from the size of the corpus, so that a task reads about the same whatever the size.
 Every text has a positive probability; it ends with a symbol of its own, so texts of all lengths share one
 distribution. ``adaptive`` gives the code length that a model pays which learns from the text itself alone.
 
-Word counts are exact over all training texts: blocks of documents send each distinct word's hash (64 bits) and
-count to the word's bucket, buckets add up and answer, and blocks score their documents.
-
-Defined results: null text is empty: one token, the end; repeated rows are counted and scored each; without
-training texts N and V are 0 and the model is uniform; other columns are ignored; an empty table gives no rows.
+Defined results: null text is empty: one token, the end; a very long text is scored whole, and its block is the larger;
+repeated rows are counted and scored each; ties do not arise; without training texts N and V are 0 and the model is
+uniform; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,53 +37,42 @@ from statuta.llm.common import crc_mod, joined, mix, prepare, slices, text_bytes
 ORDER, DEALT = 5, 3
 #: Symbols: the bytes, and the end of a text, which also stands before its first byte.
 END, SYMBOLS = 256, 257
-#: Text bytes of a block, and of the part of one that is scored at a time; n-grams that a block holds before it adds them up.
+#: Text bytes of a block, and of the part of one that is scored at a time; n-grams that are held before they are added up.
 BLOCK_BYTES, PART, HELD = 8_000_000, 500_000, 800_000
+#: Text bytes of the corpus for each bucket; steps of a logarithm as it travels.
+BUCKET_BYTES, STEPS = 250_000_000, 2.0**40
 
 
-def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as symbols, ORDER ends before each and one after it; where each text's first symbol is."""
+def codes(texts: list[bytes]) -> np.ndarray:
+    """For each byte and end of the texts, in their order, the path of its context and then the symbol itself."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    first = np.cumsum(lens + ORDER + 1) - lens - 1
-    out = np.full(int((lens + ORDER + 1).sum()), END, np.int64)
+    first = np.cumsum(lens + ORDER + 1) - lens - 1  # where each text's first symbol is, ORDER ends before it
+    s = np.full(int((lens + ORDER + 1).sum()), END, np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    out[np.arange(len(data)) + np.repeat(first - (np.cumsum(lens) - lens), lens)] = data
-    return out, first
-
-
-def codes(texts: list[bytes]) -> np.ndarray:
-    """Codes of the (ORDER+1)-grams that end in each byte and end of the texts, in their order."""
-    s, first = symbols(texts)
+    s[np.arange(len(data)) + np.repeat(first - (np.cumsum(lens) - lens), lens)] = data
     code = s[ORDER:].copy()
     for k in range(1, ORDER + 1):
-        code += s[ORDER - k : len(s) - k] * SYMBOLS**k
+        code += s[ORDER - k : len(s) - k] * SYMBOLS ** (ORDER + 1 - k)
     own = np.ones(len(s), bool)
     for k in range(1, ORDER + 1):
         own[first - k] = False  # the ends before a text are not predicted
     return code[own[ORDER:]]
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct codes of some texts, and how often they occur."""
-    return np.unique(codes(texts), return_counts=True)
+def cut(code: np.ndarray, k: int, order: int = ORDER) -> np.ndarray:
+    """The numbers of the same symbols after the last k symbols of their contexts, which had ``order``."""
+    return code // SYMBOLS ** (order - k + 1) * SYMBOLS + code % SYMBOLS
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of some counted ones, sorted, and their sums."""
     codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
     return codes, np.bincount(where, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
 def dealt(code: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of (ORDER+1)-grams: by the last DEALT symbols of the context."""
-    return (mix((code // SYMBOLS % SYMBOLS**DEALT).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
-def shorter(code: np.ndarray, n: np.ndarray, lengths: Iterator[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted n-grams with their counts, and their ends of some lengths, the longest first."""
-    out = [(code, n)]
-    for k in lengths:
-        out.append(added([(out[-1][0] % SYMBOLS**k, out[-1][1])]))
-    return out
+    """The bucket of a number: by the root of its subtree."""
+    return (mix((code // SYMBOLS ** (ORDER - DEALT + 1)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 def find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,97 +83,24 @@ def find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, known[at] == wanted
 
 
-def logs(asked: np.ndarray, counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 probabilities of the last symbols of (ORDER+1)-grams after the others; counted: n-grams of 1, 2, ... symbols."""
+def logs(asked: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 probabilities of the symbols asked for; levels: the counted trie by the length of contexts, 0 first."""
     p, below = np.full(len(asked), 1 / SYMBOLS), None
-    for k, (code, n) in enumerate(counted, 1):
+    for k, (code, n) in enumerate(levels):
         if not len(code):
             break
         contexts, where, kinds = np.unique(code // SYMBOLS, return_inverse=True, return_counts=True)
         free = np.where(kinds == SYMBOLS, 0, kinds)
         total = np.bincount(where, n) + free
-        mass = np.bincount(where, np.full(len(code), 1 / SYMBOLS) if below is None else below[1][np.searchsorted(below[0], code % SYMBOLS ** (k - 1))])
+        mass = np.bincount(where, np.full(len(code), 1 / SYMBOLS) if below is None else below[1][np.searchsorted(below[0], cut(code, k - 1, k))])
         escape = free / total / np.maximum(1 - mass, 1e-12)
-        own = n / total[where]
-        at, known = find(contexts, asked % SYMBOLS**k // SYMBOLS)
+        own, want = n / total[where], cut(asked, k)
+        at, known = find(contexts, want // SYMBOLS)
         p = np.where(known, p * escape[at], p)
-        at, known = find(code, asked % SYMBOLS**k)
-        p = np.where(known, own[at] if len(own) else p, p)
+        at, known = find(code, want)
+        p = np.where(known, own[at], p)
         below = code, own
-    return np.log10(np.maximum(p, 1e-37)).astype(np.float32)
-
-
-class Model:
-    """The same model on one machine, for small tables; it may also have only some n-grams.
-
-    Tables to score with: the longest known context before each symbol, and log10 probabilities in it."""
-
-    def __init__(self, order: np.ndarray, code: np.ndarray, n: np.ndarray):
-        shape = SYMBOLS
-        seen = code[order == 1], n[order == 1]
-        total, kinds = int(seen[1].sum()), len(seen[0])
-        #: A column for each symbol seen, and one for all others, which are alike in every context.
-        self.width = kinds + (kinds < shape)
-        self.column = np.full(shape, kinds, np.int64)
-        self.column[seen[0]] = np.arange(kinds)
-        root = np.full(self.width, 1 / shape)
-        if total:
-            root[:] = kinds / (total + kinds) / max(1, shape - kinds)
-            root[:kinds] = seen[1] / (total + kinds) if kinds < shape else seen[1] / total
-        above, base, self.next, self.at = root[None].astype(np.float32), 1, [], []
-        logs = [np.log10(above)]
-        ids = {0: np.zeros(1, np.int64)}  # contexts by length
-        known = np.zeros(1, np.int64)  # those of the length before, whose distributions are the rows of ``above``
-        for length in range(1, ORDER + 1):
-            own = order == length + 1
-            contexts, where = np.unique(code[own] // shape, return_inverse=True)
-            table = above[np.searchsorted(known, contexts % shape ** (length - 1))]
-            mass, sym = np.zeros(len(contexts)), self.column[code[own] % shape]
-            np.add.at(mass, where, table[where, sym])
-            seen, kinds = np.bincount(where, n[own], len(contexts)), np.bincount(where, minlength=len(contexts))
-            totals = np.maximum(seen, self.counts(order == length, code, n, contexts))  # with symbols that were not kept
-            rest = np.maximum(1 - mass, 1e-12)
-            free = np.where(kinds == shape, 0, kinds)
-            table *= ((totals - seen + free) / (totals + free) / rest).astype(np.float32)[:, None]
-            table[where, sym] = n[own] / (totals + free)[where]
-            logs.append(np.log10(np.maximum(table, np.float32(1e-37))))
-            # step: number (from 1) of the context one symbol shorter at its end, and that symbol, to the own number
-            step = np.zeros((len(ids[length - 1]) if length > 1 else 1, self.width), np.int32)
-            heads = np.searchsorted(ids[length - 1][1:], contexts // shape) + 1 if length > 1 else np.zeros(len(contexts), np.int64)
-            step[heads, self.column[contexts % shape]] = np.arange(1, len(contexts) + 1)
-            self.next.append(step.ravel())
-            self.at.append(base)
-            ids[length] = np.concatenate(([-1], contexts))
-            known, above, base = contexts, table, base + len(contexts)
-            if not len(contexts):
-                break
-        self.log = np.concatenate(logs).ravel()
-
-    @staticmethod
-    def counts(own: np.ndarray, code: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """How often some n-grams occur, 0 where that is not kept."""
-        by = np.argsort(code[own])
-        known, counted = code[own][by], n[own][by]
-        if not len(known):
-            return np.zeros(len(wanted), np.int64)
-        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-        return np.where(known[at] == wanted, counted[at], 0)
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        s, first = symbols(texts)
-        s = self.column[s]
-        row, number = np.zeros(len(s), np.int64), None
-        for k, step in enumerate(self.next):
-            # the context that ends in each symbol, one longer than before
-            number = step[s] if number is None else step[np.concatenate(([0], number[:-1])).astype(np.int64) * self.width + s]
-            row = np.where(number > 0, self.at[k] + number - 1, row)
-        cost = np.zeros(len(s) + 1)
-        cost[1 : len(s)] = self.log[row[:-1] * self.width + s[1:]]
-        for k in range(1, ORDER + 1):
-            cost[first - k] = 0
-        total = np.concatenate(([0], np.cumsum(cost[:-1])))
-        ends = np.concatenate((first[1:] - ORDER, [len(s)])) if len(first) else first
-        return total[ends] - total[first]
+    return np.log10(np.maximum(p, 1e-300))
 
 
 def adaptive(text: bytes, order: int = ORDER) -> float:
@@ -209,8 +129,7 @@ def adaptive(text: bytes, order: int = ORDER) -> float:
     return total
 
 
-SENT = "kind int, block long, bucket int, body binary, extra binary, ids array<{id}>"
-WORDS, DOCS, BYTES, SHORT = 0, 1, 2, 3
+WORDS, DOCS, GRAMS, TOP = 0, 1, 2, 3
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -231,7 +150,9 @@ def parted(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int,
 
 
 def gather(docs: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """One pass over docs (id, text, train): words and n-grams for the buckets, texts of the blocks."""
+    """One pass over docs (id, text, train): words and n-grams for the buckets, texts of the blocks.
+
+    Buckets of n-grams are numbered behind those of words; the top of the trie has no bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -240,7 +161,7 @@ def gather(docs: DataFrame, kind: str, buckets: int) -> DataFrame:
         id_type = None
         block: dict = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        short: list[tuple[np.ndarray, np.ndarray]] = []
+        top: list[tuple[np.ndarray, np.ndarray]] = []
 
         def rows(kind, block, bucket, body, extra, ids=None):
             n = len(body)
@@ -249,19 +170,20 @@ def gather(docs: DataFrame, kind: str, buckets: int) -> DataFrame:
                 ["kind", "block", "bucket", "body", "extra", "ids"],
             )
 
+        def packed(kind, code, n, bucket, first):
+            order, some = parted(bucket, buckets)
+            code, n = code[order], n[order]
+            return rows(kind, number, [first + b for b, _, _ in some], [squeeze(np.diff(code[x:y], prepend=0)) for _, x, y in some], [squeeze(n[x:y]) for _, x, y in some])
+
         def close():
             hashes, lens = np.concatenate(block["hashes"]), np.concatenate(block["lens"])
             train = np.repeat(np.concatenate(block["train"]), lens)
             known, where = np.unique(hashes, return_inverse=True)
-            counts = np.bincount(where[train], minlength=len(known))
-            bucket = (((known >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-            _, some = parted(bucket, buckets)
-            yield rows(WORDS, number, [b for b, _, _ in some], [known[x:y].tobytes() for _, x, y in some], [squeeze(counts[x:y]) for _, x, y in some])
+            yield packed(WORDS, known.view(np.int64), np.bincount(where[train], minlength=len(known)), word_bucket(known, buckets), 0)
             code, n = added(held)
             held.clear()
-            order, some = parted(dealt(code, buckets), buckets)
-            yield rows(BYTES, number, [b for b, _, _ in some], [squeeze(np.diff(code[order[x:y]], prepend=0)) for _, x, y in some], [squeeze(n[order[x:y]]) for _, x, y in some])
-            short[:] = [added([*short, (code[n > 0] % SYMBOLS**DEALT, n[n > 0])])]
+            yield packed(GRAMS, code, n, dealt(code, buckets), buckets)
+            top[:] = [added([*top, (cut(code[n > 0], DEALT), n[n > 0])])]
             texts = block["texts"]
             yield rows(DOCS, number, [-1], [zstandard.compress(b"".join(texts), 3)], [squeeze(np.fromiter(map(len, texts), np.int64, len(texts)))], block["ids"])
 
@@ -279,7 +201,7 @@ def gather(docs: DataFrame, kind: str, buckets: int) -> DataFrame:
             for learn in (True, False):
                 some = [t for t, yes in zip(texts, train.tolist(), strict=True) if yes == learn]
                 if some:
-                    code, n = grams(some)
+                    code, n = np.unique(codes(some), return_counts=True)
                     held.append((code, n * learn))
             if len(held) > 1 and sum(len(c) for c, _ in held) > HELD:
                 held[:] = [added(held)]
@@ -290,60 +212,98 @@ def gather(docs: DataFrame, kind: str, buckets: int) -> DataFrame:
         if block:
             yield from close()
             block.clear()
-        if short:
-            yield rows(SHORT, -1, [-1], [squeeze(short[0][0])], [squeeze(short[0][1])])
-        short.clear()
+        if top:
+            yield rows(TOP, -1, [-1], [squeeze(top[0][0])], [squeeze(top[0][1])])
+        top.clear()
         trim()
 
-    return written(docs.mapInArrow(run, SENT.format(id=kind)), "gathered")
+    return written(docs.mapInArrow(run, f"kind int, block long, bucket int, body binary, extra binary, ids array<{kind}>"), "gathered")
 
 
-def count_words(table: pa.Table) -> pa.Table:
-    """A bucket's answer to every block: counts in all training texts; and its totals, as block -1."""
-    sent = [(np.frombuffer(b, np.uint64), expand(e)) for b, e in zip(table["body"].to_pylist(), table["extra"].to_pylist(), strict=True)]
-    known, where = np.unique(np.concatenate([h for h, _ in sent]), return_inverse=True)
-    total = np.bincount(where, np.concatenate([n for _, n in sent]), len(known)).astype(np.int64)
-    ends = np.cumsum([len(h) for h, _ in sent])
-    answers = [squeeze(total[w]) for w in np.split(where, ends[:-1])]
-    bucket = table["bucket"][0].as_py()
-    sums = [None] * len(answers) + [int(total.sum())], [None] * len(answers) + [int((total > 0).sum())]
-    return pa.table({"block": pa.array([*table["block"].to_pylist(), -1], pa.int64()), "bucket": pa.array([bucket] * (len(answers) + 1), pa.int32()), "body": pa.array([*answers, None], pa.binary()), "tokens": pa.array(sums[0], pa.int64()), "kinds": pa.array(sums[1], pa.int64())})
+def word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of words, ascending with their (unsigned) hashes."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def short_grams(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of DEALT symbols in the training texts."""
+def trie_top(gathered: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The trie down to depth DEALT, by the length of contexts."""
 
     def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, extra in zip(batch.column("body").to_pylist(), batch.column("extra").to_pylist(), strict=True):
                 yield pa.record_batch({"code": expand(body), "n": expand(extra)})
 
-    sums = gathered.where(F.col("kind") == SHORT).select("body", "extra").mapInArrow(expanded, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    code, n = sums["code"].to_numpy(), sums["n"].to_numpy()
-    order = np.argsort(code)
-    return code[order].astype(np.int64), n[order].astype(np.int64)
+    sums = gathered.where(F.col("kind") == TOP).select("body", "extra").mapInArrow(expanded, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = sums["code"].to_numpy().astype(np.int64), sums["n"].to_numpy().astype(np.int64)
+    return [added([(cut(code, k, DEALT), n)]) for k in range(DEALT + 1)]
+
 
+MODEL = "bucket int, block long, body binary, extra binary, tokens long, kinds long"
 
-def answer_grams(gathered: DataFrame) -> DataFrame:
-    """Each bucket's answer to every block (block, bucket, body): the logarithms of its n-grams, in the order sent."""
-    sent = gathered.sparkSession.sparkContext.broadcast(short_grams(gathered))
 
-    def answer(table: pa.Table) -> pa.Table:
-        asked = [np.cumsum(expand(b)) for b in table["body"].to_pylist()]
-        known, where = np.unique(np.concatenate(asked), return_inverse=True)
-        n = np.bincount(where, np.concatenate([expand(e) for e in table["extra"].to_pylist()]), len(known)).astype(np.int64)
-        longer = shorter(known[n > 0], n[n > 0], range(ORDER, DEALT, -1))
-        found = logs(known, [*shorter(*sent.value, range(DEALT - 1, 0, -1))[::-1], *longer[::-1]])[where]
-        ends = np.cumsum([len(x) for x in asked])
-        answers = [squeeze(x.view("<i4")) for x in np.split(found, ends[:-1])]
+def model(gathered: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """One row for each bucket: its sorted codes, and what it answers to each: counts of words, logarithms of n-grams; totals of words."""
+    sent = gathered.sparkSession.sparkContext.broadcast(trie_top(gathered))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: int | None = None
+        pending: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            code, n = added(pending)
+            if at < buckets:
+                sums, value = (int(n.sum()), int((n > 0).sum())), n
+            else:
+                seen = code[n > 0], n[n > 0]
+                below = [added([(cut(seen[0], k), seen[1])]) for k in range(DEALT + 1, ORDER)]
+                sums, value = (0, 0), np.round(-STEPS * logs(code, [*sent.value, *below, seen])).astype(np.int64)
+            row = at, -1, code.astype("<i8").tobytes(), value.astype("<i8").tobytes(), *sums
+            types = pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
+            return pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["bucket", "block", "body", "extra", "tokens", "kinds"])
+
+        for batch in batches:
+            for bucket, body, extra in zip(*(batch.column(c).to_pylist() for c in ("bucket", "body", "extra")), strict=True):
+                if bucket != at:
+                    if pending:
+                        yield close()
+                    at, pending, size = bucket, [], 0
+                pending.append((np.cumsum(expand(body)), expand(extra)))
+                size += len(pending[-1][0])
+                if len(pending) > 1 and size > max(HELD, 2 * len(pending[0][0])):
+                    pending[:] = [added(pending)]
+                    size = len(pending[0][0])
+        if pending:
+            yield close()
+        pending.clear()
+        trim()
+
+    sums = gathered.where(F.col("kind").isin(WORDS, GRAMS)).select("bucket", "body", "extra")
+    return written(sums.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MODEL), "model")
+
+
+def answers(gathered: DataFrame, known: DataFrame, parts: int) -> DataFrame:
+    """Each bucket's answer to every block (block, bucket, body), in the order of the codes sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = value = None
+        for batch in batches:
+            out: list[tuple] = []
+            for bucket, block, body, extra in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "body", "extra")), strict=True):
+                if block < 0:  # the model comes first
+                    code, value = np.frombuffer(body, "<i8"), np.frombuffer(extra, "<i8")
+                else:
+                    out.append((block, bucket, squeeze(value[np.searchsorted(code, np.cumsum(expand(body)))])))
+            if out:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["block", "bucket", "body"])
         trim()
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "body": pa.array(answers, pa.binary())})
 
-    asked = gathered.where(F.col("kind") == BYTES).select("block", "bucket", "body", "extra")
-    return asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, body binary")
+    asked = gathered.where(F.col("kind").isin(WORDS, GRAMS)).select("bucket", "block", "body", F.lit(None).cast("binary").alias("extra"))
+    both = known.select("bucket", "block", "body", "extra").unionByName(asked)
+    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, body binary")
 
 
-def scores(texts: list[bytes], answers: np.ndarray, buckets: int) -> np.ndarray:
+def scores(texts: list[bytes], replies: np.ndarray, buckets: int) -> np.ndarray:
     """The score of each text of a block, from the buckets' answers to its n-grams."""
     parts, some, size = [], [], 0
     for i, text in enumerate(texts):
@@ -354,9 +314,9 @@ def scores(texts: list[bytes], answers: np.ndarray, buckets: int) -> np.ndarray:
             parts.append((own, where.astype(np.int32), np.cumsum([0, *(len(x) + 1 for x in some[:-1])])))
             some, size = [], 0
     known = np.unique(np.concatenate([own for own, _, _ in parts]))
-    log = np.empty(len(known))
-    log[parted(dealt(known, buckets), buckets)[0]] = answers
-    return np.concatenate([np.add.reduceat(log[np.searchsorted(known, own)][where], first) for own, where, first in parts])
+    log = np.empty(len(known), np.int64)
+    log[parted(dealt(known, buckets), buckets)[0]] = replies
+    return np.concatenate([np.add.reduceat(log[np.searchsorted(known, own)][where], first) for own, where, first in parts]) / -STEPS
 
 
 def language_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
@@ -367,37 +327,34 @@ def language_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = spark.range(0).select(F.col("id").cast(kind)).toArrow().schema.field("id").type
     train = crc_mod(F.col(id_col), folds) != fold
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
-    buckets = max(64, width(spark))
+    n_train, size = docs.agg(F.count_if("train"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets, parts = max(64, -(-size // BUCKET_BYTES)), max(width(spark), min(10_000, -(-size // BUCKET_BYTES)))
     gathered = gather(docs, kind, buckets)
-    words = gathered.where(F.col("kind") == WORDS).select("block", "bucket", "body", "extra")
-    answers = written(words.groupBy("bucket").applyInArrow(count_words, "block long, bucket int, body binary, tokens long, kinds long"), "counts")
-    n_train = docs.agg(F.count_if("train")).first()[0]
-    tokens, kinds = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    known = model(gathered, buckets, parts)
+    tokens, kinds = known.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     tokens, kinds = tokens + n_train, kinds + (n_train > 0)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("id", "n_tokens", "n_known", "base_score", "score")}
-        back = sorted(zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["body"].to_pylist(), strict=True))
-        counts = np.concatenate([np.empty(0, np.int64), *(expand(b) for k, _, b in back if k == WORDS)])
-        answers = np.concatenate([np.empty(0, np.float32), *(expand(b).astype("<i4").view("<f4") for k, _, b in back if k == BYTES)])
+        back = sorted(zip(right["bucket"].to_pylist(), right["body"].to_pylist(), strict=True))
+        counts, replies = (np.concatenate([np.empty(0, np.int64), *(expand(x) for b, x in back if (b < buckets) == words)]) for words in (True, False))
         for row in left.to_pylist():
             data, ends = zstandard.decompress(row["body"]), np.cumsum(expand(row["extra"])).tolist()
             texts = [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
             hashes, lens = word_hashes(*joined(texts), fold=True)
             c = counts[np.unique(hashes, return_inverse=True)[1]]
             cuts = np.concatenate(([0], np.cumsum(lens)))
-            sums, known = (np.concatenate(([0], np.cumsum(x))) for x in (np.log10(c + 1.0), (c > 0).astype(np.int64)))
+            sums, seen = (np.concatenate(([0], np.cumsum(x))) for x in (np.log10(c + 1.0), (c > 0).astype(np.int64)))
             n = lens + 1
             out["id"] += row["ids"]
             out["n_tokens"].append(n)
-            out["n_known"].append(known[cuts[1:]] - known[cuts[:-1]] + (n_train > 0))
+            out["n_known"].append(seen[cuts[1:]] - seen[cuts[:-1]] + (n_train > 0))
             out["base_score"].append(sums[cuts[1:]] - sums[cuts[:-1]] + math.log10(n_train + 1.0) - n * math.log10(tokens + kinds + 1.0))
-            out["score"].append(scores(texts, answers, buckets))
+            out["score"].append(scores(texts, replies, buckets))
         join = lambda c, t: np.concatenate([np.empty(0, t), *out[c]]).astype(t)
         trim()
         return pa.table({"id": pa.array(out["id"], id_type), "n_tokens": join("n_tokens", np.int64), "n_known": join("n_known", np.int64), "base_score": join("base_score", np.float64), "score": join("score", np.float64)})
 
     blocks = gathered.where(F.col("kind") == DOCS).select("block", "body", "extra", "ids")
-    replies = answers.where("block >= 0").select(F.lit(WORDS).alias("kind"), "block", "bucket", "body").unionByName(answer_grams(gathered).withColumn("kind", F.lit(BYTES)))
-    rows = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    rows = blocks.groupBy("block").cogroup(answers(gathered, known, parts).groupBy("block")).applyInArrow(score, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return rows.select(F.col("id").alias(id_col), (crc_mod(F.col("id"), folds) == fold).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
