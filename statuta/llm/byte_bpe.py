@@ -2,17 +2,19 @@
 
 1. Each block of documents (bounded text) lists its pre-tokens by position and its distinct pre-tokens. A block
    sends each distinct pre-token, once, to the bucket of its hash: packed, one message per block and bucket.
-2. A bucket encodes each distinct pre-token once, whatever number of blocks sent it, and answers every block
-   with the ids in the order of its message.
-3. Answers and position lists, which took the same way, meet by block; documents are put together by position. Decoding looks ids up in
-   the token-byte table, whose size the vocabulary fixes.
+2. A bucket encodes each distinct pre-token once, whatever number of blocks sent it, and answers the blocks, message by
+   message, with the ids in their order. It holds its own distinct pre-tokens and one batch of messages; how many buckets
+   there are follows from the size of the corpus.
+3. Answers and position lists, which took the same way, meet by block; documents are put together by position. Decoding
+   joins the ids of each distinct pre-token of a block with the token-byte table, whose size the vocabulary fixes.
 
 A frequent word takes one entry per block, so no key is hot. Blocks carry a fingerprint of their words: should a
 recomputed block list them otherwise, the job fails instead of mixing up ids; documents read from files, or from a
 written table, are listed alike each time.
 
-Defined results: null text is empty; empty text has no ids; repeated rows each give a row; other columns are
-ignored; an empty table gives no rows.
+Defined results: null text is empty; empty text has no ids; a very long text is split whole, and its block is the
+larger; repeated rows each give a row; ties do not arise; other columns, whatever their names, are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +34,14 @@ import regex
 import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from statuta.llm.common import prepare, width
+from statuta.llm.common import prepare, trim, width
 
 #: Text bytes after which a block is closed.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
+#: Text bytes of the corpus for each bucket.
+BUCKET_BYTES = 250_000_000
 #: A pre-token never reaches across the start of a run of white space, so these pieces are split one by one.
 PIECES = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: White space outside that class: such texts are split whole.
@@ -156,13 +161,33 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-_ENCODERS: dict[str, tiktoken.Encoding] = {}
+_ENCODERS: dict[tuple, tuple[tiktoken.Encoding, TokenBytes]] = {}
 
 
-def encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-    return _ENCODERS[path]
+class TokenBytes:
+    """The token-byte table: the bytes of all tokens, one after the other, by id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        of = {i: t for t, i in ranks.items()}
+        tokens = [of.get(i, b"") for i in range(max(of) + 1)]
+        self.lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts, self.data = np.cumsum(self.lens) - self.lens, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def join(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of sequences of ids that lie one after the other, of these lengths."""
+        own = self.lens[ids]
+        ends = np.cumsum(own)
+        data = self.data[np.repeat(self.starts[ids] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [data[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+
+
+def encoder(path: str, pattern: str) -> tuple[tiktoken.Encoding, TokenBytes]:
+    """The worker's own encoder and token-byte table, also for later tasks."""
+    if (path, pattern) not in _ENCODERS:
+        ranks = load_ranks(path)
+        _ENCODERS[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), TokenBytes(ranks)
+    return _ENCODERS[path, pattern]
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None, digests: bool = True) -> DataFrame:
@@ -177,7 +202,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = pa.list_(docs.limit(0).toArrow().schema.field(id_col).type)
-    buckets = max(64, width(spark))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    buckets, parts = max(64, -(-size // BUCKET_BYTES)), max(width(spark), min(10_000, -(-size // BUCKET_BYTES)))
 
     def rows(block: int, mark: bytes, bucket: list[int], body: list[bytes], ids=None, lens=None, bucket_of=None) -> pa.RecordBatch:
         n = len(bucket)
@@ -197,32 +223,37 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             lens = np.fromiter(map(len, block.parts), "<i8").tobytes()
             yield rows(number, mark, [-1 - zlib.crc32(number.to_bytes(8, "little")) % buckets], [planes(positions)], block.ids, lens, planes(bucket))
 
-    def answer(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() < 0:
-            return table
-        enc = encoder(path, pattern)
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, at = encoder(path, pattern)[0], None
         known: dict[bytes, np.ndarray] = {}
-        out = []
-        for body in table["body"].to_pylist():
-            words = unpack(body)
-            for w in words:
-                if w not in known:
-                    known[w] = np.array(enc._encode_single_piece(w), "<u4")
-            got = [known[w] for w in words]
-            lens = np.fromiter(map(len, got), "<u4", len(got))
-            out.append(len(got).to_bytes(8, "little") + zstandard.compress(lens.tobytes() + np.concatenate(got).tobytes(), 3))
-        return table.set_column(3, "body", pa.array(out, pa.binary()))
+        for batch in batches:
+            out: list[bytes] = []
+            for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if bucket < 0:  # a position list
+                    out.append(body)
+                    continue
+                if bucket != at:
+                    at = bucket
+                    known.clear()
+                words = unpack(body)
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(enc._encode_single_piece(w), "<u4")
+                got = [known[w] for w in words]
+                lens = np.fromiter(map(len, got), "<u4", len(got))
+                out.append(len(got).to_bytes(8, "little") + zstandard.compress(lens.tobytes() + np.concatenate(got).tobytes(), 3))
+            yield batch.set_column(3, "body", pa.array(out, pa.binary()))
+        trim()
 
     def rebuild(table: pa.Table) -> pa.Table:
         lists = pc.less(table["bucket"], 0)
         left, right = table.filter(lists), table.filter(pc.invert(lists))
-        decode = encoder(path, pattern).decode_single_token_bytes
-        bytes_of: dict[int, bytes] = {}
+        table_of = encoder(path, pattern)[1]
         answers = {b: (m, x) for b, m, x in zip(right["bucket"].to_pylist(), right["mark"].to_pylist(), right["body"].to_pylist(), strict=True)}
         columns: dict[str, list] = {"id": [], "n": [], "a": [], "b": []}
         for row in left.to_pylist():
             bucket = unplanes(row["buckets"])
-            ids: list = [b""] * len(bucket)
+            ids, texts = [b""] * len(bucket), [b""] * len(bucket)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.unique(bucket))
             for at, b in zip(edges.tolist(), np.unique(bucket).tolist(), strict=True):
@@ -233,17 +264,9 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 raw = np.frombuffer(zstandard.decompress(body[8:]), "<u4")
                 data, ends = raw[n:].tobytes(), (np.cumsum(raw[:n]) * 4).tolist()
                 begin = 0
-                for word, end in zip(order[at : at + n].tolist(), ends, strict=True):
-                    ids[word] = data[begin:end]
+                for word, end, spelled in zip(order[at : at + n].tolist(), ends, table_of.join(raw[n:], raw[:n].astype(np.int64)), strict=True):
+                    ids[word], texts[word] = data[begin:end], spelled
                     begin = end
-            texts = []
-            for x in ids:
-                got = []
-                for t in np.frombuffer(x, "<u4").tolist():
-                    if t not in bytes_of:
-                        bytes_of[t] = decode(t)
-                    got.append(bytes_of[t])
-                texts.append(b"".join(got))
             positions, at = unplanes(row["body"]), 0
             for doc_id, n in zip(row["ids"], np.frombuffer(row["lens"], "<i8").tolist(), strict=True):
                 own = positions[at : at + n].tolist()
@@ -259,5 +282,5 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("token_ids", "decoded"))]
     shape = f"`{id_col}` {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>, decoded binary")
     row = ROW.format(kind=kind)
-    answered = docs.mapInArrow(split, row).groupBy("bucket").applyInArrow(answer, row)
+    answered = docs.mapInArrow(split, row).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, row)
     return answered.groupBy("block").applyInArrow(rebuild, shape)
