@@ -93,12 +93,12 @@ def fresh(columns: list[str], name: str) -> str:
 HOT = 1000
 
 
-def join_hot(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+def join_hot(rows: DataFrame, totals: DataFrame, keys: list[str], bound: int | None = None) -> DataFrame:
     """Rows joined with totals (a row a key, n: how many rows have the key) without a task that gets a hot key's rows.
 
     Keys with over one in HOT of all rows are HOT at most, whatever the data: they are broadcast. The others shuffle.
-    Both tables are read twice, so they should be written ones."""
-    bound = totals.agg(F.sum("n")).first()[0] or 0
+    ``bound`` is the sum of n, counted if it is not given. Both tables are read twice, so they should be written ones."""
+    bound = bound if bound is not None else totals.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(totals.where(F.col("n") * HOT > bound))
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(totals.where(F.col("n") * HOT <= bound), keys)
     return rows.join(hot, keys).unionByName(rest)

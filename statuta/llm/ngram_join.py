@@ -3,20 +3,21 @@
 The document by n-gram incidence matrix is cut into column blocks by the n-grams' hash. How many blocks follows
 from a size bound: two sets of sizes x and y that link differ in at most (x + y)(1 - t)/(1 + t) n-grams, so with
 more blocks than that (and one to spare for an empty one) they agree wholly in at least one block that is not
-empty. Rows that agree in a block are candidates; everything else is discarded without being looked at. Overlap
-counts of candidates are then accumulated block by block from the whole sets, and a pair goes as soon as what is
-left cannot bring it to the bound any more.
+empty. Rows that agree in a block are candidates; everything else is discarded without being looked at. The rows that are
+candidates with one centre are multiplied with it, column block by column block: overlaps add up, and a row goes as soon
+as the columns left cannot bring it to the bound that follows from the sizes.
 
 Sets that are equal become one row before anything is joined. A bucket of rows that agree in a block is not
 expanded into pairs: each member is tried with one centre, linked members form components, and only buckets that
 still hold several components go on, with another centre. What is left then, rows in buckets of several
 components, is multiplied in blocks of rows, those outside the largest component of their cluster with all. So
 every component is exact; near copies cost a few candidates for each member, and no pair of rows is ever shuffled
-beyond those with a centre.
+beyond those with a centre. A hot signature's rows are dealt into SALTS parts with a centre each, and these are tried with one.
 
 Defined results: null and empty texts have an empty set, 0 n-grams, and link with nothing; a text of fewer than n
 words is one n-gram; repeated rows each give a row; rows that share an id count as linked; a row without an id is
-a component of its own, without a number; other columns are ignored; an empty table gives no rows.
+a component of its own, without a number; a very long text is one row of the matrix, taken whole; of ties the smallest id
+names the component; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.llm.common import joined, mix, prepare, run_hashes, slices, text_bytes, word_hashes, written
+from statuta.llm.common import HOT, join_hot, joined, mix, prepare, run_hashes, slices, text_bytes, trim, word_hashes, written
 from statuta.llm.components import components
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -38,6 +39,8 @@ _SIDE = np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL = np.uint64(0x165667B19E3779F9)
 #: Rounds of one centre a bucket; then rows of a block, and columns of one step, of the blocked matrix product.
 ROUNDS, BLOCK, COLUMNS = 2, 256, 8192
+#: One row in so many is looked at for hot signatures; parts that the rows of a hot one are dealt into.
+SOME, SALTS = 32, 64
 
 
 class Levels:
@@ -87,17 +90,32 @@ def signatures(grams: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(found)
 
 
-def overlap(a: np.ndarray, b: np.ndarray, need: int, block: int = 512) -> int:
-    """Size of the intersection of sorted sets, accumulated block by block; -1 once ``need`` is out of reach."""
-    got, i, j = 0, 0, 0
-    while i < len(a) and j < len(b):
-        if got + min(len(a) - i, len(b) - j) < need:
-            return -1
-        top = min(a[min(i + block, len(a)) - 1], b[min(j + block, len(b)) - 1])
-        ii, jj = np.searchsorted(a, top, side="right"), np.searchsorted(b, top, side="right")
-        got += len(np.intersect1d(a[i:ii], b[j:jj], assume_unique=True))
-        i, j = int(ii), int(jj)
-    return got if got >= need else -1
+def product(row: np.ndarray, others: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which of some rows of the incidence matrix (sorted sets) link with one row: the matrix product of these rows with
+    that one, column block by column block. Overlaps add up, and a row goes as soon as the columns left cannot bring it
+    to the bound that follows from the sizes any more."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    need = -(-num * (sizes + len(row)) // (num + den))
+    alive = np.flatnonzero(need <= np.minimum(sizes, len(row)))
+    counts, gone = np.zeros(len(others), np.int64), np.zeros(len(others), np.int64)
+    for lo in range(0, len(row), COLUMNS) if len(alive) else ():
+        block = row[lo : lo + COLUMNS]
+        to = None if lo + COLUMNS >= len(row) else row[lo + COLUMNS]
+        ends = [len(others[i]) if to is None else int(np.searchsorted(others[i], to)) for i in alive.tolist()]
+        parts = [others[i][gone[i] : end] for i, end in zip(alive.tolist(), ends, strict=True)]
+        columns = np.concatenate(parts)
+        at = np.minimum(np.searchsorted(block, columns), len(block) - 1)
+        hits = np.concatenate(([0], np.cumsum(block[at] == columns)))
+        cuts = np.cumsum([0, *map(len, parts)])
+        counts[alive] += hits[cuts[1:]] - hits[cuts[:-1]]
+        gone[alive] = ends
+        left = np.minimum(sizes[alive] - gone[alive], max(len(row) - lo - COLUMNS, 0))
+        alive = alive[counts[alive] + left >= need[alive]]
+        if not len(alive):
+            break
+    out = np.zeros(len(others), bool)
+    out[alive] = True
+    return out
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -120,10 +138,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     rows = written(docs.mapInArrow(sketch, f"id {kind}, n long, hi long, lo long, sigs array<long>"), "sketches")
     full = rows.where("n > 0 and id is not null")
-    nodes = full.groupBy("hi", "lo").agg(F.min(F.struct("id", "n", "sigs")).alias("x")).select("x.*")
-    members = nodes.select(F.col("id").alias("node"), "n", F.explode("sigs").alias("sig"))
-    shared = members.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("sig")
-    buckets = written(members.join(shared, "sig"), "buckets")
+    nodes = full.groupBy("hi", "lo").agg(F.min(F.struct("id", "sigs")).alias("x")).select("x.*")
+    # signatures of over one in HOT of all are HOT at most; counted on some rows, as this only decides how rows are dealt
+    some = full.where(F.pmod(F.xxhash64("id"), F.lit(SOME)) == 0).select(F.explode("sigs").alias("sig"))
+    hot = some.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") * HOT > some.count()).select("sig", F.lit(True).alias("hot"))
+    members = nodes.select(F.col("id").alias("node"), F.explode("sigs").alias("sig")).join(F.broadcast(hot), "sig", "left")
+    salted = members.select("sig", "node", "hot", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("int").alias("salt"))
+    own = Window.partitionBy("sig", "salt")
+    buckets = salted.withColumn("first", F.min("node").over(own)).withColumn("last", F.max("node").over(own)).where("hot or first < last")
+    buckets = written(buckets.select("sig", "node", "first", "salt"), "buckets")
     found = links(docs.withColumnRenamed(id_col, "node"), buckets, n, num, den, kind)
     heads = full.groupBy("hi", "lo").agg(F.min("id").alias("node"))
     classes = heads.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id"))
@@ -132,47 +155,54 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
 
 def links(docs: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
-    """Components (node, component) of the nodes in buckets (sig, node, n), from verified links."""
+    """Components (node, component) of the nodes in buckets (sig, node, and of its salt the first node), from links counted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column="_text"):
             yield pa.record_batch({"node": batch.column("node"), "grams": pa.array([s.tobytes() for s in shingle_sets(text_bytes(batch, "_text"), n)], pa.binary())})
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                hit.append(overlap(a, b, -(-num * (len(a) + len(b)) // (num + den))) >= 0)
-            yield batch.select(["a", "b"]).filter(pa.array(hit))
+            x, y = ([np.frombuffer(g.as_buffer(), np.uint64) for g in batch.column(c)] for c in ("x", "y"))
+            centres = batch.column("a").to_pylist()
+            hit, at = [], 0
+            while at < len(x):
+                to = at + 1
+                while to < len(x) and centres[to] == centres[at]:
+                    to += 1
+                hit.append(product(x[at], y[at:to], num, den))
+                at = to
+            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate([np.zeros(0, bool), *hit])))
+        trim()
 
     wanted = buckets.select("node").distinct()
     grams = written(docs.join(wanted, "node").mapInArrow(sets, f"node {kind}, grams binary"), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def counted(pairs: DataFrame) -> DataFrame:
         x, y = grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}")
-
-    def fits(a: str, b: str):
-        return F.expr(f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})")
-
-    edges, state, open_ = None, None, buckets
-    for turn in range(ROUNDS + 1):
+        return pairs.where("a <> b").distinct().join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(count, f"a {kind}, b {kind}")  # sorted by a
+
+    firsts = buckets.where("salt >= 0").select("sig", "first").distinct()  # SALTS for each hot signature at most
+    centre = F.broadcast(firsts.groupBy("sig").agg(F.min("first").alias("a")))
+    pairs = buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(firsts.join(centre, "sig").select("a", F.col("first").alias("b")))
+    edges, state, open_ = written(counted(pairs), "links"), None, buckets.select("sig", "node")
+    if edges.take(1):
+        state = components(edges)
+    for turn in range(1, ROUNDS + 1):
         labelled = open_.withColumn("component", F.col("node")) if state is None else open_.join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if turn:  # buckets that hold one component are done
-            apart = labelled.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("sig")
-            labelled = written(labelled.join(apart, "sig"), "open")
-            open_ = labelled.drop("component")
-            if not labelled.take(1):
-                break
+        labelled = written(labelled, "labelled")
+        apart = labelled.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n")).where("p < q").select("sig", "n")
+        labelled = written(join_hot(labelled, written(apart, "apart"), ["sig"]).drop("n"), "open")  # buckets that hold one component are done
+        open_ = labelled.drop("component")
+        if not labelled.take(1):
+            break
         if turn < ROUNDS:
-            order = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
-            centres = labelled.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("c"))
-            pairs = labelled.join(centres, "sig").where((F.col("component") != F.col("c.component")) & fits("n", "c.n"))
-            new = written(verified(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()), "links")
+            centres = labelled.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "component")).alias("c"), F.count("*").alias("n"))
+            pairs = join_hot(labelled, written(centres, "centres"), ["sig"]).where(F.col("component") != F.col("c.component"))
+            new = written(counted(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b"))), "links")
         else:
             new = written(products(labelled, grams, num, den, kind), "links")
-        edges = new if edges is None else edges.unionByName(new)
+        edges = edges.unionByName(new)
         if new.take(1):
             state = components(edges)
     if state is None:
@@ -197,7 +227,7 @@ def products(labelled: DataFrame, grams: DataFrame, num: int, den: int, kind: st
     left = sized.where("component <> main").select("node", "cluster", "component", block("down").alias("i"), every("across").alias("j"), F.lit(True).alias("left"))
     right = sized.select("node", "cluster", "component", every("down").alias("i"), block("across").alias("j"), F.lit(False).alias("left"))
 
-    def product(both: pa.Table) -> pa.Table:
+    def blocks(both: pa.Table) -> pa.Table:
         a, b = both.filter(both["left"]), both.filter(pc.invert(both["left"]))
         x, y = ([np.frombuffer(g.as_buffer(), np.uint64) for chunk in t["grams"].chunks for g in chunk] for t in (a, b))
         if not x or not y:
@@ -221,4 +251,4 @@ def products(labelled: DataFrame, grams: DataFrame, num: int, den: int, kind: st
         p, q = np.nonzero(hit)
         return pa.table({"a": a["node"].take(pa.array(p)), "b": b["node"].take(pa.array(q))})
 
-    return left.unionByName(right).join(grams, "node").groupBy("cluster", "i", "j").applyInArrow(product, f"a {kind}, b {kind}")
+    return left.unionByName(right).join(grams, "node").groupBy("cluster", "i", "j").applyInArrow(blocks, f"a {kind}, b {kind}")

@@ -68,11 +68,30 @@ def test_size_bands_cover_every_pair_that_can_link():
             assert (x + y) * 10 // 190 < levels.blocks[levels.band(x)] - 1
 
 
-def test_overlap_stops_early_and_counts_right():
+def test_product_counts_right_in_blocks(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COLUMNS", 64)
     rng = np.random.default_rng(1)
-    a, b = (np.unique(rng.integers(0, 5000, 3000).astype(np.uint64)) for _ in range(2))
-    n = len(np.intersect1d(a, b))
-    assert ngram_join.overlap(a, b, n, 64) == n and ngram_join.overlap(a, b, n + 1, 64) == -1
+    base = np.unique(rng.integers(0, 2**60, 800).astype(np.uint64))
+    rows = [np.sort(np.concatenate((rng.permutation(base)[: rng.integers(300, len(base))], np.unique(rng.integers(0, 2**60, rng.integers(0, 120)).astype(np.uint64))))) for _ in range(300)]
+    rows += [base, base[:1], np.empty(0, np.uint64)]
+    k = [len(np.intersect1d(base, r)) for r in rows]
+    want = [100 * n >= 80 * (len(base) + len(r) - n) for n, r in zip(k, rows, strict=True)]
+    assert ngram_join.product(base, rows, 80, 100).tolist() == want and 20 < sum(want) < 280
+
+
+def test_hot_signatures_are_dealt_into_parts(frame, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SOME", 1)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(150):
+        near = list(base)
+        near[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(near)))
+    rows += [(200 + k, " ".join(f"z{k}x{i}" for i in range(30))) for k in range(20)]
+    assert joined(frame(rows)) == groups(rows)
+    monkeypatch.setattr(ngram_join, "SALTS", 7)
+    assert joined(frame(rows + [(500, None)])) == groups(rows + [(500, None)])
 
 
 def test_components(spark):
