@@ -1,18 +1,18 @@
 """Similarity join of documents by the Jaccard coefficient of their word n-gram sets.
 
-The document by n-gram incidence matrix is cut into column blocks by the n-grams' hash. How many blocks follows
-from a size bound: two sets of sizes x and y that link differ in at most (x + y)(1 - t)/(1 + t) n-grams, so with
-more blocks than that (and one to spare for an empty one) they agree wholly in at least one block that is not
-empty. Rows that agree in a block are candidates; everything else is discarded without being looked at. The rows that are
-candidates with one centre are multiplied with it, column block by column block: overlaps add up, and a row goes as soon
-as the columns left cannot bring it to the bound that follows from the sizes.
-
-Sets that are equal become one row before anything is joined. A bucket of rows that agree in a block is not
-expanded into pairs: each member is tried with one centre, linked members form components, and only buckets that
-still hold several components go on, with another centre. What is left then, rows in buckets of several
-components, is multiplied in blocks of rows, those outside the largest component of their cluster with all. So
-every component is exact; near copies cost a few candidates for each member, and no pair of rows is ever shuffled
-beyond those with a centre. A hot signature's rows are dealt into SALTS parts with a centre each, and these are tried with one.
+Rows of the document by n-gram incidence matrix that link have, by their sizes, so many n-grams in common that they share
+one of the first few of each, whatever order the n-grams of all documents are in: of x n-grams the first x - ceil(t x) + 1.
+Those are the columns that a row is multiplied in; rows that share none are never looked at. The order puts n-grams last
+that are frequent in some of the documents (at most FREQUENT of them, broadcast), so that a passage which many documents
+share makes no candidates; it changes the work, not the result. Columns with the same rows count once.
+
+Sets that are equal become one row before anything is joined. The rows of a column are not expanded into pairs: each is
+multiplied with one centre, column block by column block, where overlaps add up and a row goes as soon as the columns left
+cannot bring it to the bound that follows from the sizes. Rows that link form components, and only columns that still
+hold several components go on, with another centre. What is left then is multiplied column by column in blocks of BLOCK
+rows, those outside the largest component with all. So every component is exact; near copies cost a few candidates for
+each row, and no pair of rows is ever shuffled beyond those with a centre. The rows of a hot column are dealt into SALTS
+parts with a centre each, and these are tried with one.
 
 Defined results: null and empty texts have an empty set, 0 n-grams, and link with nothing; a text of fewer than n
 words is one n-gram; repeated rows each give a row; rows that share an id count as linked; a row without an id is
@@ -22,7 +22,6 @@ names the component; other columns, whatever their names, are ignored; an empty
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,27 +34,13 @@ from statuta.llm.common import HOT, join_hot, joined, mix, prepare, run_hashes,
 from statuta.llm.components import components
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
-_SIDE = np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL = np.uint64(0x165667B19E3779F9)
-#: Rounds of one centre a bucket; then rows of a block, and columns of one step, of the blocked matrix product.
+#: Rounds of one centre a column; then rows of a block, and columns of one step, of the blocked matrix product.
 ROUNDS, BLOCK, COLUMNS = 2, 256, 8192
-#: One row in so many is looked at for hot signatures; parts that the rows of a hot one are dealt into.
+#: One row in so many is looked at for frequent n-grams and hot columns; parts that the rows of a hot one are dealt into.
 SOME, SALTS = 32, 64
-
-
-class Levels:
-    """Size bands: a set and any that may link with it are in the same band or in neighbouring ones."""
-
-    def __init__(self, num: int, den: int):
-        self.lows = [1]
-        while self.lows[-1] < 2**40:
-            self.lows.append(self.lows[-1] * den // num + 1)
-        self.tops = [x - 1 for x in self.lows[1:]]
-        #: Column blocks for pairs whose smaller set is in a band: the most n-grams they can differ in, and two.
-        self.blocks = [(x + x * den // num) * (den - num) // (den + num) + 2 for x in self.tops]
-
-    def band(self, size: int) -> int:
-        return bisect_right(self.lows, size) - 1
+#: Bound of the n-grams that are broadcast as frequent ones.
+FREQUENT = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -71,23 +56,14 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(grams: np.ndarray, levels: Levels) -> np.ndarray:
-    """One signature for each column block that is not empty, at the set's own band and the one below.
-
-    Where more blocks than one are empty, those count as well, as two sets may agree in empty blocks alone."""
-    own, found = levels.band(len(grams)), []
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams ^ _SIDE))))
-    for band in (own, own - 1):
-        if band < 0:
-            continue
-        k = levels.blocks[band]
-        block = ((grams >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        edges = np.searchsorted(block, np.arange(k + 1, dtype=np.uint64))
-        values = sums[edges[1:]] - sums[edges[:-1]]
-        sig = mix(values + np.full(k, band + 1, np.uint64) * _LEVEL + np.arange(1, k + 1, dtype=np.uint64) * _STEP)
-        full = edges[1:] > edges[:-1]
-        found.append(sig[full] if np.count_nonzero(~full) < 2 else sig)
-    return np.concatenate(found)
+def prefix(grams: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first n-grams of a set, of which any set that may link with it has one among its first: rare ones by hash, then frequent ones."""
+    n = len(grams) - -(-num * len(grams) // den) + 1
+    if not len(frequent):
+        return grams[:n]
+    last = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
+    rare = grams[~last][:n]
+    return np.concatenate((rare, grams[last][: n - len(rare)]))
 
 
 def product(row: np.ndarray, others: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -126,27 +102,39 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     docs = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column="_text"):
+            yield pa.record_batch({"gram": np.concatenate(shingle_sets(text_bytes(batch, "_text"), n)).view(np.int64)})
+
+    some = F.pmod(F.xxhash64(id_col), F.lit(SOME)) == 0
+    often = docs.where(some).select("_text").mapInArrow(listed, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    often = often.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").toArrow()["gram"].to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(often))
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(num, den)
         for batch in slices(batches, column="_text"):
             sets = shingle_sets(text_bytes(batch, "_text"), n)
-            marks = [signatures(s, levels) if len(s) else np.empty(0, np.uint64) for s in sets]
+            marks = [prefix(s, sent.value, num, den) if len(s) else s for s in sets]
             lens = np.cumsum([0, *map(len, marks)])
             side = lambda salt: pa.array([int(mix(s ^ salt).sum()) - 2**63 for s in sets], pa.int64())
             sigs = pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(marks).view(np.int64)) if marks else pa.array([], pa.int64()))
             yield pa.record_batch({"id": batch.column(id_col), "n": pa.array(map(len, sets), pa.int64()), "hi": side(_LEVEL), "lo": side(_STEP), "sigs": sigs})
+        trim()
 
     rows = written(docs.mapInArrow(sketch, f"id {kind}, n long, hi long, lo long, sigs array<long>"), "sketches")
     full = rows.where("n > 0 and id is not null")
     nodes = full.groupBy("hi", "lo").agg(F.min(F.struct("id", "sigs")).alias("x")).select("x.*")
-    # signatures of over one in HOT of all are HOT at most; counted on some rows, as this only decides how rows are dealt
+    # columns with over one in HOT of all entries are HOT at most; counted on some rows, as this only decides how rows are dealt
     some = full.where(F.pmod(F.xxhash64("id"), F.lit(SOME)) == 0).select(F.explode("sigs").alias("sig"))
     hot = some.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") * HOT > some.count()).select("sig", F.lit(True).alias("hot"))
     members = nodes.select(F.col("id").alias("node"), F.explode("sigs").alias("sig")).join(F.broadcast(hot), "sig", "left")
     salted = members.select("sig", "node", "hot", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("int").alias("salt"))
     own = Window.partitionBy("sig", "salt")
     buckets = salted.withColumn("first", F.min("node").over(own)).withColumn("last", F.max("node").over(own)).where("hot or first < last")
-    buckets = written(buckets.select("sig", "node", "first", "salt"), "buckets")
+    buckets = written(buckets.select("sig", "node", "first", "salt"), "columns")
+    rows_of = [F.count("*").alias("n"), *(F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2))]
+    once = buckets.groupBy("sig").agg(*rows_of).groupBy("n", "s0", "s1").agg(F.min("sig").alias("sig")).select("sig", "n")
+    buckets = written(join_hot(buckets, written(once, "once"), ["sig"]).drop("n"), "buckets")
     found = links(docs.withColumnRenamed(id_col, "node"), buckets, n, num, den, kind)
     heads = full.groupBy("hi", "lo").agg(F.min("id").alias("node"))
     classes = heads.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id"))
@@ -182,7 +170,7 @@ def links(docs: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind:
         x, y = grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
         return pairs.where("a <> b").distinct().join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(count, f"a {kind}, b {kind}")  # sorted by a
 
-    firsts = buckets.where("salt >= 0").select("sig", "first").distinct()  # SALTS for each hot signature at most
+    firsts = buckets.where("salt >= 0").select("sig", "first").distinct()  # SALTS for each hot column at most
     centre = F.broadcast(firsts.groupBy("sig").agg(F.min("first").alias("a")))
     pairs = buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(firsts.join(centre, "sig").select("a", F.col("first").alias("b")))
     edges, state, open_ = written(counted(pairs), "links"), None, buckets.select("sig", "node")
@@ -211,21 +199,18 @@ def links(docs: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind:
 
 
 def products(labelled: DataFrame, grams: DataFrame, num: int, den: int, kind: str) -> DataFrame:
-    """Links (a, b) across components of buckets that hold several, by blocks of the sparse matrix product.
-
-    Buckets that share nodes form clusters. In a cluster the rows outside its largest component are multiplied with
-    all rows, BLOCK by BLOCK of them at a time: what is shuffled grows with the blocks, not with the pairs."""
-    nodes = written(labelled.select("node", "component").distinct(), "rows")
-    centres = labelled.groupBy("sig").agg(F.min("node").alias("b"))
-    clusters = components(labelled.join(centres, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    rows = nodes.join(clusters.withColumnRenamed("component", "cluster"), "node")
-    parts = rows.groupBy("cluster", "component").agg(F.count("*").alias("size"))
-    sums = parts.groupBy("cluster").agg(F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("top"))
-    sized = written(rows.join(sums, "cluster").select("node", "cluster", "component", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("across"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("down")), "clusters")
+    """Links (a, b) across components of columns (sig, node, component) that hold several, by blocks of the matrix product.
+
+    In a column the rows outside its largest component are multiplied with all rows, BLOCK by BLOCK of them at a time:
+    what is shuffled grows with the blocks, not with the pairs."""
+    parts = labelled.groupBy("sig", "component").agg(F.count("*").alias("size"))
+    sums = parts.groupBy("sig").agg(F.sum("size").alias("n"), F.max(F.struct("size", "component")).alias("top"))
+    sized = join_hot(labelled, written(sums, "sums"), ["sig"])
+    sized = written(sized.select("node", "sig", "component", F.col("top.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("across"), F.ceil((F.col("n") - F.col("top.size")) / BLOCK).cast("int").alias("down")), "sized")
     block = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    left = sized.where("component <> main").select("node", "cluster", "component", block("down").alias("i"), every("across").alias("j"), F.lit(True).alias("left"))
-    right = sized.select("node", "cluster", "component", every("down").alias("i"), block("across").alias("j"), F.lit(False).alias("left"))
+    left = sized.where("component <> main").select("node", "sig", "component", block("down").alias("i"), every("across").alias("j"), F.lit(True).alias("left"))
+    right = sized.select("node", "sig", "component", every("down").alias("i"), block("across").alias("j"), F.lit(False).alias("left"))
 
     def blocks(both: pa.Table) -> pa.Table:
         a, b = both.filter(both["left"]), both.filter(pc.invert(both["left"]))
@@ -251,4 +236,4 @@ def products(labelled: DataFrame, grams: DataFrame, num: int, den: int, kind: st
         p, q = np.nonzero(hit)
         return pa.table({"a": a["node"].take(pa.array(p)), "b": b["node"].take(pa.array(q))})
 
-    return left.unionByName(right).join(grams, "node").groupBy("cluster", "i", "j").applyInArrow(blocks, f"a {kind}, b {kind}")
+    return left.unionByName(right).join(grams, "node").groupBy("sig", "i", "j").applyInArrow(blocks, f"a {kind}, b {kind}")

@@ -60,12 +60,27 @@ def test_join_edges(frame):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
-def test_size_bands_cover_every_pair_that_can_link():
-    levels = ngram_join.Levels(90, 100)
-    for x in range(1, 400):
-        for y in range(x, x * 10 // 9 + 1):
-            assert levels.band(y) - levels.band(x) in (0, 1)
-            assert (x + y) * 10 // 190 < levels.blocks[levels.band(x)] - 1
+def test_rows_that_link_share_one_of_their_first(frame):
+    rng = np.random.default_rng(6)
+    linked = 0
+    for _ in range(400):
+        grams = np.unique(rng.integers(0, 2**62, rng.integers(1, 60)).astype(np.uint64))
+        frequent = np.sort(rng.choice(grams, rng.integers(0, len(grams))))
+        other = np.unique(np.concatenate((rng.choice(grams, rng.integers(1, len(grams) + 1), False), rng.integers(0, 2**62, rng.integers(0, 6)).astype(np.uint64))))
+        k = len(np.intersect1d(grams, other))
+        if 10 * k >= 8 * (len(grams) + len(other) - k):
+            linked += 1
+            assert len(np.intersect1d(*(ngram_join.prefix(x, frequent, 8, 10) for x in (grams, other))))
+    assert linked > 40
+
+
+def test_a_passage_that_many_share(frame, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SOME", 1)
+    rng = random.Random(8)
+    words = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(60)
+    rows = [(k, " ".join(words(rng.choice((5, 9, 60))) + passage + words(rng.choice((1, 5, 40))))) for k in range(120)]
+    assert joined(frame(rows)) == groups(rows)
 
 
 def test_product_counts_right_in_blocks(monkeypatch):
