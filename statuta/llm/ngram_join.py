@@ -7,10 +7,12 @@ that are frequent in some of the documents (at most FREQUENT of them, broadcast)
 share makes no candidates; it changes the work, not the result. Columns with the same rows count once.
 
 Sets that are equal become one row before anything is joined. The rows of a column are not expanded into pairs: each is
-multiplied with one centre, column block by column block, where overlaps add up and a row goes as soon as the columns left
-cannot bring it to the bound that follows from the sizes. Rows that link form components, and only columns that still
-hold several components go on, with another centre. What is left then is multiplied column by column in blocks of BLOCK
-rows, those outside the largest component with all. So every component is exact; near copies cost a few candidates for
+tried with one centre. First by bitmaps, in which every column block with n-grams of a row is a bit: each bit that the other
+row lacks is an n-gram that is missing, and over the bound that follows from the sizes the pair goes. What is left is
+multiplied column block by column block, where overlaps add up and a row goes as soon as the columns left cannot bring it
+to the bound. Rows that link form components, and only columns that still
+hold several components go on, with another centre. What is left then is taken column by column in blocks of BLOCK
+rows, those outside the largest component with all, in the same two steps. So every component is exact; near copies cost a few candidates for
 each row, and no pair of rows is ever shuffled beyond those with a centre. The rows of a hot column are dealt into SALTS
 parts with a centre each, and these are tried with one.
 
@@ -39,6 +41,8 @@ _LEVEL = np.uint64(0x165667B19E3779F9)
 ROUNDS, BLOCK, COLUMNS = 2, 256, 8192
 #: One row in so many is looked at for frequent n-grams and hot columns; parts that the rows of a hot one are dealt into.
 SOME, SALTS = 32, 64
+#: Column blocks of a bitmap for each n-gram of its set.
+BITS = 4
 #: Bound of the n-grams that are broadcast as frequent ones.
 FREQUENT = 1 << 20
 
@@ -66,6 +70,42 @@ def prefix(grams: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.nd
     return np.concatenate((rare, grams[last][: n - len(rare)]))
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """A bit for each of 2**k column blocks (by the first bits of the n-grams) that has n-grams of a set; at least BITS blocks for each."""
+    k = max(6, (BITS * len(grams) - 1).bit_length())
+    out = np.zeros(1 << k, bool)
+    out[grams >> np.uint64(64 - k)] = True
+    return np.packbits(out).tobytes()
+
+
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows) of this many bytes that say the same of larger blocks."""
+    while bits.shape[1] > size:
+        wide = np.unpackbits(bits, axis=1)
+        bits = np.packbits(wide[:, ::2] | wide[:, 1::2], axis=1)
+    return bits
+
+
+def possible(n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of two lists of rows (sizes and bitmaps) the pairs that may link."""
+    sizes, found = [np.fromiter(map(len, b), np.int64, len(b)) for b in (bits, others)], []
+    classes = [{k: (at := np.flatnonzero(s == k), np.frombuffer(b"".join([b[i] for i in at.tolist()]), np.uint8).reshape(len(at), k)) for k in np.unique(s).tolist()} for s, b in zip(sizes, (bits, others), strict=True)]
+    for k, (at, a) in classes[0].items():
+        for j, (of, b) in classes[1].items():
+            if j > 4 * k or k > 4 * j:
+                continue  # neither set is large enough for the other
+            x, y = fold(a, min(j, k)), fold(b, min(j, k))
+            for r, i in enumerate(at.tolist()):
+                need = -(-num * (n[i] + m[of]) // (num + den))
+                some = np.flatnonzero(need <= np.minimum(n[i], m[of]))
+                own = y[some]
+                ok = np.bitwise_count(x[r] & ~own).sum(axis=1) <= n[i] - need[some]
+                some, own = some[ok], own[ok]
+                some = some[np.bitwise_count(own & ~x[r]).sum(axis=1) <= m[of[some]] - need[some]]
+                found.append((np.full(len(some), i), of[some]))
+    return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ([], [])))
+
+
 def product(row: np.ndarray, others: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Which of some rows of the incidence matrix (sorted sets) link with one row: the matrix product of these rows with
     that one, column block by column block. Overlaps add up, and a row goes as soon as the columns left cannot bring it
@@ -118,16 +158,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
             lens = np.cumsum([0, *map(len, marks)])
             side = lambda salt: pa.array([int(mix(s ^ salt).sum()) - 2**63 for s in sets], pa.int64())
             sigs = pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(marks).view(np.int64)) if marks else pa.array([], pa.int64()))
-            yield pa.record_batch({"id": batch.column(id_col), "n": pa.array(map(len, sets), pa.int64()), "hi": side(_LEVEL), "lo": side(_STEP), "sigs": sigs})
+            bits = pa.array([bitmap(s) for s in sets], pa.binary())
+            yield pa.record_batch({"id": batch.column(id_col), "n": pa.array(map(len, sets), pa.int64()), "hi": side(_LEVEL), "lo": side(_STEP), "sigs": sigs, "bits": bits})
         trim()
 
-    rows = written(docs.mapInArrow(sketch, f"id {kind}, n long, hi long, lo long, sigs array<long>"), "sketches")
+    rows = written(docs.mapInArrow(sketch, f"id {kind}, n long, hi long, lo long, sigs array<long>, bits binary"), "sketches")
     full = rows.where("n > 0 and id is not null")
-    nodes = full.groupBy("hi", "lo").agg(F.min(F.struct("id", "sigs")).alias("x")).select("x.*")
+    nodes = full.groupBy("hi", "lo").agg(F.min(F.struct("id", "n", "sigs", "bits")).alias("x")).select("hi", "lo", "x.*")
+    nodes = written(nodes.withColumnRenamed("id", "node"), "nodes")
     # columns with over one in HOT of all entries are HOT at most; counted on some rows, as this only decides how rows are dealt
     some = full.where(F.pmod(F.xxhash64("id"), F.lit(SOME)) == 0).select(F.explode("sigs").alias("sig"))
     hot = some.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") * HOT > some.count()).select("sig", F.lit(True).alias("hot"))
-    members = nodes.select(F.col("id").alias("node"), F.explode("sigs").alias("sig")).join(F.broadcast(hot), "sig", "left")
+    members = nodes.select("node", F.explode("sigs").alias("sig")).join(F.broadcast(hot), "sig", "left")
     salted = members.select("sig", "node", "hot", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("int").alias("salt"))
     own = Window.partitionBy("sig", "salt")
     buckets = salted.withColumn("first", F.min("node").over(own)).withColumn("last", F.max("node").over(own)).where("hot or first < last")
@@ -135,14 +177,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     rows_of = [F.count("*").alias("n"), *(F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2))]
     once = buckets.groupBy("sig").agg(*rows_of).groupBy("n", "s0", "s1").agg(F.min("sig").alias("sig")).select("sig", "n")
     buckets = written(join_hot(buckets, written(once, "once"), ["sig"]).drop("n"), "buckets")
-    found = links(docs.withColumnRenamed(id_col, "node"), buckets, n, num, den, kind)
-    heads = full.groupBy("hi", "lo").agg(F.min("id").alias("node"))
+    found = links(docs.withColumnRenamed(id_col, "node"), nodes.select("node", "n", "bits"), buckets, n, num, den, kind)
+    heads = nodes.select("hi", "lo", "node")
     classes = heads.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id"))
     rest = rows.where("n = 0 or id is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return full.join(classes, ["hi", "lo"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id").unionByName(rest)
 
 
-def links(docs: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
     """Components (node, component) of the nodes in buckets (sig, node, and of its salt the first node), from links counted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,17 +205,36 @@ def links(docs: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind:
             yield batch.select(["a", "b"]).filter(pa.array(np.concatenate([np.zeros(0, bool), *hit])))
         trim()
 
-    wanted = buckets.select("node").distinct()
-    grams = written(docs.join(wanted, "node").mapInArrow(sets, f"node {kind}, grams binary"), "sets")
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            x, y, centres = (batch.column(c).to_pylist() for c in ("x", "y", "a"))
+            hit, at = [], 0
+            while at < len(x):
+                to = at + 1
+                while to < len(x) and centres[to] == centres[at]:
+                    to += 1
+                hit.append(possible(n[at : at + 1], x[at : at + 1], m[at:to], y[at:to], num, den)[1] + at)
+                at = to
+            yield batch.select(["a", "b"]).take(pa.array(np.sort(np.concatenate([np.empty(0, np.int64), *hit]))))
 
     def counted(pairs: DataFrame) -> DataFrame:
+        """The links among pairs that may link."""
+        pairs = written(pairs, "pairs")
+        wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+        grams = written(docs.join(wanted, "node").dropDuplicates(["node"]).mapInArrow(sets, f"node {kind}, grams binary"), "sets")
         x, y = grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-        return pairs.where("a <> b").distinct().join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(count, f"a {kind}, b {kind}")  # sorted by a
+        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(count, f"a {kind}, b {kind}")  # sorted by a
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        x = nodes.select(F.col("node").alias("a"), "n", F.col("bits").alias("x"))
+        y = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+        return pairs.where("a <> b").distinct().join(y, "b").join(x, "a").mapInArrow(screen, f"a {kind}, b {kind}")  # sorted by a
 
     firsts = buckets.where("salt >= 0").select("sig", "first").distinct()  # SALTS for each hot column at most
     centre = F.broadcast(firsts.groupBy("sig").agg(F.min("first").alias("a")))
     pairs = buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(firsts.join(centre, "sig").select("a", F.col("first").alias("b")))
-    edges, state, open_ = written(counted(pairs), "links"), None, buckets.select("sig", "node")
+    edges, state, open_ = written(counted(screened(pairs)), "links"), None, buckets.select("sig", "node")
     if edges.take(1):
         state = components(edges)
     for turn in range(1, ROUNDS + 1):
@@ -187,9 +248,9 @@ def links(docs: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind:
         if turn < ROUNDS:
             centres = labelled.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "component")).alias("c"), F.count("*").alias("n"))
             pairs = join_hot(labelled, written(centres, "centres"), ["sig"]).where(F.col("component") != F.col("c.component"))
-            new = written(counted(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b"))), "links")
+            new = written(counted(screened(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")))), "links")
         else:
-            new = written(products(labelled, grams, num, den, kind), "links")
+            new = written(counted(products(labelled, nodes, num, den, kind)), "links")
         edges = edges.unionByName(new)
         if new.take(1):
             state = components(edges)
@@ -198,10 +259,10 @@ def links(docs: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind:
     return state
 
 
-def products(labelled: DataFrame, grams: DataFrame, num: int, den: int, kind: str) -> DataFrame:
-    """Links (a, b) across components of columns (sig, node, component) that hold several, by blocks of the matrix product.
+def products(labelled: DataFrame, nodes: DataFrame, num: int, den: int, kind: str) -> DataFrame:
+    """Pairs (a, b) that may link across components of columns (sig, node, component) that hold several.
 
-    In a column the rows outside its largest component are multiplied with all rows, BLOCK by BLOCK of them at a time:
+    In a column the rows outside its largest component are compared with all rows, BLOCK by BLOCK of them at a time:
     what is shuffled grows with the blocks, not with the pairs."""
     parts = labelled.groupBy("sig", "component").agg(F.count("*").alias("size"))
     sums = parts.groupBy("sig").agg(F.sum("size").alias("n"), F.max(F.struct("size", "component")).alias("top"))
@@ -214,26 +275,9 @@ def products(labelled: DataFrame, grams: DataFrame, num: int, den: int, kind: st
 
     def blocks(both: pa.Table) -> pa.Table:
         a, b = both.filter(both["left"]), both.filter(pc.invert(both["left"]))
-        x, y = ([np.frombuffer(g.as_buffer(), np.uint64) for chunk in t["grams"].chunks for g in chunk] for t in (a, b))
-        if not x or not y:
-            return pa.table({"a": a["node"][:0], "b": b["node"][:0]})
-        nx, ny = np.array(list(map(len, x))), np.array(list(map(len, y)))
-        shared = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
-        counts = np.zeros((len(x), len(y)), np.float32)
-        for at in range(0, len(shared), COLUMNS):
-            own = shared[at : at + COLUMNS]
-            dense = []
-            for sets in (x, y):
-                m = np.zeros((len(sets), len(own)), np.float32)
-                for r, s in enumerate(sets):
-                    s = s[np.searchsorted(s, own[0]) : np.searchsorted(s, own[-1], side="right")]
-                    k = np.searchsorted(own, s)
-                    m[r, k[own[np.minimum(k, len(own) - 1)] == s]] = 1
-                dense.append(m)
-            counts += dense[0] @ dense[1].T
-        cx, cy = (np.unique(np.concatenate((a["component"].to_numpy(), b["component"].to_numpy())), return_inverse=True)[1][part] for part in (slice(0, len(x)), slice(len(x), None)))
-        hit = (den * counts >= num * (nx[:, None] + ny[None, :] - counts)) & (cx[:, None] != cy[None, :])
-        p, q = np.nonzero(hit)
-        return pa.table({"a": a["node"].take(pa.array(p)), "b": b["node"].take(pa.array(q))})
-
-    return left.unionByName(right).join(grams, "node").groupBy("sig", "i", "j").applyInArrow(blocks, f"a {kind}, b {kind}")
+        p, q = possible(a["n"].to_numpy(), a["bits"].to_pylist(), b["n"].to_numpy(), b["bits"].to_pylist(), num, den)
+        out = pa.table({"a": a["node"].take(pa.array(p)), "b": b["node"].take(pa.array(q))})
+        return out.filter(pc.not_equal(a["component"].take(pa.array(p)), b["component"].take(pa.array(q))))
+
+    found = left.unionByName(right).join(nodes, "node").groupBy("sig", "i", "j").applyInArrow(blocks, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -74,6 +74,17 @@ def test_rows_that_link_share_one_of_their_first(frame):
     assert linked > 40
 
 
+def test_bitmaps_lose_no_link():
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 2**63, 700).astype(np.uint64) * np.uint64(2))
+    rows = [np.sort(np.concatenate((rng.permutation(base)[: rng.integers(400, len(base))], rng.integers(0, 2**63, rng.integers(0, 100)).astype(np.uint64)))) for _ in range(80)]
+    rows += [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in rng.integers(1, 900, 80)] + [base[:1], base[:2]]
+    n, bits = np.array(list(map(len, rows))), [ngram_join.bitmap(r) for r in rows]
+    may = set(zip(*(x.tolist() for x in ngram_join.possible(n, bits, n, bits, 80, 100)), strict=True))
+    link = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if (k := len(np.intersect1d(a, b))) * 100 >= 80 * (len(a) + len(b) - k)}
+    assert link <= may and len(link) > 200 and len(may) < 2 * len(link)
+
+
 def test_a_passage_that_many_share(frame, monkeypatch):
     monkeypatch.setattr(ngram_join, "SOME", 1)
     rng = random.Random(8)
