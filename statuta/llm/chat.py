@@ -15,8 +15,8 @@ Template: ``<s>[INST] text [/INST]`` for user, `` text </s>`` for assistant, ``<
 and ``[`` (and ``>`` in names), so no text holds a control string, and removing them is exact.
 
 Defined results: null text and null role are empty; rows of one conversation follow turn, then role, then text;
-repeated rows are turns of their own; a null conversation id is a conversation; other columns are ignored; an
-empty table gives no nodes.
+repeated rows are turns of their own; a very long text is one node; a null conversation id is a conversation; other
+columns, whatever their names, are ignored; an empty table gives no nodes.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import hashlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -46,20 +47,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/statuta-{name}-{uuid.uuid4().hex}"
 
 
-#: Scratch tables of this application that have not been deleted.
-_SCRATCH: list[str] = []
+class _Made(threading.local):
+    """Scratch tables of a thread that have not been deleted: other threads' queries keep theirs."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_SCRATCH = _Made()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     path = scratch(df.sparkSession, name)
-    _SCRATCH.append(path)
+    _SCRATCH.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_tables() -> list[str]:
-    return list(_SCRATCH)
+    return list(_SCRATCH.paths)
 
 
 def sweep(spark: SparkSession, paths: list[str], *keep: DataFrame) -> list[str]:
@@ -73,7 +80,7 @@ def sweep(spark: SparkSession, paths: list[str], *keep: DataFrame) -> list[str]:
         else:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-            _SCRATCH.remove(path)
+            _SCRATCH.paths.remove(path)
     return left
 
 
@@ -93,12 +100,12 @@ def fresh(columns: list[str], name: str) -> str:
 HOT = 1000
 
 
-def join_hot(rows: DataFrame, totals: DataFrame, keys: list[str], bound: int | None = None) -> DataFrame:
+def join_hot(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """Rows joined with totals (a row a key, n: how many rows have the key) without a task that gets a hot key's rows.
 
     Keys with over one in HOT of all rows are HOT at most, whatever the data: they are broadcast. The others shuffle.
-    ``bound`` is the sum of n, counted if it is not given. Both tables are read twice, so they should be written ones."""
-    bound = bound if bound is not None else totals.agg(F.sum("n")).first()[0] or 0
+    Both tables are read twice, so they should be written ones."""
+    bound = totals.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(totals.where(F.col("n") * HOT > bound))
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(totals.where(F.col("n") * HOT <= bound), keys)
     return rows.join(hot, keys).unionByName(rest)

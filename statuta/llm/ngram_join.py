@@ -163,6 +163,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         trim()
 
     rows = written(docs.mapInArrow(sketch, f"id {kind}, n long, hi long, lo long, sigs array<long>, bits binary"), "sketches")
+    sent.unpersist()
     full = rows.where("n > 0 and id is not null")
     nodes = full.groupBy("hi", "lo").agg(F.min(F.struct("id", "n", "sigs", "bits")).alias("x")).select("hi", "lo", "x.*")
     nodes = written(nodes.withColumnRenamed("id", "node"), "nodes")
@@ -239,7 +240,6 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: in
         state = components(edges)
     for turn in range(1, ROUNDS + 1):
         labelled = open_.withColumn("component", F.col("node")) if state is None else open_.join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        labelled = written(labelled, "labelled")
         apart = labelled.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n")).where("p < q").select("sig", "n")
         labelled = written(join_hot(labelled, written(apart, "apart"), ["sig"]).drop("n"), "open")  # buckets that hold one component are done
         open_ = labelled.drop("component")

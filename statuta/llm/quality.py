@@ -6,7 +6,8 @@ on bad documents. A document's verdict is the posterior probability of good, at
 rule decides. Documents that fail the base rule (under 50 words, or more than half of the words in repeated
 three-word windows) are rejected at once.
 
-Defined results: null and empty text have no words and fail the base rule; repeated rows are judged alike, each;
+Defined results: null and empty text have no words and fail the base rule; a very long text is judged whole; repeated
+rows are judged alike, each; a posterior of exactly 0.5 keeps;
 n_repeat_words and n_dup_lines count within one text; an empty table gives no rows; other columns pass through
 ``keep`` untouched and are ignored by ``quality``.
 """
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from statuta.llm.common import GAP_RE, WORD_RE, fresh, written
 
 ROUNDS = 30
-#: Pseudo-counts, as shares of all documents, that hold each rule to what its votes mean; share of good at first.
-HOLD, GOOD_AT_FIRST = 0.05, 0.85
+#: Pseudo-documents that hold each rule to what its votes mean, whose weight falls as the corpus grows; share of good at first.
+HOLD, GOOD_AT_FIRST = 100, 0.85
 
 
 def let(value: Column, body) -> Column:
@@ -104,7 +105,7 @@ RULES = (ONE_WAY, ONE_WAY, BOTH_WAYS, BOTH_WAYS, BOTH_WAYS, ONE_WAY, BOTH_WAYS,
 def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[list[dict[int, float]]]]:
     """Share of good and, for each rule, the odds of its votes on bad and good documents, from counts of patterns."""
     total = sum(n for _, n in patterns) or 1
-    hold = HOLD * total + 1
+    hold = HOLD
     share, odds = GOOD_AT_FIRST, RULES
     for _ in range(ROUNDS):
         sums = [[{v: hold * p for v, p in side.items()} for side in rule] for rule in RULES]

@@ -8,8 +8,8 @@ A pre-token is a run of spaces with the bytes up to the next space. That is wher
 be cut if its normaliser is the identity and no piece holds a space mark behind another character; both are
 checked on the model, and where they fail each text is encoded whole.
 
-Defined results: null and empty text have 0 bytes and 0 tokens; repeated rows are counted each; ties in the
-choice of frequent pre-tokens only change speed; other columns are ignored; an empty table gives no rows.
+Defined results: null and empty text have 0 bytes and 0 tokens; a very long text is counted whole;
+repeated rows are counted each; ties in the choice of frequent pre-tokens only change speed; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

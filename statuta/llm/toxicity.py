@@ -2,12 +2,13 @@
 
 Features of a text: its distinct words (cut at white space and ASCII punctuation, A-Z as a-z), adjacent pairs and pairs with one word between, hashed into
 2**BITS coordinates. Training takes a bounded sample of labelled rows, whose coordinates (not texts) meet in one
-task that runs FTRL-proximal, which is sequential, with per-coordinate rates and L1. L1 leaves few weights, which
-are broadcast; their number has a bound of its own. Scoring is one pass over all texts, without a shuffle.
+task that runs FTRL-proximal, which is sequential, with per-coordinate rates and L1. L1 leaves few weights, all of which
+are broadcast: 2**BITS + 1 at most. Scoring is one pass over all texts, without a shuffle.
 
-Defined results: null and empty texts have no features and get the score of the bias alone; with labels of one
-class alone every score is that class, and 0.5 without labels; a repeated row is scored again, alike; rows with
-a null label are not learned from; other columns are never read.
+Defined results: null and empty texts have no features and get the score of the bias alone; a very long text is scored
+whole; with labels of one class alone every score is that class, and 0.5 without labels; repeated rows and ids are scored
+each, alike, and learned from within the bound; ties (equal hashes of ids) are ordered by label, then text; rows with a
+null label or id are not learned from; an empty table gives no rows; other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from statuta.llm.common import crc_mod, joined, mix, prepare, slices, text_bytes, word_hashes
 
 BITS = 20
-#: Bounds: labelled rows to learn from, and weights kept (the largest).
-TRAIN_ROWS, WEIGHTS = 12_000, 100_000
+#: Bound of the labelled rows to learn from.
+TRAIN_ROWS = 12_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.1, 5
 
 _PAIR, _SKIP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -67,6 +68,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prepare(docs.sparkSession)
     chosen = labels.where(F.col(label_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64(id_col), "_label").limit(TRAIN_ROWS)
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # TRAIN_ROWS bounds what is broadcast
+    rows = rows.orderBy(F.xxhash64(id_col), "_label", F.xxhash64(text_col)).limit(TRAIN_ROWS)  # also where ids repeat
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column=text_col):
@@ -86,8 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     found = rows.withColumn("_order", F.xxhash64(id_col)).select("_order", "_label", text_col).mapInArrow(features, "_order long, _label int, _all int, at binary")
     weights = found.groupBy("_all").applyInArrow(train, "at long, w double")  # TRAIN_ROWS bounds the group
-    kept = weights.orderBy((F.col("at") == 2**BITS).desc(), F.abs("w").desc(), "at").limit(WEIGHTS).collect()
-    return np.array([r["at"] for r in kept], np.int64), np.array([r["w"] for r in kept])
+    kept = weights.toArrow()
+    return kept["at"].to_numpy(), kept["w"].to_numpy()
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
