@@ -142,7 +142,7 @@ def _is_struct(docs: DataFrame, chunks: Column) -> bool:
 
 def sectioned(docs: DataFrame, column: str, *keep: str, size: int = 512, overlap: int = 50) -> DataFrame:
     """Chunks of sections that were parsed before (number, title, text): windows of each, the section's data on all."""
-    parts = docs.select(*keep, F.explode(column).alias("s")).where(F.trim(F.coalesce("s.text", F.lit(""))) != "")
+    parts = docs.select(*keep, F.explode(column).alias("s")).where(strip(F.coalesce("s.text", F.lit(""))) != "")
     return parts.select(*keep, F.col("s.number").alias("section_number"), F.col("s.title").alias("section_title"), F.posexplode(word_windows(F.col("s.text"), size, overlap)).alias("part", "w")).select(
         *keep, "section_number", "section_title", "part", "w.*"
     )

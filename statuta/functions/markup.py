@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from statuta.functions.text import strip
+
 #: Elements without content of their own.
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 NOISE = frozenset(("script", "style", "nav", "header", "footer"))
@@ -296,4 +298,4 @@ def hrefs(html: Column) -> Column:
 
 def xml_flat(xml: Column) -> Column:
     """All text of an XML document, pieces parted by an empty line."""
-    return F.array_join(F.filter(F.transform(F.xpath(xml, F.lit("//text()")), lambda x: F.trim(x)), lambda x: x != ""), "\n\n")
+    return F.array_join(F.filter(F.transform(F.xpath(xml, F.lit("//text()")), strip), lambda x: x != ""), "\n\n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -91,9 +92,9 @@ def shortened(text: Column, n: int, tail: str) -> Column:
 
 
 def highlight(text: Column, words: list[str], mark: str = "mark") -> Column:
-    """Each of the words, whatever its case, between tags; the words are taken literally."""
-    pattern = "|".join(rf"\Q{w}\E" for w in words)
-    return F.regexp_replace(text, f"(?i)({pattern})", f"<{mark}>$1</{mark}>")
+    """Each of the words, whatever its case, between tags; the words are taken literally, empty ones mark nothing."""
+    pattern = "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words if w)
+    return F.regexp_replace(text, f"(?iu)({pattern})", f"<{mark}>$1</{mark}>") if pattern else text
 
 
 def like_literal(word: str) -> str:

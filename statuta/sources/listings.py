@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,26 @@ def pages(rows: int, size: int = 100) -> list[tuple[int, int]]:
     return [(at, min(size, rows - at)) for at in range(0, rows, size)]
 
 
+def until_short(fetch: Callable[[int, int], list], size: int = 100) -> Iterator:
+    """The rows of a listing whose length is not known: pages from an offset, until one has fewer rows than asked for."""
+    at = 0
+    while True:
+        rows = fetch(at, size)
+        yield from rows
+        if len(rows) < size:
+            return
+        at += size
+
+
+def requests(kinds: DataFrame, template: str, **columns: str) -> DataFrame:
+    """An address for each row: {name} in the template is the row's column of that name, or the one given, escaped."""
+    parts, at = [], 0
+    for hit in re.finditer(r"\{(\w+)\}", template):
+        parts += [F.lit(template[at : hit.start()]), F.url_encode(F.col(columns.get(hit[1], hit[1])).cast("string"))]
+        at = hit.end()
+    return kinds.withColumn("url", F.concat(*parts, F.lit(template[at:])))
+
+
 def codes(answers: DataFrame, column: str = "json") -> DataFrame:
     """Codes of a register; those without an id go."""
     rows = answers.select(F.explode(F.from_json(column, "struct<codes:array<struct<id:string,titre:string>>>")["codes"]).alias("c"))
@@ -81,13 +104,13 @@ def law_links(pages_: DataFrame, html: Column, keep: list[str]) -> DataFrame:
 
 def disallowed(robots: DataFrame, column: str = "robots") -> DataFrame:
     """Path prefixes (host, prefix) that robots files (host, robots) forbid to every agent."""
-    lines = robots.select("host", F.posexplode(F.transform(F.split(column, "\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))).alias("at", "line"))
+    lines = robots.select("host", F.posexplode(F.transform(F.split(column, "\r?\n|\r"), lambda x: tx.strip(F.regexp_replace(x, "(?s)#.*$", "")))).alias("at", "line"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("host").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    agent = F.when(F.lower("line").startswith("user-agent:"), F.trim(F.substring_index("line", ":", -1)))
+    agent = F.when(F.lower("line").startswith("user-agent:"), tx.strip(F.substring_index("line", ":", -1)))
     rules = lines.withColumn("agent", F.last(agent, ignorenulls=True).over(w)).where((F.col("agent") == "*") & F.lower("line").startswith("disallow:"))
-    return rules.select("host", F.trim(F.regexp_extract("line", "(?i)^disallow:(.*)$", 1)).alias("prefix")).where("prefix <> ''")
+    return rules.select("host", tx.strip(F.regexp_extract("line", "(?i)^disallow:(.*)$", 1)).alias("prefix")).where("prefix <> ''")
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:

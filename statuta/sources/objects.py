@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions import text as tx
@@ -16,6 +16,12 @@ def blobs(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "length", "content", tx.sniff(head).alias("format"), text.alias("text"))
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text: UTF-8 where they are that, else Latin-1; a byte order mark goes."""
+    text = F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
 def keyed(blobs_: DataFrame) -> DataFrame:
     """With the digest of the bytes and the key under which they are kept."""
     digest = F.sha2("content", 256)
@@ -25,7 +31,7 @@ def keyed(blobs_: DataFrame) -> DataFrame:
 def joined_pages(pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
     """Pages of scanned documents as one text, parted by empty lines; a document without text has an error."""
     listed = F.sort_array(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t"))))
-    out = pages.groupBy(document).agg(F.array_join(F.filter(F.transform(listed, lambda x: x["t"]), lambda t: F.trim(t) != ""), "\n\n").alias("text"))
+    out = pages.groupBy(document).agg(F.array_join(F.filter(F.transform(listed, lambda x: x["t"]), lambda t: tx.strip(t) != ""), "\n\n").alias("text"))
     return out.withColumn("error", F.when(F.col("text") == "", "no text"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,22 +28,33 @@ def sessions(events: DataFrame, time: str, gap: str, late: str, key: str) -> Dat
 
 
 def rate_limit(requests: DataFrame, client: str, time: str, seconds: int, limit: int) -> DataFrame:
-    """Requests with a verdict, against those of their client in the seconds before; the state is these times only."""
+    """Requests with a verdict, against those of their client in the seconds before. The state of a client is the times of
+    that span, each with its count, and goes when the watermark has left it."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(held.get[0]) if held.exists else []
-        span = seconds * 1_000_000
-        for part in parts:
-            out = []
-            for stamp in sorted(part["_micros"].tolist()):
-                times = [t for t in times if t >= stamp - span] + [stamp]
-                out.append((key[0], pd.Timestamp(stamp, unit="us"), len(times), len(times) > limit))
-            yield pd.DataFrame(out, columns=["client", "at", "recent", "rejected"])
-        held.update((times[-(limit + 1) * 4 :],))
+        if held.hasTimedOut:
+            held.remove()
+            return
+        recent = deque(zip(*held.get, strict=True) if held.exists else ())
+        span, total = seconds * 1_000_000, sum(n for _, n in recent)
+        stamps = pd.concat([p["_micros"] for p in parts]).sort_values()
+        out = []
+        for stamp in stamps.tolist():
+            while recent and recent[0][0] < stamp - span:
+                total -= recent.popleft()[1]
+            if recent and recent[-1][0] == stamp:
+                recent[-1] = stamp, recent[-1][1] + 1
+            else:
+                recent.append((stamp, 1))
+            total += 1
+            out.append((key[0], pd.Timestamp(stamp, unit="us"), total, total > limit))
+        held.update(tuple(map(list, zip(*recent, strict=True))))
+        held.setTimeoutTimestamp(max((recent[-1][0] + span) // 1000, held.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["client", "at", "recent", "rejected"])
 
     kind = requests.schema[client].dataType.simpleString()
-    stamped = requests.select(F.col(client).alias("client"), F.unix_micros(F.col(time).cast("timestamp")).alias("_micros"))
-    return stamped.groupBy("client").applyInPandasWithState(step, f"client {kind}, at timestamp, recent long, rejected boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    stamped = requests.select(F.col(client).alias("client"), F.col(time).cast("timestamp").alias("_at")).withColumn("_micros", F.unix_micros("_at")).withWatermark("_at", "0 seconds")
+    return stamped.groupBy("client").applyInPandasWithState(step, f"client {kind}, at timestamp, recent long, rejected boolean", "times array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_now(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -53,7 +65,9 @@ def run_now(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
 class Ingest:
     """A sink for streams of documents (doc_id, source, text): classify by digest, chunk what changed, embed, number
     versions, write. Each batch writes a folder of its own per table, so a batch that is repeated writes the same
-    files again; current tables are what the newest batches say. Rows without text go to ``rejected``."""
+    files again; current tables are what the newest batches say. Rows without text or id go to ``rejected``; chunks that
+    the embedder gave no vector go to ``dead``, and ``retried`` tries those again. Of rows that share an id in a batch the
+    one with the least text counts."""
 
     def __init__(self, path: str, embed: Callable | None = None):
         self.path, self.embed = path, embed
@@ -76,12 +90,19 @@ class Ingest:
         now = self.current(spark).select("doc_id", "version_number")
         return self.table(spark, "chunks").join(now, ["doc_id", "version_number"], "left_semi").drop("batch")
 
+    def retried(self, spark) -> DataFrame:
+        """Chunks that have no vector, with what the embedder says now; those that get one can be written over the old ones."""
+        dead = self.table(spark, "dead").drop("batch")
+        return dead.withColumn("embedding", self.embed(F.col("content")))
+
     def __call__(self, rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
         rows = rows.withColumn("text", tx.normalise(F.col("text"))).persist()
-        put(rows.where("text = ''").select("doc_id", F.lit("no text").alias("error")), "rejected")
-        good = rows.where("text <> ''").dropDuplicates(["doc_id"]).withColumn("content_hash", tx.content_hash(F.col("text")))
+        bad = F.when(F.col("doc_id").isNull(), "no id").when(F.col("text") == "", "no text")
+        put(rows.withColumn("error", bad).where("error is not null").select("doc_id", "error"), "rejected")
+        least = rows.where("doc_id is not null and text <> ''").groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("x"))
+        good = least.select("doc_id", "x.source", "x.text").withColumn("content_hash", tx.content_hash(F.col("text")))
         now = self.current(spark, batch)
         if now is None:
             now = spark.createDataFrame([], good.select("doc_id", "content_hash").schema).withColumn("version_number", F.lit(0).cast("long"))
@@ -90,6 +111,10 @@ class Ingest:
         changed = status.where("status <> 'unchanged'").withColumn("version_number", (F.coalesce("version_number", F.lit(0)) + 1).cast("long"))
         put(changed.select("doc_id", "version_number", "content_hash", "text"), "versions")
         parts = ch.exploded(changed, ch.word_windows(F.col("text")), "doc_id", "version_number")
-        put(parts.withColumn("embedding", self.embed(F.col("content"))) if self.embed else parts, "chunks")
+        if self.embed:
+            parts = parts.withColumn("embedding", self.embed(F.col("content"))).persist()
+            put(parts.where("embedding is null").drop("embedding"), "dead")
+        put(parts, "chunks")
+        parts.unpersist()
         status.unpersist()
         rows.unpersist()
