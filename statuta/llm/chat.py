@@ -115,7 +115,7 @@ def build(conversations: DataFrame, conv_col: str = "conv_id", ranks: str | None
     owned = steps.groupBy("node").agg(F.min(F.struct("g", "depth", "role", "text")).alias("x")).select("node", "x.*")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, public_tokenizers.PATTERN).encode_ordinary
+        enc = encoder(path, public_tokenizers.PATTERN)[0].encode_ordinary
         for batch in batches:
             ids, begin, end = [], [], []
             for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
