@@ -167,7 +167,7 @@ def read_back(nodes: DataFrame, index: DataFrame, conv_col: str = "conv_id", ran
     talks = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "token_ids", "loss_from", "loss_to"))).alias("parts"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of = encoder(path, public_tokenizers.PATTERN).decode_bytes
+        text_of = encoder(path, public_tokenizers.PATTERN)[0].decode_bytes
         for batch in batches:
             out = []
             for parts in batch.column("parts").to_pylist():
