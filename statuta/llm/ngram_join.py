@@ -6,8 +6,8 @@ Those are the columns that a row is multiplied in; rows that share none are neve
 that are frequent in some of the documents (at most FREQUENT of them, broadcast), so that a passage which many documents
 share makes no candidates; it changes the work, not the result. Columns with the same rows count once.
 
-Sets that are equal become one row before anything is joined. The rows of a column are not expanded into pairs: each is
-tried with one centre. First by bitmaps, in which every column block with n-grams of a row is a bit: each bit that the other
+Sets that are equal become one row before anything is joined. In a column of at most FEW rows these are compared with each
+other; the rows of any other are not expanded into pairs: each is tried with one centre. First by bitmaps, in which every column block with n-grams of a row is a bit: each bit that the other
 row lacks is an n-gram that is missing, and over the bound that follows from the sizes the pair goes. What is left is
 multiplied column block by column block, where overlaps add up and a row goes as soon as the columns left cannot bring it
 to the bound. Rows that link form components, and only columns that still
@@ -38,11 +38,13 @@ from statuta.llm.components import components
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _LEVEL = np.uint64(0x165667B19E3779F9)
 #: Rounds of one centre a column; then rows of a block, and columns of one step, of the blocked matrix product.
-ROUNDS, BLOCK, COLUMNS = 2, 256, 8192
+ROUNDS, BLOCK, COLUMNS = 2, 2048, 8192
 #: One row in so many is looked at for frequent n-grams and hot columns; parts that the rows of a hot one are dealt into.
 SOME, SALTS = 32, 64
 #: Column blocks of a bitmap for each n-gram of its set.
-BITS = 4
+BITS = 2
+#: Columns of so many rows at most are looked at at once, whole.
+FEW = 16
 #: Bound of the n-grams that are broadcast as frequent ones.
 FREQUENT = 1 << 20
 
@@ -177,7 +179,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     buckets = written(buckets.select("sig", "node", "first", "salt"), "columns")
     rows_of = [F.count("*").alias("n"), *(F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2))]
     once = buckets.groupBy("sig").agg(*rows_of).groupBy("n", "s0", "s1").agg(F.min("sig").alias("sig")).select("sig", "n")
-    buckets = written(join_hot(buckets, written(once, "once"), ["sig"]).drop("n"), "buckets")
+    buckets = written(join_hot(buckets, written(once, "once"), ["sig"]).withColumnRenamed("n", "rows"), "buckets")
     found = links(docs.withColumnRenamed(id_col, "node"), nodes.select("node", "n", "bits"), buckets, n, num, den, kind)
     heads = nodes.select("hi", "lo", "node")
     classes = heads.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id"))
@@ -186,7 +188,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
 
 def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
-    """Components (node, component) of the nodes in buckets (sig, node, and of its salt the first node), from links counted."""
+    """Components (node, component) of the nodes in buckets (sig, rows that it has, node, and of its salt the first node), from links counted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column="_text"):
@@ -219,6 +221,25 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: in
                 at = to
             yield batch.select(["a", "b"]).take(pa.array(np.sort(np.concatenate([np.empty(0, np.int64), *hit]))))
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of small columns that may link; a column's rows follow each other."""
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            sig = rows["sig"].to_numpy()
+            cuts = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist()]
+            rest = rows.slice(cuts[-1])
+            yield from pairs_of(rows, cuts)
+        if rest is not None:
+            yield from pairs_of(rest, [0, rest.num_rows])
+
+    def pairs_of(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        n, bits, out = rows["n"].to_numpy(), rows["bits"].to_pylist(), []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            out += [np.stack(possible(n[x : x + 1], bits[x : x + 1], n[x + 1 : y], bits[x + 1 : y], num, den)) + [[x], [x + 1]] for x in range(x, y - 1)]
+        p, q = np.concatenate([np.empty((2, 0), np.int64), *out], axis=1)
+        yield pa.record_batch([rows["node"].combine_chunks().take(pa.array(k)) for k in (p, q)], names=["a", "b"])
+
     def counted(pairs: DataFrame) -> DataFrame:
         """The links among pairs that may link."""
         pairs = written(pairs, "pairs")
@@ -232,10 +253,12 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: in
         y = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
         return pairs.where("a <> b").distinct().join(y, "b").join(x, "a").mapInArrow(screen, f"a {kind}, b {kind}")  # sorted by a
 
+    small = buckets.where(F.col("rows") <= FEW).select("sig", "node").join(nodes, "node").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(whole, f"a {kind}, b {kind}")
+    buckets = buckets.where(F.col("rows") > FEW)
     firsts = buckets.where("salt >= 0").select("sig", "first").distinct()  # SALTS for each hot column at most
     centre = F.broadcast(firsts.groupBy("sig").agg(F.min("first").alias("a")))
     pairs = buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(firsts.join(centre, "sig").select("a", F.col("first").alias("b")))
-    edges, state, open_ = written(counted(screened(pairs)), "links"), None, buckets.select("sig", "node")
+    edges, state, open_ = written(counted(screened(pairs).unionByName(small).distinct()), "links"), None, buckets.select("sig", "node")
     if edges.take(1):
         state = components(edges)
     for turn in range(1, ROUNDS + 1):

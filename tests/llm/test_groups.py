@@ -37,13 +37,17 @@ def joined(df):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(df).collect()}
 
 
-def test_join_links_what_brute_force_links(frame, edges, corpus):
+@pytest.mark.parametrize("few", [1, 16])
+def test_join_links_what_brute_force_links(frame, edges, corpus, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
     rows = [(i + 5000, x) for i, x in edges] + corpus
     assert joined(frame(rows)) == groups(rows)
 
 
 def test_join_exhausts_pairs_that_no_centre_linked(frame, monkeypatch):
     monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
     rng = random.Random(5)
     base = [f"w{rng.randrange(4000)}" for _ in range(150)]
     rows = []
