@@ -7,14 +7,15 @@ that are frequent in some of the documents (at most FREQUENT of them, broadcast)
 share makes no candidates; it changes the work, not the result. Columns with the same rows count once.
 
 Sets that are equal become one row before anything is joined. In a column of at most FEW rows these are compared with each
-other; the rows of any other are not expanded into pairs: each is tried with one centre. First by bitmaps, in which every column block with n-grams of a row is a bit: each bit that the other
-row lacks is an n-gram that is missing, and over the bound that follows from the sizes the pair goes. What is left is
-multiplied column block by column block, where overlaps add up and a row goes as soon as the columns left cannot bring it
-to the bound. Rows that link form components, and only columns that still
-hold several components go on, with another centre. What is left then is taken column by column in blocks of BLOCK
-rows, those outside the largest component with all, in the same two steps. So every component is exact; near copies cost a few candidates for
-each row, and no pair of rows is ever shuffled beyond those with a centre. The rows of a hot column are dealt into SALTS
-parts with a centre each, and these are tried with one.
+other; the rows of any other are not expanded into pairs: each is tried with one centre. First by bitmaps, in which every
+column block with n-grams of a row is a bit: each bit that the other row lacks is an n-gram that is missing, and over the
+bound that follows from the sizes the pair goes. What is left is multiplied column block by column block, where overlaps
+add up and a row goes as soon as the columns left cannot bring it to the bound. Rows that link form components, and only
+columns that still hold several components go on, with another centre. What is left then is taken column by column in
+blocks of BLOCK rows, those outside the largest component with all, in the same two steps; a block gives links that join
+its components, not all that there are. So every component is exact, near copies cost a few candidates for each row, and
+beyond columns of FEW rows no pair is shuffled but those with a centre. The rows of a hot column are dealt into SALTS parts
+with a centre each, and these are tried with one.
 
 Defined results: null and empty texts have an empty set, 0 n-grams, and link with nothing; a text of fewer than n
 words is one n-gram; repeated rows each give a row; rows that share an id count as linked; a row without an id is
@@ -24,7 +25,7 @@ names the component; other columns, whatever their names, are ignored; an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ _STEP = np.uint64(0x9FB21C651E98DF25)
 _LEVEL = np.uint64(0x165667B19E3779F9)
 #: Rounds of one centre a column; then rows of a block, and columns of one step, of the blocked matrix product.
 ROUNDS, BLOCK, COLUMNS = 2, 2048, 8192
+#: N-grams a row in a block: of longer texts it has fewer rows, so that its sets take 8 bytes x BLOCK x MEAN a side.
+MEAN = 512
 #: One row in so many is looked at for frequent n-grams and hot columns; parts that the rows of a hot one are dealt into.
 SOME, SALTS = 32, 64
 #: Column blocks of a bitmap for each n-gram of its set.
@@ -240,11 +243,15 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: in
         p, q = np.concatenate([np.empty((2, 0), np.int64), *out], axis=1)
         yield pa.record_batch([rows["node"].combine_chunks().take(pa.array(k)) for k in (p, q)], names=["a", "b"])
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The sets (node, grams) of some nodes."""
+        return written(docs.join(wanted, "node").dropDuplicates(["node"]).mapInArrow(sets, f"node {kind}, grams binary"), "sets")
+
     def counted(pairs: DataFrame) -> DataFrame:
         """The links among pairs that may link."""
         pairs = written(pairs, "pairs")
         wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
-        grams = written(docs.join(wanted, "node").dropDuplicates(["node"]).mapInArrow(sets, f"node {kind}, grams binary"), "sets")
+        grams = sets_of(wanted)
         x, y = grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
         return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(count, f"a {kind}, b {kind}")  # sorted by a
 
@@ -273,7 +280,7 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: in
             pairs = join_hot(labelled, written(centres, "centres"), ["sig"]).where(F.col("component") != F.col("c.component"))
             new = written(counted(screened(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")))), "links")
         else:
-            new = written(counted(products(labelled, nodes, num, den, kind)), "links")
+            new = written(products(labelled, nodes, sets_of, num, den, kind), "links")
         edges = edges.unionByName(new)
         if new.take(1):
             state = components(edges)
@@ -282,25 +289,64 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: in
     return state
 
 
-def products(labelled: DataFrame, nodes: DataFrame, num: int, den: int, kind: str) -> DataFrame:
-    """Pairs (a, b) that may link across components of columns (sig, node, component) that hold several.
-
-    In a column the rows outside its largest component are compared with all rows, BLOCK by BLOCK of them at a time:
-    what is shuffled grows with the blocks, not with the pairs."""
-    parts = labelled.groupBy("sig", "component").agg(F.count("*").alias("size"))
-    sums = parts.groupBy("sig").agg(F.sum("size").alias("n"), F.max(F.struct("size", "component")).alias("top"))
-    sized = join_hot(labelled, written(sums, "sums"), ["sig"])
-    sized = written(sized.select("node", "sig", "component", F.col("top.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("across"), F.ceil((F.col("n") - F.col("top.size")) / BLOCK).cast("int").alias("down")), "sized")
+def products(labelled: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, kind: str) -> DataFrame:
+    """Links (a, b) across components of columns (sig, node, component) that hold several; sets gives (node, grams) for some (node).
+
+    In a column the rows outside its largest component are compared with all rows, block by block: what is shuffled
+    grows with the blocks, not with the pairs. A block keeps its rows that may link with another; of these it is then
+    sent the sets, and gives links that join its components, one less than there are at most."""
+    sizes = nodes.groupBy("node").agg(F.max("n").alias("grams"))
+    rows = written(labelled.join(sizes, "node"), "rows")
+    parts = rows.groupBy("sig", "component").agg(F.count("*").alias("size"), F.sum("grams").alias("grams"))
+    top = F.max(F.struct("size", "component", "grams")).alias("top")
+    sums = parts.groupBy("sig").agg(F.sum("size").alias("n"), F.sum("grams").alias("all"), top)
+    sized = join_hot(rows, written(sums, "sums"), ["sig"])
+    number = lambda n, grams: F.greatest(F.ceil(n / BLOCK), F.ceil(grams / (BLOCK * MEAN))).cast("int")
+    across, down = number(F.col("n"), F.col("all")), number(F.col("n") - F.col("top.size"), F.col("all") - F.col("top.grams"))
+    sized = written(sized.select("node", "sig", "component", F.col("top.component").alias("main"), across.alias("across"), down.alias("down")), "sized")
     block = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     left = sized.where("component <> main").select("node", "sig", "component", block("down").alias("i"), every("across").alias("j"), F.lit(True).alias("left"))
     right = sized.select("node", "sig", "component", every("down").alias("i"), block("across").alias("j"), F.lit(False).alias("left"))
 
-    def blocks(both: pa.Table) -> pa.Table:
-        a, b = both.filter(both["left"]), both.filter(pc.invert(both["left"]))
-        p, q = possible(a["n"].to_numpy(), a["bits"].to_pylist(), b["n"].to_numpy(), b["bits"].to_pylist(), num, den)
-        out = pa.table({"a": a["node"].take(pa.array(p)), "b": b["node"].take(pa.array(q))})
-        return out.filter(pc.not_equal(a["component"].take(pa.array(p)), b["component"].take(pa.array(q))))
-
-    found = left.unionByName(right).join(nodes, "node").groupBy("sig", "i", "j").applyInArrow(blocks, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def pairs_of(a: pa.Table, b: pa.Table, n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        p, q = possible(n, bits, m, others, num, den)
+        apart = pc.not_equal(a["component"].take(pa.array(p)), b["component"].take(pa.array(q))).to_numpy().astype(bool)
+        return p[apart], q[apart]
+
+    def sides(both: pa.Table) -> tuple[pa.Table, pa.Table]:
+        return both.filter(both["left"]), both.filter(pc.invert(both["left"]))
+
+    def screen(both: pa.Table) -> pa.Table:
+        a, b = sides(both)
+        p, q = pairs_of(a, b, *(x for t in (a, b) for x in (t["n"].to_numpy(), t["bits"].to_pylist())))
+        some = [t.take(pa.array(np.unique(at))) for t, at in ((a, p), (b, q))]
+        return pa.concat_tables(some).drop_columns(["n", "bits"])
+
+    def multiply(both: pa.Table) -> pa.Table:
+        a, b = sides(both)
+        x, y = ([np.frombuffer(g.as_buffer(), np.uint64) for g in t["grams"]] for t in (a, b))
+        p, q = pairs_of(a, b, *(z for sets in (x, y) for z in (np.fromiter(map(len, sets), np.int64, len(sets)), [bitmap(g) for g in sets])))
+        order = np.argsort(p, kind="stable")
+        p, q = p[order], q[order]
+        names, of = np.unique(np.concatenate([t["component"].to_numpy() for t in (a, b)]), return_inverse=True)
+        group, mine, theirs = np.arange(len(names)), of[: len(x)], of[len(x) :]
+        links = []
+        for lo, hi in zip(*(np.searchsorted(p, np.arange(len(x)), side) for side in ("left", "right")), strict=True):
+            if lo == hi:
+                continue
+            i, rest = int(p[lo]), q[lo:hi]
+            rest = rest[group[theirs[rest]] != group[mine[i]]]
+            for j in rest[product(x[i], [y[k] for k in rest.tolist()], num, den)].tolist() if len(rest) else ():
+                u, v = group[mine[i]], group[theirs[j]]
+                if u != v:
+                    group[group == v] = u
+                    links.append((i, j))
+        at = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": a["node"].take(pa.array(at[:, 0])), "b": b["node"].take(pa.array(at[:, 1]))})
+
+    keys = f"node {kind}, sig long, component {kind}, i int, j int, left boolean"
+    order = [c.split()[0] for c in keys.split(", ")]
+    some = left.unionByName(right).join(nodes, "node").select(*order, "n", "bits").groupBy("sig", "i", "j").applyInArrow(screen, keys)
+    some = written(some.distinct(), "rows")
+    return some.join(sets(some.select("node").distinct()), "node").groupBy("sig", "i", "j").applyInArrow(multiply, f"a {kind}, b {kind}").distinct()

@@ -219,3 +219,19 @@ def test_very_long_texts(frame):
     assert joined(frame(rows)) == {1: (999_998, 1), 2: (999_998, 1), 3: (1, 3), 4: (1, 3)}
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.report(frame(rows)).collect()}
     assert got == {1: (1_000_000, 0), 2: (1_000_000, 999_999), 3: (1, 0), 4: (1, 0)}
+
+
+def test_blocks_give_spanning_links_only(spark, frame, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    words = [f"v{i}" for i in range(400)]
+    docs = frame([(i, " ".join([*words, f"own{i}"])) for i in range(10)])
+    rows = [(i, len(s), ngram_join.bitmap(s), s.tobytes()) for i, s in ((i, ngram_join.shingle_sets([t.encode()], 3)[0]) for i, t in docs.select("doc_id", "text").collect())]
+    nodes = spark.createDataFrame(rows, "node long, n long, bits binary, grams binary")
+    labelled = nodes.selectExpr("7L as sig", "node", "node as component")
+    found = ngram_join.products(labelled, nodes.select("node", "n", "bits"), lambda some: some.join(nodes.select("node", "grams"), "node"), 90, 100, "long").collect()
+    assert len(found) == 9  # of 45 pairs that link
+    parts = {i: i for i in range(10)}
+    for a, b in found:
+        old, new = parts[a], parts[b]
+        parts = {k: new if v == old else v for k, v in parts.items()}
+    assert len(set(parts.values())) == 1
