@@ -4,7 +4,8 @@ Rows of the document by n-gram incidence matrix that link have, by their sizes,
 one of the first few of each, whatever order the n-grams of all documents are in: of x n-grams the first x - ceil(t x) + 1.
 Those are the columns that a row is multiplied in; rows that share none are never looked at. The order puts n-grams last
 that are frequent in some of the documents (at most FREQUENT of them, broadcast), so that a passage which many documents
-share makes no candidates; it changes the work, not the result. Columns with the same rows count once.
+share makes no candidates; it changes the work, not the result. Columns with the same rows count once. Where rows meet in a column, what they have in common stands in both behind it, if it
+is the first that they share: pairs whose tails from there on are too short for their sizes go before anything is sent for them.
 
 Sets that are equal become one row before anything is joined. In a column of at most FEW rows these are compared with each
 other; the rows of any other are not expanded into pairs: each is tried with one centre. First by bitmaps, in which every
@@ -30,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.llm.common import HOT, join_hot, joined, mix, prepare, run_hashes, slices, text_bytes, trim, word_hashes, written
@@ -91,8 +92,9 @@ def fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def possible(n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of two lists of rows (sizes and bitmaps) the pairs that may link."""
+def possible(n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes], num: int, den: int, tails: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of two lists of rows (sizes and bitmaps; tails: n-grams from a common one on) the pairs that may link."""
+    tail, behind = tails or (n, m)
     sizes, found = [np.fromiter(map(len, b), np.int64, len(b)) for b in (bits, others)], []
     classes = [{k: (at := np.flatnonzero(s == k), np.frombuffer(b"".join([b[i] for i in at.tolist()]), np.uint8).reshape(len(at), k)) for k in np.unique(s).tolist()} for s, b in zip(sizes, (bits, others), strict=True)]
     for k, (at, a) in classes[0].items():
@@ -102,7 +104,7 @@ def possible(n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes
             x, y = fold(a, min(j, k)), fold(b, min(j, k))
             for r, i in enumerate(at.tolist()):
                 need = -(-num * (n[i] + m[of]) // (num + den))
-                some = np.flatnonzero(need <= np.minimum(n[i], m[of]))
+                some = np.flatnonzero(need <= np.minimum(tail[i], behind[of]))
                 own = y[some]
                 ok = np.bitwise_count(x[r] & ~own).sum(axis=1) <= n[i] - need[some]
                 some, own = some[ok], own[ok]
@@ -111,6 +113,12 @@ def possible(n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes
     return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ([], [])))
 
 
+def near(x: str, y: str, num: int, den: int) -> Column:
+    """Whether two rows (their prefixes: `size` and `tail`) can link with this column as the first that they share: what they
+    have in common stands in both tails. Two rows that link pass in the first column that they share."""
+    return F.least(f"{x}tail", f"{y}tail") * (num + den) >= (F.col(f"{x}size") + F.col(f"{y}size")) * num
+
+
 def product(row: np.ndarray, others: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Which of some rows of the incidence matrix (sorted sets) link with one row: the matrix product of these rows with
     that one, column block by column block. Overlaps add up, and a row goes as soon as the columns left cannot bring it
@@ -175,13 +183,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     # columns with over one in HOT of all entries are HOT at most; counted on some rows, as this only decides how rows are dealt
     some = full.where(F.pmod(F.xxhash64("id"), F.lit(SOME)) == 0).select(F.explode("sigs").alias("sig"))
     hot = some.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") * HOT > some.count()).select("sig", F.lit(True).alias("hot"))
-    members = nodes.select("node", F.explode("sigs").alias("sig")).join(F.broadcast(hot), "sig", "left")
-    salted = members.select("sig", "node", "hot", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("int").alias("salt"))
+    members = nodes.select("node", F.col("n").alias("size"), F.posexplode("sigs").alias("at", "sig")).withColumn("tail", F.col("size") - F.col("at"))
+    salted = members.join(F.broadcast(hot), "sig", "left").select("sig", "node", "size", "tail", "hot", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("int").alias("salt"))
     own = Window.partitionBy("sig", "salt")
-    buckets = salted.withColumn("first", F.min("node").over(own)).withColumn("last", F.max("node").over(own)).where("hot or first < last")
-    buckets = written(buckets.select("sig", "node", "first", "salt"), "columns")
-    rows_of = [F.count("*").alias("n"), *(F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2))]
-    once = buckets.groupBy("sig").agg(*rows_of).groupBy("n", "s0", "s1").agg(F.min("sig").alias("sig")).select("sig", "n")
+    buckets = salted.withColumn("first", F.min(F.struct("node", "size", "tail")).over(own)).withColumn("last", F.max("node").over(own)).where("hot or first.node < last")
+    buckets = written(buckets.select("sig", "node", "size", "tail", "first", "salt"), "columns")
+    rows_of = [F.count("*").alias("n"), F.sum("tail").alias("tails"), *(F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2))]
+    once = buckets.groupBy("sig").agg(*rows_of).groupBy("n", "s0", "s1").agg(F.max(F.struct("tails", "sig")).alias("x")).select("x.sig", "n")  # the first in the order
     buckets = written(join_hot(buckets, written(once, "once"), ["sig"]).withColumnRenamed("n", "rows"), "buckets")
     found = links(docs.withColumnRenamed(id_col, "node"), nodes.select("node", "n", "bits"), buckets, n, num, den, kind)
     heads = nodes.select("hi", "lo", "node")
@@ -191,7 +199,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
 
 def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
-    """Components (node, component) of the nodes in buckets (sig, rows that it has, node, and of its salt the first node), from links counted."""
+    """Components (node, component) of the nodes in buckets (sig, rows that it has, node, size, tail, and of its salt the first node), from links counted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column="_text"):
@@ -225,23 +233,27 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: in
             yield batch.select(["a", "b"]).take(pa.array(np.sort(np.concatenate([np.empty(0, np.int64), *hit]))))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pairs of small columns that may link; a column's rows follow each other."""
+        """The pairs of small columns that may link by sizes and tails; a column's rows follow each other."""
         rest = None
         for batch in batches:
             rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             sig = rows["sig"].to_numpy()
-            cuts = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist()]
-            rest = rows.slice(cuts[-1])
-            yield from pairs_of(rows, cuts)
+            cut = int(np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))[-1])
+            rest = rows.slice(cut)
+            yield from pairs_of(rows.slice(0, cut))
         if rest is not None:
-            yield from pairs_of(rest, [0, rest.num_rows])
-
-    def pairs_of(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        n, bits, out = rows["n"].to_numpy(), rows["bits"].to_pylist(), []
-        for x, y in zip(cuts, cuts[1:], strict=False):
-            out += [np.stack(possible(n[x : x + 1], bits[x : x + 1], n[x + 1 : y], bits[x + 1 : y], num, den)) + [[x], [x + 1]] for x in range(x, y - 1)]
-        p, q = np.concatenate([np.empty((2, 0), np.int64), *out], axis=1)
-        yield pa.record_batch([rows["node"].combine_chunks().take(pa.array(k)) for k in (p, q)], names=["a", "b"])
+            yield from pairs_of(rest)
+
+    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        sig, size, tail = (rows[c].to_numpy() for c in ("sig", "size", "tail"))
+        for step in range(1, FEW):
+            p = np.flatnonzero(sig[step:] == sig[:-step])
+            if not len(p):
+                break
+            q = p + step
+            ok = np.minimum(tail[p], tail[q]) * (num + den) >= num * (size[p] + size[q])
+            yield pa.record_batch([rows["node"].combine_chunks().take(pa.array(k[ok])) for k in (p, q)], names=["a", "b"])
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The sets (node, grams) of some nodes."""
@@ -260,12 +272,13 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: in
         y = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
         return pairs.where("a <> b").distinct().join(y, "b").join(x, "a").mapInArrow(screen, f"a {kind}, b {kind}")  # sorted by a
 
-    small = buckets.where(F.col("rows") <= FEW).select("sig", "node").join(nodes, "node").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(whole, f"a {kind}, b {kind}")
+    small = buckets.where(F.col("rows") <= FEW).select("sig", "node", "size", "tail").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(whole, f"a {kind}, b {kind}")
     buckets = buckets.where(F.col("rows") > FEW)
-    firsts = buckets.where("salt >= 0").select("sig", "first").distinct()  # SALTS for each hot column at most
-    centre = F.broadcast(firsts.groupBy("sig").agg(F.min("first").alias("a")))
-    pairs = buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(firsts.join(centre, "sig").select("a", F.col("first").alias("b")))
-    edges, state, open_ = written(counted(screened(pairs).unionByName(small).distinct()), "links"), None, buckets.select("sig", "node")
+    firsts = buckets.where("salt >= 0").select("sig", "first.*").distinct()  # SALTS for each hot column at most
+    centre = F.broadcast(firsts.groupBy("sig").agg(F.min(F.struct("node", "size", "tail")).alias("first")))
+    with_first = buckets.select("sig", "node", "size", "tail", "first").unionByName(firsts.join(centre, "sig"))
+    pairs = with_first.where(near("first.", "", num, den)).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    edges, state, open_ = written(counted(screened(pairs.unionByName(small))), "links"), None, buckets.select("sig", "node", "size", "tail")
     if edges.take(1):
         state = components(edges)
     for turn in range(1, ROUNDS + 1):
@@ -276,8 +289,8 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: in
         if not labelled.take(1):
             break
         if turn < ROUNDS:
-            centres = labelled.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "component")).alias("c"), F.count("*").alias("n"))
-            pairs = join_hot(labelled, written(centres, "centres"), ["sig"]).where(F.col("component") != F.col("c.component"))
+            centres = labelled.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "component", "size", "tail")).alias("c"), F.count("*").alias("n"))
+            pairs = join_hot(labelled, written(centres, "centres"), ["sig"]).where((F.col("component") != F.col("c.component")) & near("c.", "", num, den))
             new = written(counted(screened(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")))), "links")
         else:
             new = written(products(labelled, nodes, sets_of, num, den, kind), "links")
@@ -290,43 +303,49 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: in
 
 
 def products(labelled: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, kind: str) -> DataFrame:
-    """Links (a, b) across components of columns (sig, node, component) that hold several; sets gives (node, grams) for some (node).
+    """Links (a, b) across components of columns (sig, node, size, tail, component) that hold several; sets gives (node, grams) for some (node).
 
     In a column the rows outside its largest component are compared with all rows, block by block: what is shuffled
-    grows with the blocks, not with the pairs. A block keeps its rows that may link with another; of these it is then
-    sent the sets, and gives links that join its components, one less than there are at most."""
-    sizes = nodes.groupBy("node").agg(F.max("n").alias("grams"))
-    rows = written(labelled.join(sizes, "node"), "rows")
-    parts = rows.groupBy("sig", "component").agg(F.count("*").alias("size"), F.sum("grams").alias("grams"))
-    top = F.max(F.struct("size", "component", "grams")).alias("top")
-    sums = parts.groupBy("sig").agg(F.sum("size").alias("n"), F.sum("grams").alias("all"), top)
-    sized = join_hot(rows, written(sums, "sums"), ["sig"])
+    grows with the blocks, not with the pairs; a column of one block is sent once. A block keeps its rows that may link with
+    another; of these it is then sent the sets, and gives links that join its components, one less than there are at most.
+    Without size and tail in columns whole sets count as tails."""
+    if "tail" not in labelled.columns:
+        labelled = labelled.join(nodes.select("node", F.col("n").alias("size"), F.col("n").alias("tail")), "node")
+    parts = labelled.groupBy("sig", "component").agg(F.count("*").alias("rows"), F.sum("size").alias("grams"))
+    top = F.max(F.struct("rows", "component", "grams")).alias("top")
+    sums = parts.groupBy("sig").agg(F.sum("rows").alias("n"), F.sum("grams").alias("all"), top)
+    sized = join_hot(labelled, written(sums, "sums"), ["sig"])
     number = lambda n, grams: F.greatest(F.ceil(n / BLOCK), F.ceil(grams / (BLOCK * MEAN))).cast("int")
-    across, down = number(F.col("n"), F.col("all")), number(F.col("n") - F.col("top.size"), F.col("all") - F.col("top.grams"))
-    sized = written(sized.select("node", "sig", "component", F.col("top.component").alias("main"), across.alias("across"), down.alias("down")), "sized")
+    across, down = number(F.col("n"), F.col("all")), number(F.col("n") - F.col("top.rows"), F.col("all") - F.col("top.grams"))
+    sized = written(sized.select("node", "sig", "component", "size", "tail", F.col("top.component").alias("main"), across.alias("across"), down.alias("down")), "sized")
     block = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    left = sized.where("component <> main").select("node", "sig", "component", block("down").alias("i"), every("across").alias("j"), F.lit(True).alias("left"))
-    right = sized.select("node", "sig", "component", every("down").alias("i"), block("across").alias("j"), F.lit(False).alias("left"))
-
-    def pairs_of(a: pa.Table, b: pa.Table, n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        p, q = possible(n, bits, m, others, num, den)
+    own, apart = ("node", "sig", "component", "size", "tail"), F.col("component") != F.col("main")
+    # side: 0 a column's row, 1 one to compare with all, 2 both
+    one = sized.where("across = 1").select(*own, F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(apart, 2).otherwise(0).alias("side"))
+    many = sized.where("across > 1")
+    left = many.where(apart).select(*own, block("down").alias("i"), every("across").alias("j"), F.lit(1).alias("side"))
+    right = many.select(*own, every("down").alias("i"), block("across").alias("j"), F.lit(0).alias("side"))
+
+    def pairs_of(a: pa.Table, b: pa.Table, bits: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        (n, tail), (m, behind) = ([t[c].to_numpy() for c in ("size", "tail")] for t in (a, b))
+        p, q = possible(n, bits, m, others, num, den, (tail, behind))
         apart = pc.not_equal(a["component"].take(pa.array(p)), b["component"].take(pa.array(q))).to_numpy().astype(bool)
         return p[apart], q[apart]
 
     def sides(both: pa.Table) -> tuple[pa.Table, pa.Table]:
-        return both.filter(both["left"]), both.filter(pc.invert(both["left"]))
+        return both.filter(pc.greater(both["side"], 0)), both.filter(pc.not_equal(both["side"], 1))
 
     def screen(both: pa.Table) -> pa.Table:
         a, b = sides(both)
-        p, q = pairs_of(a, b, *(x for t in (a, b) for x in (t["n"].to_numpy(), t["bits"].to_pylist())))
+        p, q = pairs_of(a, b, *(t["bits"].to_pylist() for t in (a, b)))
         some = [t.take(pa.array(np.unique(at))) for t, at in ((a, p), (b, q))]
-        return pa.concat_tables(some).drop_columns(["n", "bits"])
+        return pa.concat_tables(some).drop_columns(["bits"])
 
     def multiply(both: pa.Table) -> pa.Table:
         a, b = sides(both)
         x, y = ([np.frombuffer(g.as_buffer(), np.uint64) for g in t["grams"]] for t in (a, b))
-        p, q = pairs_of(a, b, *(z for sets in (x, y) for z in (np.fromiter(map(len, sets), np.int64, len(sets)), [bitmap(g) for g in sets])))
+        p, q = pairs_of(a, b, *([bitmap(g) for g in sets] for sets in (x, y)))
         order = np.argsort(p, kind="stable")
         p, q = p[order], q[order]
         names, of = np.unique(np.concatenate([t["component"].to_numpy() for t in (a, b)]), return_inverse=True)
@@ -345,8 +364,8 @@ def products(labelled: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame],
         at = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": a["node"].take(pa.array(at[:, 0])), "b": b["node"].take(pa.array(at[:, 1]))})
 
-    keys = f"node {kind}, sig long, component {kind}, i int, j int, left boolean"
+    keys = f"node {kind}, sig long, component {kind}, size long, tail long, i int, j int, side int"
     order = [c.split()[0] for c in keys.split(", ")]
-    some = left.unionByName(right).join(nodes, "node").select(*order, "n", "bits").groupBy("sig", "i", "j").applyInArrow(screen, keys)
+    some = one.unionByName(left).unionByName(right).join(nodes.select("node", "bits"), "node").select(*order, "bits").groupBy("sig", "i", "j").applyInArrow(screen, keys)
     some = written(some.distinct(), "rows")
     return some.join(sets(some.select("node").distinct()), "node").groupBy("sig", "i", "j").applyInArrow(multiply, f"a {kind}, b {kind}").distinct()
