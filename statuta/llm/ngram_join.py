@@ -2,10 +2,13 @@
 
 Rows of the document by n-gram incidence matrix that link have, by their sizes, so many n-grams in common that they share
 one of the first few of each, whatever order the n-grams of all documents are in: of x n-grams the first x - ceil(t x) + 1.
+With EXTRA more they share 1 + EXTRA (fewer if they have fewer in common), so a row that is in EXTRA large columns at most
+meets what it links with in a small one too, and leaves the large ones.
 Those are the columns that a row is multiplied in; rows that share none are never looked at. The order puts n-grams last
 that are frequent in some of the documents (at most FREQUENT of them, broadcast), so that a passage which many documents
-share makes no candidates; it changes the work, not the result. Columns with the same rows count once. Where rows meet in a column, what they have in common stands in both behind it, if it
-is the first that they share: pairs whose tails from there on are too short for their sizes go before anything is sent for them.
+share makes no candidates; it changes the work, not the result. Columns with the same rows count once. Where rows meet in
+a column, what they have in common stands in both behind it, if it is among the first 1 + EXTRA that they share, but for
+EXTRA: pairs whose tails from there on are too short for their sizes go before anything is sent for them.
 
 Sets that are equal become one row before anything is joined. In a column of at most FEW rows these are compared with each
 other; the rows of any other are not expanded into pairs: each is tried with one centre. First by bitmaps, in which every
@@ -47,8 +50,8 @@ MEAN = 512
 SOME, SALTS = 32, 64
 #: Column blocks of a bitmap for each n-gram of its set.
 BITS = 2
-#: Columns of so many rows at most are looked at at once, whole.
-FEW = 16
+#: Columns of so many rows at most are looked at at once, whole; others are large. Columns a row beyond the first that it needs.
+FEW, EXTRA = 16, 3
 #: Bound of the n-grams that are broadcast as frequent ones.
 FREQUENT = 1 << 20
 
@@ -67,8 +70,8 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
 
 
 def prefix(grams: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first n-grams of a set, of which any set that may link with it has one among its first: rare ones by hash, then frequent ones."""
-    n = len(grams) - -(-num * len(grams) // den) + 1
+    """The first n-grams of a set, of which any set that may link with it has 1 + EXTRA, or all that both have in common, among its first: rare ones by hash, then frequent ones."""
+    n = len(grams) - -(-num * len(grams) // den) + 1 + EXTRA
     if not len(frequent):
         return grams[:n]
     last = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
@@ -113,9 +116,15 @@ def possible(n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes
     return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ([], [])))
 
 
+def tail_of(size: Column | str, place: Column | str) -> Column:
+    """N-grams of a set that may be common to a row met in a column: those from it on and EXTRA; place holds 31 bits of where it stands."""
+    size, place = (F.col(c) if isinstance(c, str) else c for c in (size, place))
+    return F.least(size, size - place.bitwiseAND(F.lit(2**31 - 1)) + EXTRA)
+
+
 def near(x: str, y: str, num: int, den: int) -> Column:
     """Whether two rows (their prefixes: `size` and `tail`) can link with this column as the first that they share: what they
-    have in common stands in both tails. Two rows that link pass in the first column that they share."""
+    have in common stands in both tails. Two rows that link pass in the first 1 + EXTRA columns that they share."""
     return F.least(f"{x}tail", f"{y}tail") * (num + den) >= (F.col(f"{x}size") + F.col(f"{y}size")) * num
 
 
@@ -183,23 +192,32 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     # columns with over one in HOT of all entries are HOT at most; counted on some rows, as this only decides how rows are dealt
     some = full.where(F.pmod(F.xxhash64("id"), F.lit(SOME)) == 0).select(F.explode("sigs").alias("sig"))
     hot = some.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") * HOT > some.count()).select("sig", F.lit(True).alias("hot"))
-    members = nodes.select("node", F.col("n").alias("size"), F.posexplode("sigs").alias("at", "sig")).withColumn("tail", F.col("size") - F.col("at"))
-    salted = members.join(F.broadcast(hot), "sig", "left").select("sig", "node", "size", "tail", "hot", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("int").alias("salt"))
+    members = nodes.select("node", F.col("n").alias("size"), F.posexplode("sigs").alias("at", "sig"))
+    salted = members.join(F.broadcast(hot), "sig", "left").select("sig", "node", F.expr("shiftleft(size, 31) + at").alias("place"), F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1).cast("int").alias("salt"))
     own = Window.partitionBy("sig", "salt")
-    buckets = salted.withColumn("first", F.min(F.struct("node", "size", "tail")).over(own)).withColumn("last", F.max("node").over(own)).where("hot or first.node < last")
-    buckets = written(buckets.select("sig", "node", "size", "tail", "first", "salt"), "columns")
+    size = F.expr("shiftright(place, 31)")  # one column is shuffled for two
+    placed = salted.withColumn("last", F.max("node").over(own)).withColumn("rows", F.count("*").over(own)).withColumn("first", F.min(F.struct("node", "place")).over(own))
+    placed = placed.where("salt >= 0 or first.node < last").withColumn("size", size).withColumn("tail", tail_of("size", "place"))
+    first_size = F.expr("shiftright(first.place, 31)")
+    first = F.struct(F.col("first.node").alias("node"), first_size.alias("size"), tail_of(first_size, "first.place").alias("tail"))
+    large = (F.col("salt") >= 0) | (F.col("rows") > FEW)
+    buckets = written(placed.select("sig", "node", "size", "tail", first.alias("first"), "salt", large.alias("large")), "columns")
+    heavy = buckets.where("large").groupBy("node").agg(F.count("*").alias("large"), F.max("size").alias("size"))
+    heavy = heavy.where((F.col("large") > EXTRA) | (F.col("large") * den >= F.col("size") * num)).select("node")
+    buckets = buckets.drop("large")
     rows_of = [F.count("*").alias("n"), F.sum("tail").alias("tails"), *(F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2))]
     once = buckets.groupBy("sig").agg(*rows_of).groupBy("n", "s0", "s1").agg(F.max(F.struct("tails", "sig")).alias("x")).select("x.sig", "n")  # the first in the order
     buckets = written(join_hot(buckets, written(once, "once"), ["sig"]).withColumnRenamed("n", "rows"), "buckets")
-    found = links(docs.withColumnRenamed(id_col, "node"), nodes.select("node", "n", "bits"), buckets, n, num, den, kind)
+    found = links(docs.withColumnRenamed(id_col, "node"), nodes.select("node", "n", "bits"), buckets, heavy, n, num, den, kind)
     heads = nodes.select("hi", "lo", "node")
     classes = heads.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id"))
     rest = rows.where("n = 0 or id is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return full.join(classes, ["hi", "lo"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id").unionByName(rest)
 
 
-def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
-    """Components (node, component) of the nodes in buckets (sig, rows that it has, node, size, tail, and of its salt the first node), from links counted."""
+def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, heavy: DataFrame, n: int, num: int, den: int, kind: str) -> DataFrame:
+    """Components (node, component) of the nodes in buckets (sig, rows that it has, node, size, tail, and of its salt the first node), from links counted;
+    heavy: the nodes that have to stay in large columns."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column="_text"):
@@ -273,7 +291,7 @@ def links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, num: in
         return pairs.where("a <> b").distinct().join(y, "b").join(x, "a").mapInArrow(screen, f"a {kind}, b {kind}")  # sorted by a
 
     small = buckets.where(F.col("rows") <= FEW).select("sig", "node", "size", "tail").repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(whole, f"a {kind}, b {kind}")
-    buckets = buckets.where(F.col("rows") > FEW)
+    buckets = written(buckets.where(F.col("rows") > FEW).join(heavy, "node", "left_semi"), "large")
     firsts = buckets.where("salt >= 0").select("sig", "first.*").distinct()  # SALTS for each hot column at most
     centre = F.broadcast(firsts.groupBy("sig").agg(F.min(F.struct("node", "size", "tail")).alias("first")))
     with_first = buckets.select("sig", "node", "size", "tail", "first").unionByName(firsts.join(centre, "sig"))
