@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.llm.byte_bpe import encoder
-from statuta.llm.common import prepare, width, written
+from statuta.llm.common import prepare, tidy, width, written
 
 _BODY = r"([^\\<\[]*(?:\\.[^\\<\[]*)*)"
 TURN = re.compile(rf"<s>\[INST\] {_BODY} \[/INST\]|<<SYS>> {_BODY} <</SYS>>|<<ROLE ((?:[^\\>]|\\.)*)>> {_BODY} <</ROLE>>| {_BODY} </s>", re.DOTALL)
@@ -93,6 +93,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"conv": batch.column("conv"), "key": pa.array(keys, pa.binary()), "nodes": pa.array(nodes, pa.list_(pa.binary())), "turns": batch.column("turns")})
 
 
+@tidy
 def build(conversations: DataFrame, conv_col: str = "conv_id", ranks: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and index.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import hashlib
 import tempfile
 import threading
@@ -84,6 +85,20 @@ def sweep(spark: SparkSession, paths: list[str], *keep: DataFrame) -> list[str]:
     return left
 
 
+def tidy(operator):
+    """An operator that, when it has its result (a DataFrame or several), deletes the scratch tables it made on the way, but for those that the result reads."""
+
+    @functools.wraps(operator)
+    def run(*args, **named):
+        before = set(scratch_tables())
+        out = operator(*args, **named)
+        frames = out if isinstance(out, tuple) else (out,)
+        sweep(frames[0].sparkSession, [p for p in scratch_tables() if p not in before], *frames)
+        return out
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.llm.common import HOT, join_hot, joined, mix, prepare, run_hashes, slices, text_bytes, trim, word_hashes, written
+from statuta.llm.common import HOT, join_hot, joined, mix, prepare, run_hashes, slices, text_bytes, tidy, trim, word_hashes, written
 from statuta.llm.components import components
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -156,6 +156,7 @@ def product(row: np.ndarray, others: list[np.ndarray], num: int, den: int) -> np
     return out
 
 
+@tidy
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per document: its id, n_shingles and component_id, the smallest id that links reach from it.
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import crc_mod, joined, mix, prepare, slices, text_bytes, trim, width, word_hashes, written
+from statuta.llm.common import crc_mod, joined, mix, prepare, slices, text_bytes, tidy, trim, width, word_hashes, written
 
 ORDER, DEALT = 5, 3
 #: Symbols: the bytes, and the end of a text, which also stands before its first byte.
@@ -319,6 +319,7 @@ def scores(texts: list[bytes], replies: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([np.add.reduceat(log[np.searchsorted(known, own)][where], first) for own, where, first in parts]) / -STEPS
 
 
+@tidy
 def language_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession

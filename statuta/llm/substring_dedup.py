@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import fresh, join_hot, joined, mix, prepare, run_hashes, slices, span_hashes, text_bytes, trim, width, word_spans, written
+from statuta.llm.common import fresh, join_hot, joined, mix, prepare, run_hashes, slices, span_hashes, text_bytes, tidy, trim, width, word_spans, written
 
 #: Words of a phrase that anchors windows: two integers of four symbols each.
 SEED, HALF = 8, 4
@@ -183,6 +183,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[Da
     return docs.join(gone, (F.col(id_col) == F.col(own)) & (F.xxhash64(text_col).bitwiseAND(F.lit(TKEY)) == F.col(key)), "left").drop(own, key), starts
 
 
+@tidy
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """One row per document: its id, n_words, n_removed and kept_sha256 (of the words that stay, joined by one space)."""
     prepare(docs.sparkSession)
@@ -205,6 +206,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     return found.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
+@tidy
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """Documents without the words that go. Untouched texts stay as they are, others are their words joined by one
     space; a document that loses its last word goes."""
