@@ -8,10 +8,9 @@ Sets that are equal become one row first. Rows that share a band make a bucket;
 of a bucket are not expanded into pairs. Each row is first tried with one other, the head of most of its buckets, by
 signature (SIGNED minima, a byte each: a bound seven deviations below what the threshold leads one to expect) and what
 passes by full sets. Links give components (alternating large and small stars). Only buckets that still hold several
-components go on: their rows of other components are tried with another head, one each. What is left after that is
-compared in blocks, of each bucket the rows outside its largest component with all its rows; blocks first keep the rows
-that may link by bitmaps and then give links that join their components. So no link is lost to a bucket's size, and
-nothing is shuffled for pairs but one pair a row and round. Rows of a hot band are dealt into SALTS parts with a head
+components go on: they are compared in blocks, the rows outside a bucket's largest component with all its rows; blocks
+first keep the rows that may link by bitmaps and then give links that join their components. So no link is lost to a
+bucket's size, and nothing is shuffled for pairs but one pair a row. Rows of a hot band are dealt into SALTS parts with a head
 each; heads are tried with the first of them.
 
 Full sets are made in one pass, only for rows that share a band: a Bloom filter of their ids (of BLOOM bits, whatever
@@ -42,6 +41,8 @@ BANDS, MISS = 64, 1e-11
 SIGNED, PIECE = 128, 4096
 #: One row in so many is looked at for hot bands; parts that the rows of a hot one are dealt into.
 SOME, SALTS = 32, 64
+#: Bits of a bitmap for each shingle of its set: pairs that fall short of 0.8 by over two hundredths show.
+BITS = 8
 #: Bits of the filter of ids that have a candidate, and bits of it that an id sets.
 BLOOM, MARKS = 1 << 26, 4
 
@@ -187,25 +188,15 @@ def linked(docs: DataFrame, nodes: DataFrame, given: DataFrame, n: int, num: int
     tried = buckets.select("node", "head").unionByName(firsts.select("node", "head")).where("head <> node")
     pairs = tried.groupBy("node").agg(F.mode("head", True).alias("a")).select("a", F.col("node").alias("b"))
     edges = written(given.unionByName(links(pairs)), "links")
-    state, open_ = components(edges), buckets.select("key", "node")
-    for turn in range(2):
-        labelled = open_.join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n")).where("p < q").select("key", "n")
-        labelled = written(join_hot(labelled, written(apart, "apart"), ["key"]).drop("n"), "open")  # buckets of one component are done
-        open_ = labelled.select("key", "node")
-        if not labelled.take(1):
-            break
-        if turn == 0:
-            centres = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("o"), "node", "component")).alias("c"), F.count("*").alias("n"))
-            tried = join_hot(labelled, written(centres, "centres"), ["key"]).where(F.col("component") != F.col("c.component"))
-            new = links(tried.groupBy("node").agg(F.mode("c.node", True).alias("a")).select("a", F.col("node").alias("b")))
-        else:
-            new = products(labelled.withColumnRenamed("key", "sig"), briefs(grams.join(open_.select("node").distinct(), "node", "left_semi"), kind), lambda wanted: grams.join(wanted, "node"), num, den, kind)
-        new = written(new, "links")
-        if new.take(1):
-            edges = edges.unionByName(new)
-            state = components(edges)
-    return state
+    state = components(edges)
+    labelled = buckets.select("key", "node").join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = labelled.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n")).where("p < q").select("key", "n")
+    labelled = written(join_hot(labelled, written(apart, "apart"), ["key"]).select(F.col("key").alias("sig"), "node", "component"), "open")  # buckets of one component are done
+    if not labelled.take(1):
+        return state
+    rest = written(grams.join(labelled.select("node").distinct(), "node", "left_semi"), "rest")
+    new = written(products(labelled, briefs(rest, kind), lambda wanted: rest.join(wanted, "node"), num, den, kind), "links")
+    return components(edges.unionByName(new)) if new.take(1) else state
 
 
 def briefs(grams: DataFrame, kind: str) -> DataFrame:
@@ -214,6 +205,6 @@ def briefs(grams: DataFrame, kind: str) -> DataFrame:
     def brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in batch.column("grams")]
-            yield pa.record_batch({"node": batch.column("node"), "n": pa.array(map(len, sets), pa.int64()), "bits": pa.array([bitmap(s) for s in sets], pa.binary())})
+            yield pa.record_batch({"node": batch.column("node"), "n": pa.array(map(len, sets), pa.int64()), "bits": pa.array([bitmap(s, BITS) for s in sets], pa.binary())})
 
     return written(grams.mapInArrow(brief, f"node {kind}, n long, bits binary"), "briefs")

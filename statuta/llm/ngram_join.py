@@ -79,9 +79,9 @@ def prefix(grams: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.nd
     return np.concatenate((rare, grams[last][: n - len(rare)]))
 
 
-def bitmap(grams: np.ndarray) -> bytes:
-    """A bit for each of 2**k column blocks (by the first bits of the n-grams) that has n-grams of a set; at least BITS blocks for each."""
-    k = max(6, (BITS * len(grams) - 1).bit_length())
+def bitmap(grams: np.ndarray, bits: int = BITS) -> bytes:
+    """A bit for each of 2**k column blocks (by the first bits of the n-grams) that has n-grams of a set; at least so many blocks for each."""
+    k = max(6, (bits * len(grams) - 1).bit_length())
     out = np.zeros(1 << k, bool)
     out[grams >> np.uint64(64 - k)] = True
     return np.packbits(out).tobytes()
