@@ -2,17 +2,19 @@
 
 ``spark.read.format("portal")`` takes the option ``fetcher``, a name in FETCHERS: how addresses become bytes. The one
 built in are ``folder`` (offline files) and ``http`` (options ``token`` and ``timeout``). A partition belongs to one host;
-where a host has several, each takes its part of the host's rate. Failures are retried with doubled waits, then the row
-carries the error and the others go on. ``spark.read.format("listing")`` reads listings page by page, until one is short;
+where a host has several, each takes its part of the host's rate, of which every try takes a token. Failures are retried with
+doubled waits, then the row carries the error and the others go on. ``spark.read.format("listing")`` reads listings page by page, until one is short;
 ``fetched`` adds what was fetched to rows that have an address, such as those of ``listings.requests``.
 """
 
 from __future__ import annotations
 
 import functools
+import http.client
 import json
 import os
 import time
+import urllib.error
 import urllib.request
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -27,6 +29,8 @@ from statuta.sources.listings import until_short
 
 #: Requests a second, tries and seconds to wait for an answer.
 RATE, TRIES, TIMEOUT = 2.0, 3, 30
+#: Answers with which a request may be made again though they are among those that blame it; the longest wait that an answer can ask for.
+AGAIN, LONGEST = (408, 425, 429), 60.0
 RAW = "url string, host string, format string, content binary, error string"
 
 
@@ -59,14 +63,27 @@ def host_of(url: str) -> str:
     return url.split("/")[2] if "://" in url else "local"
 
 
-def retried(fetch: Callable[[str], bytes], url: str, tries: int = TRIES, wait: float = 0.05, sleep=time.sleep) -> bytes:
+def retried(fetch: Callable[[str], bytes], url: str, tries: int = TRIES, wait: float = 0.05, sleep=time.sleep, take: Callable[[], None] | None = None) -> bytes:
+    """What is fetched, with doubled waits between tries; ``take`` is called before each one. All that can be wrong with an
+    address or an answer is an OSError. An answer that says that the request is wrong is not asked for again; one that says
+    when to come again (up to LONGEST seconds) is believed."""
     for n in range(tries):
+        if take:
+            take()
+        pause = wait * 2**n
         try:
             return fetch(url)
-        except OSError:
-            if n == tries - 1:
+        except urllib.error.HTTPError as e:
+            if n == tries - 1 or (400 <= e.code < 500 and e.code not in AGAIN):
                 raise
-            sleep(wait * 2**n)
+            after = (e.headers or {}).get("Retry-After") or ""
+            pause = max(pause, min(float(after), LONGEST)) if after.isdigit() else pause
+        except (OSError, http.client.HTTPException, ValueError) as e:
+            if isinstance(e, ValueError | http.client.InvalidURL) and not isinstance(e, OSError):
+                raise OSError(f"{type(e).__name__}: {e}") from e
+            if n == tries - 1:
+                raise e if isinstance(e, OSError) else OSError(f"{type(e).__name__}: {e}") from e
+        sleep(pause)
     raise ValueError("tries must be at least 1")
 
 
@@ -134,9 +151,8 @@ class PortalReader(DataSourceReader):
     def read(self, page: Page) -> Iterator[tuple]:
         bucket, breaker, fetch = TokenBucket(page.rate), CircuitBreaker(), fetcher(self.options)
         for url in page.urls:
-            bucket.take()
             try:
-                content = breaker.call(retried, fetch, url)
+                content = breaker.call(functools.partial(retried, take=bucket.take), fetch, url)
                 yield url, page.host, sniff(content[:64]), content, None
             except OSError as e:
                 yield url, page.host, None, None, f"{type(e).__name__}: {e}"
@@ -153,8 +169,7 @@ class ListingReader(PortalReader):
         bucket, breaker, fetch = TokenBucket(page.rate), CircuitBreaker(), fetcher(self.options)
 
         def rows(offset: int, limit: int) -> list:
-            bucket.take()
-            found = json.loads(breaker.call(retried, fetch, page.urls[0].replace("{offset}", str(offset)).replace("{limit}", str(limit))))
+            found = json.loads(breaker.call(functools.partial(retried, take=bucket.take), fetch, page.urls[0].replace("{offset}", str(offset)).replace("{limit}", str(limit))))
             for name in filter(None, self.options.get("items", "").split(".")):
                 found = found[name]
             return found
@@ -191,8 +206,7 @@ def fetched(requests: DataFrame, url: str = "url", rate: float = RATE, **options
                 bucket, breaker = hosts.setdefault(host_of(address or ""), (TokenBucket(rate), CircuitBreaker()))
                 content = error = None
                 try:
-                    bucket.take()
-                    content = breaker.call(retried, fetch, address or "")
+                    content = breaker.call(functools.partial(retried, take=bucket.take), fetch, address or "")
                 except OSError as e:
                     error = f"{type(e).__name__}: {e}"
                 contents.append(content)
@@ -216,5 +230,8 @@ class PortalSource(DataSource):
 
 
 def register(spark) -> None:
+    from statuta.sources.discover import DiscoverSource
+
     spark.dataSource.register(PortalSource)
     spark.dataSource.register(ListingSource)
+    spark.dataSource.register(DiscoverSource)
