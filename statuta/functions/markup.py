@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -82,6 +83,10 @@ def content_node(root: Node) -> Node:
 
 
 def clean_text(html: str) -> str:
+    return lines_of(Tree(html).root)
+
+
+def lines_of(node: Node) -> str:
     """Text of all elements but noise, a line each; empty lines and runs of spaces squeezed."""
     parts: list[str] = []
 
@@ -93,7 +98,7 @@ def clean_text(html: str) -> str:
             elif child.tag not in NOISE:
                 walk(child)
 
-    walk(Tree(html).root)
+    walk(node)
     return re.sub(" +", " ", re.sub(r"\n\s*\n", "\n\n", "\n".join(parts))).strip()
 
 
@@ -207,9 +212,47 @@ def xml_document(xml: str) -> tuple[str, str]:
     return title, content.strip()
 
 
+#: Where a portal's page has its law, first match; elements and classes of its sections, their numbers and titles.
+LAW_AT = ("div.law-content", "div.content", "main", "article")
+SECTION_TAGS, SECTION_CLASS = ("section", "div"), "section|paragraph|article"
+NUMBER_TAGS, NUMBER_CLASS = ("h2", "h3", "h4", "span"), "number|num"
+TITLE_TAGS, TITLE_CLASS = ("h2", "h3", "h4"), "title|heading"
+
+
+def classed(node: Node, tags: tuple[str, ...], pattern: str) -> Iterator[Node]:
+    """Elements below a node with one of these names and a class that the pattern is in, in order; also those inside each other."""
+    return (n for n in node.walk() if n is not node and n.tag in tags and re.search(pattern, n.attrs.get("class", "")))
+
+
+def law_node(root: Node) -> Node | None:
+    for rule in LAW_AT:
+        tag, _, name = rule.partition(".")
+        for node in root.walk():
+            if node.tag == tag and (not name or name in node.attrs.get("class", "").split()):
+                return node
+    return None
+
+
+def sections_by_class(root: Node) -> list[dict[str, str]]:
+    """Sections of a law's page: elements that are sections by their class, each with number, title and all its text."""
+    out = []
+    for node in classed(law_node(root) or root, SECTION_TAGS, SECTION_CLASS):
+        number, title = next(classed(node, NUMBER_TAGS, NUMBER_CLASS), None), next(classed(node, TITLE_TAGS, TITLE_CLASS), None)
+        out.append({"number": clean(number) if number else "", "title": clean(title) if title else "", "text": lines_of(node)})
+    return out
+
+
 def structured(html: str) -> dict:
-    """Title, CELEX number and the sections of a portal page: every heading with the text up to the next one."""
+    """Title, CELEX number, sections and the whole text of the law on a portal's page.
+
+    Sections are elements that say so by their class; on a page without any, every heading with the text up to the next one."""
     tree = Tree(html).root
+    found = _structured(html, tree)
+    law = law_node(tree)
+    return found | {"sections": sections_by_class(tree) or found["sections"], "full_text": lines_of(law) if law else ""}
+
+
+def _structured(html: str, tree: Node) -> dict:
     title = next((clean(n) for n in tree.walk() if n.tag == "h1" and clean(n)), "") or next((clean(n) for n in tree.walk() if n.tag == "title"), "")
     sections, number = [], 0
     for node in content_node(tree).walk():
@@ -275,9 +318,9 @@ def xml_text(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["title", "content", "error"])
 
 
-@batched("struct<title:string,celex:string,sections:array<struct<number:string,title:string,text:string>>>")
+@batched("struct<title:string,celex:string,sections:array<struct<number:string,title:string,text:string>>,full_text:string>")
 def html_sections(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([structured(x or "") for x in html], columns=["title", "celex", "sections"])
+    return pd.DataFrame([structured(x or "") for x in html], columns=["title", "celex", "sections", "full_text"])
 
 
 def html_title(html: Column) -> Column:

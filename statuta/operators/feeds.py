@@ -88,6 +88,19 @@ def latencies(samples: DataFrame, group: str, value: str, failed: Column, accura
     )
 
 
+def latency_sketches(samples: DataFrame, group: str, value: str, failed: Column, *batch: str, k: int = 800) -> DataFrame:
+    """Of each group and batch a row that can be kept and merged with others: counts, and a KLL sketch of the values, whose
+    size does not follow their number (k 800: ranks off by about 0.004)."""
+    return samples.groupBy(group, *batch).agg(F.count("*").alias("n"), F.count_if(failed).alias("n_failed"), F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged_latencies(sketches: DataFrame, group: str) -> DataFrame:
+    """Requests, p50, p95 and share of errors of each group from the rows of all its batches. Groups without a value have null percentiles."""
+    merged = sketches.groupBy(group).agg(F.sum("n").alias("n"), F.sum("n_failed").alias("_failed"), F.kll_merge_agg_double("sketch").alias("_all"))
+    at = lambda q: F.when(F.kll_sketch_get_n_double("_all") > 0, F.kll_sketch_get_quantile_double("_all", F.lit(q)))
+    return merged.select(group, "n", at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.col("_failed") / F.col("n"), 6).alias("error_rate"))
+
+
 def corpus_counts(**tables: DataFrame) -> DataFrame:
     """One row with the number of rows of each table."""
     parts = [df.agg(F.count("*").alias(name)) for name, df in tables.items()]

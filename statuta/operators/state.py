@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -80,6 +80,15 @@ def run_totals(classified: DataFrame, source: str) -> DataFrame:
     return classified.rollup(source).agg(*(c.alias(k) for k, c in count.items()))
 
 
+def written_run(classified: DataFrame, path: str) -> dict[str, int]:
+    """Write the rows of a crawl and count them in the same pass: the counters of ``run_totals`` for all sources, and no second job."""
+    seen = Observation()
+    status = {"n_new": "new", "n_updated": "updated", "n_unchanged": "unchanged"}
+    counts = [F.count(F.lit(1)).alias("discovered"), *(F.count_if(F.col("status") == s).alias(name) for name, s in status.items())]
+    classified.observe(seen, *counts).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def inserted(table: DataFrame, **values) -> tuple[DataFrame, DataFrame]:
     """The table with one row more, and that row; columns not given are null."""
     row = table.sparkSession.range(1).select(*(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in table.schema))

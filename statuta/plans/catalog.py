@@ -552,10 +552,16 @@ def sessions(spark, sf_dir):
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("q48")
-def resource_tables(spark, sf_dir):
-    """The domains of the corpus, a constant table."""
-    return schema.resources(spark)
+@query(
+    "q48",
+    """SELECT doc_id, kind, kind IN ('law', 'regulation') AS known, CASE kind WHEN 'law' THEN 'Legislative acts (Gesetze)' WHEN 'regulation' THEN 'Regulatory acts (Verordnungen)' END AS description
+FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'law' WHEN 1 THEN 'regulation' ELSE lang END AS kind FROM documents)""",
+)
+def described_documents(spark, sf_dir):
+    """Documents with the description of their type from the table of domains, and whether it is one."""
+    domain = schema.resources(spark).where("domain = 'document_type'").select(F.col("name").alias("kind"), "description")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr("CASE doc_id % 3 WHEN 0 THEN 'law' WHEN 1 THEN 'regulation' ELSE lang END").alias("kind"))
+    return docs.join(search.small(domain), "kind", "left").select("doc_id", "kind", schema.in_domain("kind", "document_type").alias("known"), "description")
 
 
 @query("q49", "SELECT p_partkey, CASE WHEN NOT starts_with(p_type, 'ECONOMY') THEN 'unsupported' WHEN p_size = 1 THEN 'empty' WHEN octet_length((repeat('x', p_size))::BLOB) > 30 THEN 'too large' ELSE 'accepted' END AS status FROM part")
