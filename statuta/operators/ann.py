@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,9 +18,12 @@ FIT_ROWS = 20_000
 
 
 def fit(chunks: DataFrame, key: str, cells: int, rounds: int = 10, column: str = "embedding") -> np.ndarray:
-    """Spherical k-means on a bounded sample, chosen by a hash of the key; centroids of unit length."""
+    """Spherical k-means on a bounded sample, chosen by a hash of the key; centroids of unit length. The sample's most common length counts."""
     rows = chunks.where(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).limit(FIT_ROWS).select(column).collect()
-    x = np.array([r[0] for r in rows], np.float64)
+    widths = Counter(len(r[0]) for r in rows if r[0])
+    width = widths.most_common(1)[0][0] if widths else 0
+    x = np.array([r[0] for r in rows if len(r[0]) == width and None not in r[0]], np.float64).reshape(-1, width)
+    x = x[np.isfinite(x).all(axis=1)]
     size = np.linalg.norm(x, axis=1)
     x = x[size > 0] / size[size > 0, None]
     centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]

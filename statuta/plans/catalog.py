@@ -423,7 +423,33 @@ def article(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", markup.article_text(F.col("html")).alias("text"))
 
 
-@query("q39_markdown")
+def _sql_unescaped(x: str) -> str:
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{sign}')"
+    return x
+
+
+def _sql_pieces(x: str, cut: str, trimmed: str, between: str) -> str:
+    """A text cut at a pattern, its pieces trimmed, empty ones left out."""
+    return f"array_to_string(list_filter(list_transform(string_split_regex({x}, '{cut}'), lambda x: {trimmed}), lambda x: x <> ''), {between})"
+
+
+def _sql_markdown() -> str:
+    """Pages have one article of headings and paragraphs; bold text is never closed, so it is bold only where no paragraph follows."""
+    inner = r"regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<b>([^<]*)(<br>)?$', '**\1**')"
+    inner = f"replace(regexp_replace({inner}, '<(b|br)>', '', 'g'), '<h1>', '</p># ')"
+    return _sql_unescaped(_sql_pieces(inner, "</?(p|h1)>", r"trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'))", "chr(10) || chr(10)"))
+
+
+def _sql_page_text() -> str:
+    page = "html"
+    for tag in ("script", "style", "nav", "header", "footer"):
+        page = f"regexp_replace({page}, '(?s)<{tag}[ >].*?</{tag}>', '<>', 'g')"
+    page = f"regexp_replace({page}, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '<>', 'g')"
+    return f"regexp_replace({_sql_unescaped(_sql_pieces(page, '<[^>]*>', 'trim(x, chr(32) || chr(9) || chr(10) || chr(13))', 'chr(10)'))}, ' +', ' ', 'g')"
+
+
+@query("q39_markdown", f"SELECT page_id, {_sql_markdown()} AS markdown, {_sql_page_text()} AS text, NULL::VARCHAR AS error FROM pages")
 def page_markdown(spark, sf_dir):
     """Parsed pages as Markdown and as clean text, with a status for each row."""
     pages = read(spark, sf_dir, "pages").select("page_id", markup.html_markdown("html").alias("m"), markup.html_text("html").alias("t"))

@@ -13,7 +13,7 @@ from statuta.functions import chunk as ch
 from statuta.functions import markup, vector
 from statuta.functions import text as tx
 from statuta.operators import search, state
-from statuta.plans.catalog import query, read
+from statuta.plans.catalog import _sql_markdown, query, read
 from statuta.sources import listings, objects
 
 
@@ -112,11 +112,11 @@ def sections_of_portals(spark, sf_dir):
     return parts.select("doc_id", "title", "celex", F.col("p.number").alias("number"), F.col("p.title").alias("section"), F.col("p.text").alias("text"), "whole")
 
 
-@query("q61", "SELECT page_id, '# ' || rtrim(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS first_line FROM pages")
+@query("q61", f"SELECT page_id, md5('# ' || url || chr(10) || chr(10) || '---' || chr(10) || chr(10) || {_sql_markdown()} || chr(10) || chr(10) || '- [' || page_id || '](/p)') AS digest FROM pages")
 def pages_to_markdown(spark, sf_dir):
-    """The whole page goes through the parser; its first line is the heading of the article."""
-    pages = read(spark, sf_dir, "pages").withColumn("m", markup.html_markdown(F.col("html")))
-    return pages.select("page_id", F.substring_index("m.text", "\n", 1).alias("first_line"))
+    """Whole pages under another heading and a rule, with a list of links behind them."""
+    html = F.concat(joined("<h1>", "{url}", "</h1><hr>"), F.regexp_extract("html", "(?s)<article[^>]*>(.*)</article>", 1), joined('</b></b></b></b></b></b></b><ul><li><a href="/p">', "{page_id}", "</a></li></ul>"))
+    return read(spark, sf_dir, "pages").withColumn("m", markup.html_markdown(html)).select("page_id", F.md5("m.text").alias("digest"))
 
 
 @query("q62", "SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 THEN text ELSE '# ' || source || chr(10) || chr(10) || text END) AS digest FROM documents")
@@ -138,15 +138,22 @@ def paragraphs(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", F.md5("content").alias("digest"), "tokens", "reference")
 
 
+_SOLID = r"regexp_replace(text, '[ \t\n\r\f\v]+', '', 'g')"
+
+
 @query(
     "q64",
-    """SELECT doc_id, md5(regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) AS digest, ceil(length(regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) / 4)::BIGINT AS tokens
-FROM documents WHERE regexp_matches(text, '[^ \t\n\r\f\v]') AND ceil(length(regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) / 4) <= 512""",
+    f"""SELECT doc_id, md5({_SOLID}) AS digest, true AS bounded, true AS numbered, n <= 128 AS whole, CASE WHEN n <= 128 THEN n END AS tokens
+FROM (SELECT *, ceil(length(regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) / 4)::BIGINT AS n FROM documents) WHERE {_SOLID} <> ''""",
 )
-def short_documents(spark, sf_dir):
-    """Texts that are one chunk for the bounded chunker; what it does to longer ones is tested against its bounds."""
-    docs = read(spark, sf_dir, "documents").withColumn("c", ch.semantic(512)(F.col("text")))
-    return docs.where(F.size("c") == 1).select("doc_id", F.md5(F.col("c")[0]["content"]).alias("digest"), F.col("c")[0]["tokens"].alias("tokens"))
+def bounded_chunks(spark, sf_dir):
+    """Whole texts, most of which split: chunks within the bound, none empty, and together all that is not white space; texts within the bound are one chunk."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", ch.semantic(128)(F.col("text")).alias("c"))
+    solid = F.regexp_replace(F.array_join(F.transform("c", lambda x: x["content"]), ""), r"[ \t\n\r\f\x0b]+", "")
+    fits = F.forall("c", lambda x: (x["tokens"] <= 128) & (F.length(F.trim(x["content"])) > 0))
+    sizes = F.forall("c", lambda x: x["tokens"] == F.ceil(F.char_length(x["content"]) / 4))
+    whole = F.size("c") == 1
+    return rows.where(F.size("c") > 0).select("doc_id", F.md5(solid).alias("digest"), fits.alias("bounded"), sizes.alias("numbered"), whole.alias("whole"), F.when(whole, F.col("c")[0]["tokens"]).alias("tokens"))
 
 
 @query(

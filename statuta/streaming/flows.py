@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from statuta.functions import chunk as ch
 from statuta.functions import text as tx
-from statuta.operators import state
+from statuta.operators import layout, state
 
 
 def tumbling(events: DataFrame, time: str, size: str, late: str, *keys: str, value: str = "value") -> DataFrame:
@@ -65,7 +65,8 @@ def run_now(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
 class Ingest:
     """A sink for streams of documents (doc_id, source, text): classify by digest, chunk what changed, embed, number
     versions, write. Each batch writes a folder of its own per table, so a batch that is repeated writes the same
-    files again; current tables are what the newest batches say. Rows without text or id go to ``rejected``; chunks that
+    files again. The last version of each document stands in a table in hash parts beside the log of all versions: a batch
+    reads and writes the parts of its documents, however long the log is. Rows without text or id go to ``rejected``; chunks that
     the embedder gave no vector go to ``dead``, and ``retried`` tries those again. Of rows that share an id in a batch the
     one with the least text counts."""
 
@@ -81,9 +82,20 @@ class Ingest:
             raise
         return found if before is None else found.where(F.col("batch") < before)
 
-    def current(self, spark, before: int | None = None) -> DataFrame | None:
-        log = self.table(spark, "versions", before)
-        return None if log is None else log.groupBy("doc_id").agg(F.max_by("content_hash", "version_number").alias("content_hash"), F.max("version_number").alias("version_number"))
+    def current(self, spark, before: int | None = None, of: DataFrame | None = None) -> DataFrame | None:
+        """The last version of each document (doc_id, content_hash, version_number); ``of``: rows whose documents' parts alone are read.
+
+        A row knows what it replaced and in which batch, so a batch that is repeated sees what it saw before."""
+        if self.table(spark, "current") is None:
+            return None
+        rows = layout.read(spark, f"{self.path}/current")
+        if of is not None:
+            parts = [r[0] for r in of.select(layout.part_of("doc_id", layout.PARTS)).distinct().collect()]  # PARTS at most
+            rows = rows.where(F.col("part").isin(parts))
+        if before is None:
+            return rows.select("doc_id", "content_hash", "version_number")
+        again = F.col("batch") >= before
+        return rows.select("doc_id", F.when(again, F.col("old_hash")).otherwise(F.col("content_hash")).alias("content_hash"), F.when(again, F.col("version_number") - 1).otherwise(F.col("version_number")).alias("version_number")).where("version_number > 0")
 
     def chunks(self, spark) -> DataFrame:
         """Chunks of the current version of each document."""
@@ -103,10 +115,11 @@ class Ingest:
         put(rows.withColumn("error", bad).where("error is not null").select("doc_id", "error"), "rejected")
         least = rows.where("doc_id is not null and text <> ''").groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("x"))
         good = least.select("doc_id", "x.source", "x.text").withColumn("content_hash", tx.content_hash(F.col("text")))
-        now = self.current(spark, batch)
+        now = self.current(spark, batch, good)
         if now is None:
             now = spark.createDataFrame([], good.select("doc_id", "content_hash").schema).withColumn("version_number", F.lit(0).cast("long"))
-        status = state.classify(good, now, ["doc_id"]).join(now.select("doc_id", "version_number"), "doc_id", "left").persist()
+        before = now.select("doc_id", "version_number", F.col("content_hash").alias("old_hash"))
+        status = state.classify(good, now, ["doc_id"]).join(before, "doc_id", "left").persist()
         put(state.run_totals(status, "source"), "runs")
         changed = status.where("status <> 'unchanged'").withColumn("version_number", (F.coalesce("version_number", F.lit(0)) + 1).cast("long"))
         put(changed.select("doc_id", "version_number", "content_hash", "text"), "versions")
@@ -115,6 +128,11 @@ class Ingest:
             parts = parts.withColumn("embedding", self.embed(F.col("content"))).persist()
             put(parts.where("embedding is null").drop("embedding"), "dead")
         put(parts, "chunks")
+        last = changed.select("doc_id", "content_hash", "version_number", "old_hash", F.lit(batch).cast("long").alias("batch"))
+        if self.table(spark, "current") is None:
+            layout.write(last, "doc_id", f"{self.path}/current")
+        else:
+            layout.replace(spark, f"{self.path}/current", "doc_id", last, last)
         parts.unpersist()
         status.unpersist()
         rows.unpersist()

@@ -80,8 +80,8 @@ class _Current(StatefulProcessor):
         digest, version = self.last.get() if self.last.exists() else (None, 0)
         batch = pd.concat(list(rows)).sort_values(["micros", "row"])
         out = []
-        for row, new in zip(batch["row"].tolist(), batch["digest"].tolist(), strict=True):
-            status = "new" if not version else "unchanged" if new == digest else "updated"
+        for row, new in zip(batch["row"].tolist(), batch["digest"].astype(object).where(batch["digest"].notna(), None).tolist(), strict=True):
+            status = "new" if not version else "unchanged" if digest is not None and new == digest else "updated"
             if status != "unchanged":
                 digest, version = new, version + 1
             out.append((key[0], row, status, version))
