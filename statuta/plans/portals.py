@@ -6,14 +6,15 @@ what must come out.
 
 from __future__ import annotations
 
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from statuta import schema
+from statuta import schema, service
 from statuta.functions import chunk as ch
-from statuta.functions import markup, vector
+from statuta.functions import embed, markup, vector
 from statuta.functions import text as tx
 from statuta.operators import search, state
-from statuta.plans.catalog import _sql_markdown, query, read
+from statuta.plans.catalog import _CLASSIFIED, _sql_markdown, classified, query, read
 from statuta.sources import listings, objects
 
 
@@ -249,3 +250,82 @@ def rows_without_parent(spark, sf_dir):
     """Versions whose document is gone with its source."""
     left = read(spark, sf_dir, "documents").where("source <> 'src3'")
     return state.orphans(read(spark, sf_dir, "events"), "user_id", left, "doc_id").select("user_id", "event_id")
+
+
+def counted_letters(texts: list[str]) -> list[list[float] | None]:
+    """A model of two dimensions, for checking: characters, and letters e among them; a blank text has no vector."""
+    return [[float(len(t)), float(t.count("e"))] if t.strip() else None for t in texts]
+
+
+@query(
+    "q88",
+    r"""SELECT doc_id, CASE WHEN regexp_matches(t, '[^ \t\n\r\f\v]') THEN length(t)::DOUBLE END AS chars, CASE WHEN regexp_matches(t, '[^ \t\n\r\f\v]') THEN (length(t) - length(replace(t, 'e', '')))::DOUBLE END AS es, 0.0::DOUBLE AS zero, false AS scored
+FROM (SELECT doc_id, substr(CASE WHEN doc_id % 10 = 0 THEN repeat(text, 20) WHEN doc_id % 10 = 1 THEN ' ' ELSE text END, 1, 20000) AS t FROM documents)""",
+)
+def vectors_of_texts(spark, sf_dir):
+    """Vectors stay with their texts, in batches; long texts are cut for the model; blank ones have none; those of a service without a model are zeros, which never score."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 10 = 0 THEN repeat(text, 20) WHEN doc_id % 10 = 1 THEN ' ' ELSE text END").alias("t"))
+    rows = docs.select("doc_id", embed.embed(F.col("t"), counted_letters, 2).alias("v"), embed.embed(F.col("t"), embed.Zeros(2), 2).alias("z"))
+    total = F.aggregate("z", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", F.col("v")[0].cast("double").alias("chars"), F.col("v")[1].cast("double").alias("es"), total.alias("zero"), F.coalesce(vector.score(F.col("z"), [1.0, 2.0]), F.lit(None)).isNotNull().alias("scored"))
+
+
+_LINES = r"(SELECT doc_id, generate_subscripts(l, 1) AS pos, regexp_replace(unnest(l), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS p FROM (SELECT doc_id, string_split('Art. 7 - ' || lang || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS l FROM documents))"
+
+
+def _lines() -> Column:
+    return F.concat(F.lit("Art. 7 - "), "lang", F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))
+
+
+@query("q89", f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS chunk_index, md5(p) AS digest FROM {_LINES} WHERE length(p) >= 50")
+def paragraphs_from_fifty(spark, sf_dir):
+    """The variant that keeps paragraphs of fifty characters too, and cuts none."""
+    rows = ch.exploded(read(spark, sf_dir, "documents"), ch.paragraphs(_lines(), longer_than=49, cut=None), "doc_id")
+    return rows.select("doc_id", "chunk_index", F.md5("content").alias("digest"))
+
+
+@query("q90", f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS chunk_index, md5(p) AS digest, CASE WHEN starts_with(p, 'Art.') THEN p END AS reference FROM {_LINES} WHERE p <> ''")
+def all_paragraphs(spark, sf_dir):
+    """The variant without a bound, whose reference is the whole first line."""
+    rows = ch.exploded(read(spark, sf_dir, "documents"), ch.paragraphs(_lines(), longer_than=0, cut=None, whole_line=True), "doc_id")
+    return rows.select("doc_id", "chunk_index", F.md5("content").alias("digest"), "reference")
+
+
+_RUN_AT = "timestamp'2024-05-01 10:00:00'"
+
+
+@query(
+    "q91",
+    f"""SELECT source AS id, 'completed' AS status, count(*)::INTEGER AS docs_discovered, (count(*) FILTER (status = 'new'))::INTEGER AS docs_new, (count(*) FILTER (status = 'updated'))::INTEGER AS docs_updated, NULL::VARCHAR AS error_message FROM ({_CLASSIFIED}) WHERE source IN ('src1', 'src2') GROUP BY source
+UNION ALL SELECT 'src9', 'failed', NULL, NULL, NULL, 'no answer'""",
+)
+def log_of_runs(spark, sf_dir):
+    """The run log after two crawls that ended and one that failed; counters of a crawl are those of its source."""
+    now, rows, log = F.expr(_RUN_AT), classified(spark, sf_dir), schema.empty(spark, "crawl_runs")
+    for source in ("src1", "src2", "src9"):
+        log = state.started(log, source, source, now)
+    for source in ("src1", "src2"):
+        log = state.finished(log, source, state.run_totals(rows.where(F.col("source") == source), "source").where("source is not null"), now)
+    log = state.finished(log, "src9", state.run_totals(rows.where("false"), "source").where("source is null"), now, "no answer")
+    return log.select("id", "status", *(F.when(F.col("status") == "completed", F.col(c)).alias(c) for c in ("docs_discovered", "docs_new", "docs_updated")), "error_message")
+
+
+@query("q92", "SELECT c_custkey, CASE WHEN c_custkey = 7 THEN '2024-05-01 10:00:00' END AS used FROM customer")
+def key_that_was_used(spark, sf_dir):
+    people = read(spark, sf_dir, "customer").select("c_custkey", F.sha2("c_name", 256).alias("key_hash"), F.lit(None).cast("timestamp").alias("last_used_at"))
+    return service.touch(people, "Customer#000000007", F.expr(_RUN_AT)).select("c_custkey", F.date_format("last_used_at", "yyyy-MM-dd HH:mm:ss").alias("used"))
+
+
+@query("q93", "SELECT vec_id FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings) ORDER BY score DESC, vec_id LIMIT 50")
+def page_of_at_most_fifty(spark, sf_dir):
+    """A page larger than allowed is cut to the largest, and an offset before the first hit is none."""
+    chunks = read(spark, sf_dir, "embeddings")
+    return search.search(chunks, search.vector_of(chunks, "vec_id", 0), "vec_id", limit=5000, offset=-3).select("vec_id")
+
+
+@query("q94", "SELECT turn, md5(text) AS digest, n FROM (SELECT turn, text, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INTEGER AS n FROM conversations) WHERE conv_id % 5 = 0")
+def children_in_order(spark, sf_dir):
+    """Children of documents from the last to the first, with their place in the listing."""
+    log = state.number_versions(read(spark, sf_dir, "conversations").where("conv_id % 5 = 0"), "conv_id", ["turn"], "text")
+    place = F.max("version_number").over(Window.partitionBy("conv_id")) - F.col("version_number") + 1
+    return log.select("turn", F.md5("text").alias("digest"), place.cast("int").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Column lists as Spark DDL. Embeddings are plain arrays; their length is a parameter and is checked.
+#: Tables, columns, unique keys and parents as users know them. Column lists as Spark DDL. Embeddings are plain arrays; their length is a parameter and is checked.
 TABLES = {
     "sources": "id string, name string, jurisdiction string, language string, base_url string, crawler_type string, cron_schedule string, config_json string, credentials_enc binary, enabled boolean, created_at timestamp, updated_at timestamp",
     "documents": "id string, source_id string, external_id string, url string, title string, content_md string, summary string, doc_type string, jurisdiction string, language string, published_at timestamp, effective_at timestamp, content_hash string, object_key string, metadata_json string, created_at timestamp, updated_at timestamp",
