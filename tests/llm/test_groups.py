@@ -34,7 +34,7 @@ def groups(rows):
 
 
 def joined(df):
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(df).collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(df, n=3, num=90).collect()}
 
 
 @pytest.mark.parametrize("few", [1, 16])
@@ -59,7 +59,7 @@ def test_join_exhausts_pairs_that_no_centre_linked(frame, monkeypatch):
 
 def test_join_edges(frame):
     assert joined(frame([])) == {} and joined(frame([(4, None)])) == {4: (0, 4)}
-    got = ngram_join.similar(frame([(2, "a b c d"), (2, "a b c d"), (1, "a b c d"), (None, "a b c d")])).collect()
+    got = ngram_join.similar(frame([(2, "a b c d"), (2, "a b c d"), (1, "a b c d"), (None, "a b c d")]), n=3, num=90).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in got if r.doc_id) == [(1, 1), (2, 1), (2, 1)]
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
