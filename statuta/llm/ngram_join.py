@@ -15,7 +15,7 @@ other; the rows of any other are not expanded into pairs: each is tried with one
 column block with n-grams of a row is a bit: each bit that the other row lacks is an n-gram that is missing, and over the
 bound that follows from the sizes the pair goes. What is left is multiplied column block by column block, where overlaps
 add up and a row goes as soon as the columns left cannot bring it to the bound. Rows that link form components, and only
-columns that still hold several components go on, with another centre. What is left then is taken column by column in
+columns that still hold several components go on (with another centre, where ROUNDS allows more turns), column by column in
 blocks of BLOCK rows, those outside the largest component with all, in the same two steps; a block gives links that join
 its components, not all that there are. So every component is exact, near copies cost a few candidates for each row, and
 beyond columns of FEW rows no pair is shuffled but those with a centre. The rows of a hot column are dealt into SALTS parts
@@ -42,8 +42,8 @@ from statuta.llm.components import components
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _LEVEL = np.uint64(0x165667B19E3779F9)
-#: Rounds of one centre a column; then rows of a block, and columns of one step, of the blocked matrix product.
-ROUNDS, BLOCK, COLUMNS = 2, 2048, 8192
+#: Turns over the columns that still hold several components, the last of them by blocks; then rows of a block, and columns of one step, of the blocked matrix product.
+ROUNDS, BLOCK, COLUMNS = 1, 2048, 8192
 #: N-grams a row in a block: of longer texts it has fewer rows, so that its sets take 8 bytes x BLOCK x MEAN a side.
 MEAN = 512
 #: One row in so many is looked at for frequent n-grams and hot columns; parts that the rows of a hot one are dealt into.
