@@ -71,7 +71,7 @@ def test_probing_goes_on_until_a_page_is_full(spark, vectors, tmp_path):
     full = ann.probe_filtered(cells, centres, query, "id", rare, 1)
     assert plain.count() < 10 <= full.count() and full.where(~rare).count() == 0
     few = F.col("id").isin(3, 77, 1500)
-    assert ann.probe_filtered(cells, centres, query, "id", few, 1).collect() == search.search(chunks, query, "id", few).select("id", "score").collect() or {r.id for r in ann.probe_filtered(cells, centres, query, "id", few, 1).collect()} == {3, 77, 1500}
+    assert {r.id for r in ann.probe_filtered(cells, centres, query, "id", few, 1).collect()} == {3, 77, 1500}
     assert ann.probe_filtered(cells, centres, query, "id", F.lit(False)).count() == 0
     assert ann.centres_of(spark, str(tmp_path / "nothing")) is None
 
@@ -88,7 +88,7 @@ def test_lists_give_what_a_scan_gives(spark, tmp_path, monkeypatch):
     for query in ("blue anvil", "law of the sea", "zzz", "x"):
         for least in (0.2, 0.3, 0.8, 1.0):
             want = {(r.id, r.likeness) for r in feeds.similar_titles(table, "title", query, least).collect()}
-            assert {(r.id, r.likeness) for r in postings.similar_titles(table, "id", "title", index, query, least).select("id", postings_likeness()).collect()} == want
+            assert {(r.id, r.likeness) for r in postings.similar_titles(table, "id", "title", index, query, least).select("id", "likeness").collect()} == want
     plan = postings.lists_of(index, ["  b", "sea"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [folder" in plan and "In(gram" in plan
     postings.write(table, "id", F.array_distinct(F.split("title", " ")), str(tmp_path / "words"))
@@ -97,10 +97,6 @@ def test_lists_give_what_a_scan_gives(spark, tmp_path, monkeypatch):
     assert postings.opened(spark, str(tmp_path / "no")) is None
 
 
-def postings_likeness():
-    return F.col("likeness")
-
-
 def test_parts_that_are_not_touched_keep_their_files(spark, tmp_path):
     path = str(tmp_path / "t")
     layout.write(spark.range(200).select("id", (F.col("id") % 7).alias("x")), "id", path, 16)
@@ -113,7 +109,7 @@ def test_parts_that_are_not_touched_keep_their_files(spark, tmp_path):
     assert got == sorted([(i, i % 7) for i in range(200) if i not in (3, 4)] + [(4, 99), (4, 98), (900, 1)])
     assert [tuple(r) for r in layout.lookup(spark, path, "id", [900, 3], 16).collect()] == [(900, 1)]
     layout.remove(spark, path, "id", layout.read(spark, path).select("id"), 16)
-    assert not files() and layout.replace(spark, str(tmp_path / "t"), "id", keys.limit(0), None, 16) == [] if files() else True
+    assert not files()
     assert [d for d in os.listdir(tmp_path) if ".next-" in d] == []
 
 
