@@ -3,8 +3,9 @@
 1. Each block of documents (bounded text) lists its pre-tokens by position and its distinct pre-tokens. A block
    sends each distinct pre-token, once, to the bucket of its hash: packed, one message per block and bucket.
 2. A bucket encodes each distinct pre-token once, whatever number of blocks sent it, and answers the blocks, message by
-   message, with the ids in their order. It holds its own distinct pre-tokens and one batch of messages; how many buckets
-   there are follows from the size of the corpus.
+   message, with the ids in their order. It holds its own distinct pre-tokens, up to KNOWN (in a bucket with more, some are
+   encoded again), and one batch of messages. How many buckets there are follows from the size of the corpus, up to BUCKETS:
+   a block sends at most that many messages, so their number grows as the number of blocks does.
 3. Answers and position lists, which took the same way, meet by block; documents are put together by position. Decoding
    joins the ids of each distinct pre-token of a block with the token-byte table, whose size the vocabulary fixes.
 
@@ -42,6 +43,8 @@ from statuta.llm.common import prepare, trim, width
 BLOCK_BYTES = 16_000_000
 #: Text bytes of the corpus for each bucket.
 BUCKET_BYTES = 250_000_000
+#: The most buckets, and the most pre-tokens whose ids a bucket holds.
+BUCKETS, KNOWN = 4096, 2_000_000
 #: A pre-token never reaches across the start of a run of white space, so these pieces are split one by one.
 PIECES = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: White space outside that class: such texts are split whole.
@@ -156,6 +159,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, patte
         yield first, block
 
 
+def bucket_count(size: int) -> int:
+    """Buckets for a corpus of so many bytes."""
+    return max(64, min(BUCKETS, -(-size // BUCKET_BYTES)))
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -203,7 +211,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = pa.list_(docs.limit(0).toArrow().schema.field(id_col).type)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    buckets, parts = max(64, -(-size // BUCKET_BYTES)), max(width(spark), min(10_000, -(-size // BUCKET_BYTES)))
+    buckets, parts = bucket_count(size), max(width(spark), min(10_000, -(-size // BUCKET_BYTES)))
 
     def rows(block: int, mark: bytes, bucket: list[int], body: list[bytes], ids=None, lens=None, bucket_of=None) -> pa.RecordBatch:
         n = len(bucket)
@@ -236,6 +244,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     at = bucket
                     known.clear()
                 words = unpack(body)
+                if len(known) + len(words) > KNOWN:
+                    known.clear()
                 for w in words:
                     if w not in known:
                         known[w] = np.array(enc._encode_single_piece(w), "<u4")

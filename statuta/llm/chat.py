@@ -8,7 +8,7 @@ attend to besides the node itself: those of its ancestors, merged where they tou
 Depth-first order is the order of the paths, so distinct conversations are ranged by their path of turn hashes;
 a node belongs to the first conversation that has it. Places are running sums within a range over the ranges'
 totals. No tree is ever in one task: a first turn that a third of all conversations share is one node and many
-ranges. Copies of a conversation are one path.
+ranges, and joins with that node are cut into parts. Copies of a conversation are one path.
 
 Template: ``<s>[INST] text [/INST]`` for user, `` text </s>`` for assistant, ``<<SYS>> text <</SYS>>`` for system and
 ``<<ROLE name>> text <</ROLE>>`` for others. In texts (and names) a backslash stands before every backslash, ``<``
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.llm.byte_bpe import encoder
-from statuta.llm.common import prepare, tidy, width, written
+from statuta.llm.common import join_salted, prepare, tidy, width, written
 
 _BODY = r"([^\\<\[]*(?:\\.[^\\<\[]*)*)"
 TURN = re.compile(rf"<s>\[INST\] {_BODY} \[/INST\]|<<SYS>> {_BODY} <</SYS>>|<<ROLE ((?:[^\\>]|\\.)*)>> {_BODY} <</ROLE>>| {_BODY} </s>", re.DOTALL)
@@ -134,7 +134,7 @@ def build(conversations: DataFrame, conv_col: str = "conv_id", ranks: str | None
     running = Window.partitionBy("part").orderBy("g", "depth").rowsBetween(Window.unboundedPreceding, -1)
     places = tokens.select("node", "g", "depth", "n", part.alias("part")).withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
     places = written(places.join(bases, "part").select("node", F.col("g").alias("owner"), (F.col("base") + F.col("before")).alias("start"), "n"), "places")
-    routes = steps.select("g", "depth", "node").join(places, "node").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "start", "n", "owner"))).alias("steps"))
+    routes = join_salted(steps.select("g", "depth", "node"), places, ["node"], "g").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "start", "n", "owner"))).alias("steps"))
 
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,12 +159,13 @@ def build(conversations: DataFrame, conv_col: str = "conv_id", ranks: str | None
     return nodes, talks.select(F.col("conv").alias(conv_col), "nodes")
 
 
+@tidy
 def read_back(nodes: DataFrame, index: DataFrame, conv_col: str = "conv_id", ranks: str | None = None) -> DataFrame:
     """One row per conversation, from the emitted nodes alone: digests of its turns and of the text under the loss mask."""
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = index.schema[conv_col].dataType.simpleString()
     steps = index.select(F.col(conv_col).alias("conv"), F.posexplode("nodes").alias("at", "node"))
-    rows = steps.join(nodes.select("node", "token_ids", "loss_from", "loss_to"), "node")
+    rows = join_salted(steps, nodes.select("node", "token_ids", "loss_from", "loss_to"), ["node"], "conv")
     talks = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "token_ids", "loss_from", "loss_to"))).alias("parts"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,9 @@
 
 The model is a trie of byte contexts up to ORDER long, read from the last byte backwards, with all n-grams of all training
 texts: it grows with the corpus, and no worker holds it whole. A node with its symbol is one number, whose digits are
-the path, so sorted numbers are the trie in depth-first order. The subtrees below depth DEALT are dealt into buckets by the
-hash of their root; what is above (at most SYMBOLS**(DEALT+1) numbers, whatever the corpus) is counted beforehand and
-broadcast. In a context, escape has the weight of the number of different symbols (method C); after an escape these are
+the path, so sorted numbers are the trie in depth-first order. The subtrees from depth DEALT on are dealt into buckets by the
+hash of their root; what is above (at most SYMBOLS**DEALT numbers of 16 bytes, 272 MB, whatever the corpus) is counted beforehand
+and broadcast. In a context, escape has the weight of the number of different symbols (method C); after an escape these are
 excluded and the rest of the shorter context's distribution is scaled up.
 
 1. Blocks of documents list their distinct n-grams and words with the counts in training texts, packed by bucket.
@@ -12,7 +12,8 @@ excluded and the rest of the shorter context's distribution is scaled up.
    own subtrees only, and one subtree has at most SYMBOLS**(ORDER-DEALT+1) numbers.
 3. Each bucket answers the blocks, message by message, and blocks score their documents.
 
-How many buckets there are follows from the size of the corpus, so that a task reads about the same whatever the size.
+How many buckets there are follows from the size of the corpus, up to BUCKETS: a block sends at most that many messages of
+each kind, so their number grows as the number of blocks does. Beyond, a bucket grows with the distinct n-grams of its subtrees.
 Every text has a positive probability; it ends with a symbol of its own, so texts of all lengths share one
 distribution. ``adaptive`` gives the code length that a model pays which learns from the text itself alone.
 
@@ -39,8 +40,8 @@ ORDER, DEALT = 5, 3
 END, SYMBOLS = 256, 257
 #: Text bytes of a block, and of the part of one that is scored at a time; n-grams that are held before they are added up.
 BLOCK_BYTES, PART, HELD = 8_000_000, 500_000, 800_000
-#: Text bytes of the corpus for each bucket; steps of a logarithm as it travels.
-BUCKET_BYTES, STEPS = 250_000_000, 2.0**40
+#: Text bytes of the corpus for each bucket, and the most buckets of words, and of n-grams; steps of a logarithm as it travels.
+BUCKET_BYTES, BUCKETS, STEPS = 250_000_000, 8192, 2.0**40
 
 
 def codes(texts: list[bytes]) -> np.ndarray:
@@ -70,6 +71,11 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return codes, np.bincount(where, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
+def bucket_count(size: int) -> int:
+    """Buckets for a corpus of so many bytes."""
+    return max(64, min(BUCKETS, -(-size // BUCKET_BYTES)))
+
+
 def dealt(code: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of a number: by the root of its subtree."""
     return (mix((code // SYMBOLS ** (ORDER - DEALT + 1)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -183,7 +189,7 @@ def gather(docs: DataFrame, kind: str, buckets: int) -> DataFrame:
             code, n = added(held)
             held.clear()
             yield packed(GRAMS, code, n, dealt(code, buckets), buckets)
-            top[:] = [added([*top, (cut(code[n > 0], DEALT), n[n > 0])])]
+            top[:] = [added([*top, (cut(code[n > 0], DEALT - 1), n[n > 0])])]
             texts = block["texts"]
             yield rows(DOCS, number, [-1], [zstandard.compress(b"".join(texts), 3)], [squeeze(np.fromiter(map(len, texts), np.int64, len(texts)))], block["ids"])
 
@@ -226,7 +232,7 @@ def word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def trie_top(gathered: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The trie down to depth DEALT, by the length of contexts."""
+    """The trie above depth DEALT, by the length of contexts."""
 
     def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +241,7 @@ def trie_top(gathered: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 
     sums = gathered.where(F.col("kind") == TOP).select("body", "extra").mapInArrow(expanded, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     code, n = sums["code"].to_numpy().astype(np.int64), sums["n"].to_numpy().astype(np.int64)
-    return [added([(cut(code, k, DEALT), n)]) for k in range(DEALT + 1)]
+    return [added([(cut(code, k, DEALT - 1), n)]) for k in range(DEALT)]
 
 
 MODEL = "bucket int, block long, body binary, extra binary, tokens long, kinds long"
@@ -256,7 +262,7 @@ def model(gathered: DataFrame, buckets: int, parts: int) -> DataFrame:
                 sums, value = (int(n.sum()), int((n > 0).sum())), n
             else:
                 seen = code[n > 0], n[n > 0]
-                below = [added([(cut(seen[0], k), seen[1])]) for k in range(DEALT + 1, ORDER)]
+                below = [added([(cut(seen[0], k), seen[1])]) for k in range(DEALT, ORDER)]
                 sums, value = (0, 0), np.round(-STEPS * logs(code, [*sent.value, *below, seen])).astype(np.int64)
             row = at, -1, code.astype("<i8").tobytes(), value.astype("<i8").tobytes(), *sums
             types = pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
@@ -329,7 +335,7 @@ def language_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     train = crc_mod(F.col(id_col), folds) != fold
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
     n_train, size = docs.agg(F.count_if("train"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets, parts = max(64, -(-size // BUCKET_BYTES)), max(width(spark), min(10_000, -(-size // BUCKET_BYTES)))
+    buckets, parts = bucket_count(size), max(width(spark), min(10_000, -(-size // BUCKET_BYTES)))
     gathered = gather(docs, kind, buckets)
     known = model(gathered, buckets, parts)
     tokens, kinds = known.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()

@@ -38,6 +38,26 @@ def test_conversations_come_back_exactly(spark):
         at += len(r.token_ids)
 
 
+def test_first_turn_that_all_share(spark):
+    """One turn before all others, whole conversations that repeat, and an answer of a million characters."""
+    rows = [(c, t, role, text) for c in range(3000) for t, role, text in ((0, "system", "be kind"), (1, "user", f"q{c % 1500}"))] + [(9999, 0, "assistant", "long </s> " * 100_000)]
+    nodes, index = chat.build(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert nodes.count() == 1502 and nodes.where("depth = 1 AND size(ancestors) = 1").count() == 1500
+    got = {r.conv_id: r for r in chat.read_back(nodes, index).collect()}
+    assert len(got) == 3001 and got[9999].loss_chars == 1_000_000
+    assert all(got[c].turns_sha256 == hashlib.sha256(f"system\nbe kind\nuser\nq{c % 1500}\n".encode()).hexdigest() for c in range(3000))
+
+
+def test_hot_keys_are_joined_in_parts(spark):
+    from statuta.llm.common import join_salted
+
+    rows = spark.range(5000).selectExpr("id AS g", "CASE WHEN id % 3 = 0 THEN id ELSE -1 END AS k")
+    others = spark.range(-1, 6000).selectExpr("id AS k", "id * 2 AS v")
+    got = join_salted(rows, others, ["k"], "g")
+    assert sorted(map(tuple, got.select("g", "k", "v").collect())) == [(g, k, 2 * k) for g in range(5000) for k in [g if g % 3 == 0 else -1]]
+    assert sum("salt" in c for c in got.columns) == 0 and join_salted(rows.limit(0), others, ["k"], "g").count() == 0
+
+
 def test_no_conversations(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(*chat.build(df)).count() == 0

@@ -114,6 +114,21 @@ def test_scores_are_those_of_a_slow_model_with_all_ngrams(frame, edges, corpus,
         assert r.score == pytest.approx(score((dict(rows)[r.doc_id] or "").encode()), rel=1e-8), r.doc_id
 
 
+def test_messages_grow_with_the_blocks(frame, monkeypatch):
+    """Ten times the text sends ten times the messages, once there are as many buckets as there may be."""
+    for name, value in (("BLOCK_BYTES", 5_000), ("BUCKET_BYTES", 1_000), ("BUCKETS", 100)):
+        monkeypatch.setattr(ppm, name, value)
+    rng, sent = random.Random(2), []
+    for n in (60, 600):
+        rows = [(i, "".join(rng.choices("abcdefgh ", k=2_000))) for i in range(n)]
+        docs = frame(rows).selectExpr("doc_id AS id", "text", "true AS train").coalesce(1)
+        gathered = ppm.gather(docs, "bigint", ppm.bucket_count(n * 2_000))
+        sent.append(gathered.where(gathered["kind"].isin(ppm.WORDS, ppm.GRAMS)).count())
+        top = ppm.trie_top(gathered)
+        assert len(top) == ppm.DEALT and len(top[-1][0]) <= 10**ppm.DEALT  # what is broadcast: nine letters and the end
+    assert sent[1] <= 11 * sent[0]
+
+
 def test_model_probabilities_sum_to_one_and_follow_the_texts():
     texts = [b"abracadabra", b"abba", b""]
     score, p = slow_ppm(texts)

@@ -109,6 +109,14 @@ def test_byte_bpe_round_trip(frame, edges, corpus, encoding):
     assert byte_bpe.encode_decode(frame([])).count() == 0
 
 
+def test_full_buckets_and_small_blocks_change_nothing(frame, corpus, encoding, monkeypatch):
+    for name, value in (("BLOCK_BYTES", 5_000), ("BUCKET_BYTES", 100), ("BUCKETS", 70), ("KNOWN", 3)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    assert byte_bpe.bucket_count(10**9) == 70 and byte_bpe.bucket_count(0) == 64
+    for r in byte_bpe.encode_decode(frame(corpus), digests=False).collect():
+        assert r.token_ids == encoding.encode_ordinary(dict(corpus)[r.doc_id])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab1' \n\t\r\xa0\u3000é.-s\x1c"), max_size=40))
 def test_pieces_split_like_the_whole(encoding, text):
