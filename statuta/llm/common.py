@@ -130,16 +130,19 @@ def join_salted(rows: DataFrame, others: DataFrame, keys: list[str], spread: str
     """Rows joined with others (at most a row a key, of any size) without a task that gets all rows of a hot key.
 
     A key with over one in HOT of all rows is cut into as many parts as its share of the shuffle's partitions, by the column
-    ``spread``; its row of others is sent to each part. That is at most HOT + width rows more, and only hot keys are broadcast."""
-    spark = rows.sparkSession
-    rows_n, salt, cuts = rows.count(), fresh(rows.columns + others.columns, "salt"), fresh(rows.columns + others.columns, "cuts")
+    ``spread``; its row of others is sent to each part. That is at most HOT + width rows more, and only hot keys are broadcast.
+    The other keys meet by a plain join, so others that lie by key already stay where they are."""
+    total, salt, cuts = rows.count(), fresh(rows.columns + others.columns, "salt"), fresh(rows.columns + others.columns, "cuts")
     n = fresh(keys, "n")
-    hot = rows.groupBy(*keys).agg(F.count("*").alias(n)).where(F.col(n) * HOT > rows_n)
-    hot = F.broadcast(written(hot.select(*keys, F.ceil(F.col(n) * width(spark) / F.lit(max(rows_n, 1))).cast("int").alias(cuts)), "hot"))
-    parts = F.coalesce(cuts, F.lit(1))
-    left = rows.join(hot, keys, "left").withColumn(salt, F.pmod(F.xxhash64(spread), parts).cast("int")).drop(cuts)
-    right = others.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop(cuts)
-    return left.join(right, [*keys, salt]).drop(salt)
+    share = F.ceil(F.col(n) * width(rows.sparkSession) / F.lit(max(total, 1))).cast("int")
+    hot = written(rows.groupBy(*keys).agg(F.count("*").alias(n)).where(F.col(n) * HOT > total).select(*keys, share.alias(cuts)), "hot")
+    if hot.isEmpty():
+        return rows.join(others, keys)
+    hot = F.broadcast(hot)
+    left = rows.join(hot, keys).withColumn(salt, F.pmod(F.xxhash64(spread), cuts).cast("int")).drop(cuts)
+    right = others.join(hot, keys).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(cuts) - 1))).drop(cuts)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(others, keys)
+    return rest.unionByName(left.join(right, [*keys, salt]).drop(salt))
 
 
 def width(spark: SparkSession) -> int:
