@@ -271,6 +271,49 @@ def test_every_item_with_the_subsequence_is_found(frame, spark):
     assert got == want and len(want) >= 100
 
 
+@pytest.mark.parametrize("few", [{"QUERIES": 3, "HALVES": 2, "HITS": 5}, {"ITEMS": 4}, {"ITEM_BYTES": 400}])
+def test_blocks_and_passes_change_nothing(frame, leaks, monkeypatch, few):
+    rows, bench, want = leaks
+    for name, n in few.items():
+        monkeypatch.setattr(decontaminate, name, n)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(rows), bench).collect()} == want
+
+
+def test_documents_are_read_once_for_all_items(spark, frame, monkeypatch):
+    rng = random.Random(14)
+    words = [f"u{i}" for i in range(3000)]
+    items = [" ".join(rng.choices(words, k=12)) for _ in range(5000)]
+    passes, run = [], decontaminate.search
+    monkeypatch.setattr(decontaminate, "search", lambda *x: passes.append(len(x[1].ids)) or run(*x))
+    rows = [(i, " ".join(rng.choices(words, k=60)) + " " + items[i * 50]) for i in range(100)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.leaks(frame(rows), bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i * 50) for i in range(100)} and passes == [5000]
+
+
+def test_items_in_a_very_long_text(frame, leaks):
+    rows, bench, want = leaks
+    text = " ".join("x y z and the".split() * 150_000)
+    held = [rows[60 + 2 * k][1] for k in range(12)]
+    got = decontaminate.leaks(frame([(7, " ".join([text, *held, text])), (8, text)]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(7, k) for k in range(12)}
+
+
+@pytest.mark.parametrize("hits", [3, 10**6])
+def test_windows_are_those_of_a_count(monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = np.random.default_rng(3)
+    for size, words, n in ((1, 2, 4), (5, 6, 9), (9, 12, 40)):
+        holds = rng.random((words, size)) < 0.4
+        reach, bounds = rng.integers(1, 4, size), rng.integers(1, 6, size)
+        at, where = rng.integers(0, words, 5 * n), np.sort(rng.integers(0, n, 5 * n))
+        pairs = np.array([w * size + i for w, i in zip(*np.nonzero(holds), strict=True)], np.int64)
+        items = decontaminate.Items(*[range(size) if f == "ids" else pairs if f == "pairs" else bounds if f == "bounds" else None for f in decontaminate.Items._fields])
+        got = decontaminate.windows(items, reach, at, where, n, 0, size).tolist()
+        want = [p * size + i for p in range(n) for i in range(size) if sum(holds[w, i] and p - reach[i] <= h <= p + 1 + reach[i] for w, h in zip(at, where, strict=True)) >= bounds[i]]
+        assert sorted(got) == want
+
+
 def test_benchmark_edges(spark, frame, edges):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(frame(edges), empty).count() == 0
