@@ -42,6 +42,8 @@ END, SYMBOLS = 256, 257
 BLOCK_BYTES, PART, HELD = 8_000_000, 500_000, 800_000
 #: Text bytes of the corpus for each bucket, and the most buckets of words, and of n-grams; steps of a logarithm as it travels.
 BUCKET_BYTES, BUCKETS, STEPS = 250_000_000, 8192, 2.0**40
+#: Low bits of such a logarithm, which are added up by themselves.
+HALF = 20
 
 
 def codes(texts: list[bytes]) -> np.ndarray:
@@ -322,7 +324,10 @@ def scores(texts: list[bytes], replies: np.ndarray, buckets: int) -> np.ndarray:
     known = np.unique(np.concatenate([own for own, _, _ in parts]))
     log = np.empty(len(known), np.int64)
     log[parted(dealt(known, buckets), buckets)[0]] = replies
-    return np.concatenate([np.add.reduceat(log[np.searchsorted(known, own)][where], first) for own, where, first in parts]) / -STEPS
+    high, low = (  # two sums a text, as one of whole steps overflows on a very long text
+        np.concatenate([np.add.reduceat(x[np.searchsorted(known, own)][where], first) for own, where, first in parts]) for x in (log >> HALF, log & (1 << HALF) - 1)
+    )
+    return (high * float(1 << HALF) + low) / -STEPS
 
 
 @tidy
