@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -104,34 +104,52 @@ def current(rows: DataFrame, document: str, time: str, row: str, digest: str) ->
 
 
 class _Windows(StatefulProcessor):
-    """Of a key the open windows, with counts; rows of windows that have closed come out as late, one by one."""
+    """Of a key the open windows, with counts, in one value and with one timer: a batch reads and writes a key's state once.
+    Rows of windows that have closed come out as late, one by one."""
 
     def __init__(self, size: int):
         self.size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "start long", "n long")
+        self.open = handle.getValueState("open", "starts array<long>, counts array<long>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        starts = batch["micros"] // self.size * self.size
-        behind = starts + self.size <= mark
-        out = [(key[0], "late", start, 1) for start in starts[behind].tolist()]
-        for start, n in starts[~behind].value_counts().items():
-            had = self.counts.getValue((start,))[0] if self.counts.containsKey((start,)) else 0
-            self.counts.updateValue((start,), (had + int(n),))
-            if not had:
-                self.handle.registerTimer((start + self.size) // 1000)
-        yield pd.DataFrame(out, columns=["key", "kind", "start", "n"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.size
-        if self.counts.containsKey((start,)):
-            n = self.counts.getValue((start,))[0]
-            self.counts.removeKey((start,))
-            yield pd.DataFrame([(key[0], "window", start, n)], columns=["key", "kind", "start", "n"])
+        had = self.open.get()
+        counts = dict(zip(*had, strict=True)) if had else {}
+        first = min(counts, default=None)
+        for row in rows:
+            if row.micros is None:  # no time, no window
+                continue
+            start = row.micros // self.size * self.size
+            if start + self.size <= mark:
+                yield Row(key=key[0], kind="late", start=start, n=1)
+            else:
+                counts[start] = counts.get(start, 0) + 1
+        self.put(counts, first)
+
+    def put(self, counts: dict[int, int], first: int | None) -> None:
+        """Keep these windows; the timer, which is at the end of the window that was the first, goes to that of the first one."""
+        if counts:
+            self.open.update((list(counts), list(counts.values())))
+            if (least := min(counts)) != first:
+                if first is not None:
+                    self.handle.deleteTimer((first + self.size) // 1000)
+                self.handle.registerTimer((least + self.size) // 1000)
+        elif first is not None:
+            self.open.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        had = self.open.get()
+        counts = dict(zip(*had, strict=True)) if had else {}
+        closed = [start for start in counts if start + self.size <= mark]
+        for start in closed:
+            yield Row(key=key[0], kind="window", start=start, n=counts.pop(start))
+        self.put(counts, None)  # a timer that expired is gone
+        if closed and not counts:
+            self.open.clear()
 
     def close(self) -> None:
         pass
@@ -145,4 +163,4 @@ def windows_and_late(events: DataFrame, key: str, time: str, seconds: int, late:
     prepare(events.sparkSession)
     kind = events.schema[key].dataType.simpleString()
     stamped = events.select(F.col(key).alias("key"), F.col(time).cast("timestamp").alias("at")).withWatermark("at", late).select("key", F.unix_micros("at").alias("micros"))
-    return stamped.groupBy("key").transformWithStateInPandas(_Windows(seconds * 1_000_000), f"key {kind}, kind string, start long, n long", "Append", "EventTime")
+    return stamped.groupBy("key").transformWithState(_Windows(seconds * 1_000_000), f"key {kind}, kind string, start long, n long", "Append", "EventTime")
