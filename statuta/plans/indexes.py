@@ -16,7 +16,7 @@ _NEAR = """SELECT q.vec_id AS query, e.vec_id AS key, round(list_cosine_similari
 
 def _index(spark, sf_dir) -> str:
     """The graphs of the vectors of this folder; written by the first query that wants them."""
-    return graph.ensured(read(spark, sf_dir, "embeddings"), "vec_id", f"{shared(spark)}/vector-graphs")
+    return graph.ensured(read(spark, sf_dir, "embeddings"), "vec_id", f"{shared(spark)}/vector-graphs-reached")
 
 
 @query("q78", f"SELECT query, count(*) AS n_hits, arg_min(key, rank) AS nearest, true AS recall_of_9_in_10 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM ({_NEAR})) WHERE rank <= 10 GROUP BY query")
