@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,13 +125,28 @@ def bpe_sizer(path: str, pattern: str) -> Callable[[str], int]:
 def semantic(most: int = 512, overlap: int = 0, sizer: Callable[[str], int] = quarter):
     """A function column -> array of content and tokens, cut by ``bounded`` in Arrow batches."""
 
-    @F.pandas_udf("array<struct<content:string,tokens:long>>")
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"content": c, "tokens": sizer(c)} for c in bounded(t or "", most, sizer, overlap)] for t in text])
+    kind = pa.list_(pa.struct([("content", pa.string()), ("tokens", pa.int64())]))
+
+    @F.arrow_udf("array<struct<content:string,tokens:long>>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            for texts in pieces(part):
+                yield pa.array([[(c, sizer(c)) for c in bounded(t or "", most, sizer, overlap)] for t in texts.to_pylist()], kind)
 
     return run
 
 
+def pieces(texts: pa.Array, most: int = 1_000_000) -> Iterator[pa.Array]:
+    """Texts cut so that those of one piece take about so many bytes; a longer text is a piece of its own."""
+    at, total = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if total and total + n > most:
+            yield texts.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    yield texts.slice(at)
+
+
 def exploded(docs: DataFrame, chunks: Column, *keep: str, index: str = "chunk_index") -> DataFrame:
     """A row for each chunk, numbered from 0 in each document, with the columns to keep."""
     return docs.select(*keep, F.posexplode(chunks).alias(index, "_chunk")).select(*keep, index, "_chunk.*" if _is_struct(docs, chunks) else F.col("_chunk").alias("content"))
