@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,21 +47,20 @@ def embed(text: Column, embedder: Callable[[list[str]], list], dim: int, batch:
     """Vectors of texts, each cut to what the model takes; a batch that fails gives null, not zero, vectors.
     A vector of another length is an error, as it would spoil every comparison."""
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts, out = [(t or "")[:most] for t in part], []
-            for i in range(0, len(texts), batch):
+            for i in range(0, len(part), batch):  # only the texts of one call are Python's
+                texts = [t or "" for t in part.slice(i, batch).to_pylist()]
                 try:
-                    got = embedder(texts[i : i + batch])
+                    got = embedder(texts)
                 except (OSError, RuntimeError):
-                    got = [None] * len(texts[i : i + batch])
+                    got = [None] * len(texts)
                 if any(v is not None and len(v) != dim for v in got):
                     raise ValueError(f"expected vectors of {dim} dimensions")
-                out += got
-            yield pd.Series(out)
+                yield pa.array(got, pa.list_(pa.float32()))
 
-    return run(text)
+    return run(F.substring(text, 1, most))  # cut before it is sent
 
 
 def embed_one(embedder: Callable[[list[str]], list], text: str) -> list[float]:
