@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import fresh, join_hot, joined, mix, prepare, run_hashes, slices, span_hashes, text_bytes, tidy, trim, width, word_spans, written
+from statuta.llm.common import fresh, join_hot, joined, mix, prepare, run_hashes, scratch_tables, slices, span_hashes, sweep, text_bytes, tidy, trim, width, word_spans, written
 
 #: Words of a phrase that anchors windows: two integers of four symbols each.
 SEED, HALF = 8, 4
@@ -125,12 +125,14 @@ def removals(docs: DataFrame, window: int = 50) -> DataFrame:
             yield pa.record_batch({"id": batch.column("id"), "tkey": batch.column("tkey"), "n": pa.array(map(len, words), pa.int64()), "words": pa.array(keys, pa.binary()), "anchors": pa.ListArray.from_arrays(pa.array(lens, pa.int32()), values)}).filter(pa.array([len(w) >= window for w in words]))
         trim()
 
+    before = set(scratch_tables())
     heads = written(docs.select("id", "tkey", "text").mapInArrow(sketch, f"id {kind}, tkey long, n long, words binary, anchors array<struct<p:long,q:long>>"), "anchors")
     total = heads.agg(F.sum("n")).first()[0] or 0
     block = F.pmod(F.xxhash64("id", "tkey"), F.lit(-(-total // BLOCK_WORDS) or 1)).cast("int").alias("block")
     firsts = heads.groupBy("words").agg(F.min(F.struct("id", "tkey", "anchors")).alias("x"), F.count("*").alias("n"))
     firsts = written(firsts.select("words", "n", "x.*").withColumn("block", block), "firsts")
     copies = join_hot(heads.select("words", "id", "tkey"), firsts.where("n > 1").select("words", "n", F.col("id").alias("first")), ["words"]).where("id > first")
+    copies = written(copies.select("id", "tkey"), "copies")
     marks = firsts.select("block", F.explode("anchors").alias("y")).select("block", "y.p", "y.q")
     recurring = marks.groupBy("p", "q").agg(F.count("*").alias("n")).where("n > 1")  # a text has each of its anchors once
     sent = join_hot(marks, written(recurring, "phrases"), ["p", "q"]).select("block", "p", "q")
@@ -155,6 +157,7 @@ def removals(docs: DataFrame, window: int = 50) -> DataFrame:
     texts = texts.join(firsts.select("block", "id", "tkey").repartition(n, "block"), ["block", "id", "tkey"], "left_semi").dropDuplicates(["block", "id", "tkey"])
     found = texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(locate, f"id {kind}, spot long, a long, b int")
     found = written(found, "windows")
+    sweep(spark, [p for p in scratch_tables() if p not in before], docs, found, copies)  # anchors and phrases have done their work
     owners = written(found.groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "owners")
     gone = join_hot(found, owners, ["a", "b"]).where("id > first")
     gone = gone.select("id", F.shiftright("spot", 32).alias("tkey"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"))
