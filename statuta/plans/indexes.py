@@ -46,7 +46,7 @@ def rare_filter(spark, sf_dir):
 def titles_by_lists(spark, sf_dir):
     """Titles like a query, from the lists of its trigrams."""
     parts = read(spark, sf_dir, "part")
-    index = postings.ensured(parts, "p_partkey", tx.trigrams(F.col("p_name")), f"{shared(spark)}/title-trigrams", ann.version_of(parts))
+    index = postings.ensured(parts, "p_partkey", tx.trigrams(F.col("p_name")), f"{shared(spark)}/title-trigram-lists", ann.version_of(parts))
     return postings.similar_titles(parts, "p_partkey", "p_name", index, "blue anvils").select("p_partkey", "p_name", "likeness")
 
 
@@ -54,7 +54,7 @@ def titles_by_lists(spark, sf_dir):
 def keywords_by_lists(spark, sf_dir):
     """Documents that have any of some words, from the lists of these."""
     docs = read(spark, sf_dir, "documents")
-    index = postings.ensured(docs, "doc_id", F.array_distinct(F.split(F.lower("text"), " ")), f"{shared(spark)}/keywords", ann.version_of(docs))
+    index = postings.ensured(docs, "doc_id", F.array_distinct(F.split(F.lower("text"), " ")), f"{shared(spark)}/keyword-lists", ann.version_of(docs))
     return postings.having_any(index, ["the", "der"]).withColumnRenamed("key", "doc_id")
 
 
